@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces_bpe, simhash
+from . import langid, mixing, pieces_bpe, quality_gam, simhash, substring_fm, toxicity_crf, warc, weak_rules
 from .common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.digests(warc.read(manifest)).drop("target")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         coded = pieces_bpe.encode(table(spark, sf_dir, "documents"), f.read())
@@ -23,23 +28,72 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = langid.fold(F.col("doc_id"), 4)
+    gam = quality_gam.train(docs, table(spark, sf_dir, "labels"), fold != 2)
+    scored = quality_gam.assess(docs, gam, ["doc_id"])
+    return scored.select("doc_id", F.coalesce(fold == 2, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = langid.fold(F.col("doc_id"), 5)
+    model = langid.fit(langid.training_rows(docs, fold != 0))
+    found = langid.identify(docs, model, ["doc_id"])
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_fm.dedupe(table(spark, sf_dir, "documents"))
+    return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = weak_rules.judge(table(spark, sf_dir, "documents"), ["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = langid.fold(F.col("doc_id"), 3)
+    crf = toxicity_crf.train(docs, table(spark, sf_dir, "labels"), fold != 1)
+    scored = toxicity_crf.score(docs, crf, ["doc_id"])
+    return scored.select("doc_id", F.coalesce(fold == 1, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_quality": op3_quality,
+    "op4_language": op4_language,
     "op5_mixing": op5_mixing,
+    "op7_substring": op7_substring,
+    "op8_rules": op8_rules,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM m""",
     "op5_mixing": rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -66,4 +120,20 @@ m AS (
 SELECT doc_id, size, source_size, target,
        CASE WHEN size = 0 THEN 0 ELSE size * (whole + CASE WHEN upto <= owed OR (upto - size < owed AND upto - owed < owed - (upto - size)) THEN 1 ELSE 0 END) END::BIGINT AS taken
 FROM m""",
+    "op7_substring": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+o AS (
+  SELECT d.doc_id, s.pos, array_to_string(list_slice(w, s.pos, s.pos + 19), ' ') AS win
+  FROM d, unnest(range(1, greatest(len(w) - 18, 1)::BIGINT)) AS s(pos)),
+f AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) > 1 AS later FROM o),
+c AS (
+  SELECT t.doc_id, t.pos, t.word,
+         coalesce(bool_or(f.later) OVER (PARTITION BY t.doc_id ORDER BY t.pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM t LEFT JOIN f ON t.doc_id = f.doc_id AND t.pos = f.pos),
+g AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept
+  FROM c GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN g USING (doc_id)""",
 }
