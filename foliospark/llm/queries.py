@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pieces_bpe, quality_gam, simhash, substring_fm, toxicity_crf, warc, weak_rules
+from . import langid, mixing, pieces_bpe, quality_gam, simhash, spotsigs, substring_fm, toxicity_crf, warc, weak_rules
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.against_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring_fm.dedupe(table(spark, sf_dir, "documents"))
     return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op5_mixing": op5_mixing,
+    "op6_spotsigs": op6_spotsigs,
     "op7_substring": op7_substring,
     "op8_rules": op8_rules,
     "op9_toxicity": op9_toxicity,
