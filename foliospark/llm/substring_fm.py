@@ -369,19 +369,20 @@ def _search(length: int):
     return run
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, text, id): doc orders documents and differs where texts do. Ids serve as they are unless some are null or shared by different texts."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _numbered(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """(doc, text, id, carried): doc orders documents and differs where texts do. Ids serve as they are unless some are null or shared by different texts."""
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), carried.alias("carried"))
     shared = base.groupBy("id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("id IS NULL OR a <> b")
     if shared.isEmpty():
-        return base.select(F.col("id").alias("doc"), "text", "id")
+        return base.select(F.col("id").alias("doc"), "text", "id", "carried")
     keys = base.select("id", F.xxhash64("text").alias("tie")).distinct().orderBy(F.col("id").asc_nulls_last(), "tie")
     numbers = cut(docs.sparkSession.createDataFrame(keys.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1])), "doc long, i long, tie long"))
-    return base.join(numbers, base["id"].eqNullSafe(numbers["i"]) & (F.xxhash64("text") == F.col("tie"))).select("doc", "text", "id")
+    return base.join(numbers, base["id"].eqNullSafe(numbers["i"]) & (F.xxhash64("text") == F.col("tie"))).select("doc", "text", "id", "carried")
 
 
-def _apply(length: int):
-    """Step 4: (id, n_words, n_removed, kept)."""
+def _apply(length: int, verbatim: bool):
+    """Step 4: (id, n_words, n_removed, kept, carried)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 4_000_000):
@@ -396,11 +397,11 @@ def _apply(length: int):
                     stay = np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()
                     left = [words[k] for k in stay]
                 else:
-                    left = words
+                    left = None
                 counts.append(len(words))
-                removed.append(len(words) - len(left))
-                kept.append(b" ".join(left))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
+                removed.append(0 if left is None else len(words) - len(left))
+                kept.append((text or b"") if left is None and verbatim else b" ".join(words if left is None else left))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch.column(3)], ["id", "n_words", "n_removed", "kept", "carried"])
 
     return run
 
@@ -418,8 +419,15 @@ def repeated(numbered: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     return told.where(F.col("kind") == REPEAT).select("doc", "at").unionByName(searched)
 
 
-def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Rows (id, n_words, n_removed, kept), one for each row of docs; kept: the words left, joined by spaces."""
-    numbered = _numbered(docs, id_col, text_col)
+def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carry: list[str] = (), verbatim: bool = False) -> DataFrame:
+    """Rows (id, n_words, n_removed, kept, and the columns of `carry`), one for each row of docs; kept: the words left, joined by spaces.
+
+    verbatim: texts that lose nothing stay as they are.
+    """
+    carry = list(carry)
+    numbered = _numbered(docs, id_col, text_col, carry)
     spans = repeated(numbered, length, gram).groupBy("doc").agg(F.collect_list("at").alias("spans"))
-    return numbered.join(spans, "doc", "left").select("id", "text", "spans").mapInArrow(_apply(length), "id long, n_words long, n_removed long, kept string")
+    joined = numbered.join(spans, "doc", "left").select("id", "text", "spans", "carried")
+    schema = joined.select(F.col("id"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept"), "carried").schema
+    told = joined.mapInArrow(_apply(length, verbatim), schema)
+    return told.select("id", "n_words", "n_removed", "kept", *[F.col(f"carried.{c}").alias(c) for c in carry])
