@@ -1,0 +1,93 @@
+"""Fields of an invoice's head and totals: ordered rules over its lines, the first that gives a value wins."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from foliospark.functions.dates import parse_document_date
+from foliospark.functions.numbers import found, none_if_empty, parse_number, stripped
+from foliospark.functions.text import amount_in_words, email, first_page, invoice_lines, phone, split_serial
+
+# Labels of fields, of both languages; a value stands behind the colon.
+LABELS = {
+    "sellerName": r"(?:đơn vị bán hàng|đơn vị bán|người bán|seller|vendor|exporter|shipper|beneficiary)(?:\s*name)?",
+    "buyerName": r"(?:tên đơn vị|đơn vị mua hàng|người mua hàng|buyer|bill to|sold to|consignee|importer|customer name)",
+    "paymentMethod": r"(?:hình thức thanh toán|payment method|payment terms?|terms of payment)",
+}
+SELLER_PART, BUYER_PART = r"(?iu)\b(?:đơn vị bán|người bán|seller|vendor|exporter)", r"(?iu)\b(?:họ tên người mua|tên đơn vị|người mua|buyer|bill to|sold to|consignee|importer)"
+# Weights of currency signs; ties go to the currency that comes first.
+CURRENCIES = [
+    ("USD", [(r"(?i)\bUSD\b", 3), (r"\$", 2), (r"(?i)us dollars?", 3)]),
+    ("EUR", [(r"(?i)\bEUR\b", 3), ("€", 2), (r"(?i)\beuros?\b", 3)]),
+    ("CNY", [(r"(?i)\b(?:CNY|RMB)\b", 3), ("元", 2)]),
+    ("GBP", [(r"(?i)\bGBP\b", 3), ("£", 2), (r"(?i)pounds? sterling", 3)]),
+    ("JPY", [(r"(?i)\bJPY\b", 3), ("¥", 2)]),
+    ("VND", [(r"(?i)\b(?:VND|VNĐ)", 3), (r"(?iu)\bđồng", 3), (r"(?iu)hóa đơn|thành tiền", 1)]),
+    ("INR", [(r"(?i)\bINR\b", 3), ("₹", 2), (r"(?i)\brupees?\b", 3)]),
+]
+ENGLISH, VIETNAMESE = r"(?i)\binvoice\b|\bbuyer\b|\bseller\b|\bdescription\b|\btotal\b", r"(?iu)hóa đơn|đơn vị|mã số thuế|thành tiền|cộng tiền"
+
+
+def is_english(text: Column) -> Column:
+    """Whether a text has English marks and no Vietnamese ones."""
+    return ~text.rlike(VIETNAMESE) & text.rlike(ENGLISH)
+
+
+def currency(text: Column) -> Column:
+    """The currency of the largest weight; of equal ones the first; null without any sign."""
+    scores = F.array(*[F.struct((sum(F.when(text.rlike(p), w).otherwise(0) for p, w in rules)).alias("score"), F.lit(-k).alias("first"), F.lit(name).alias("name")) for k, (name, rules) in enumerate(CURRENCIES)])
+    best = F.array_max(scores)
+    return F.when(best["score"] > 0, best["name"])
+
+
+def _first(lines: Column, pattern: str, group: int = 1) -> Column:
+    return F.get(F.filter(F.transform(lines, lambda x: stripped(F.regexp_extract(x, pattern, group))), lambda x: x != ""), 0)
+
+
+def _amount(lines: Column, label: str) -> Column:
+    """The last number of the first line with the label, or of the line below it."""
+    tail = r"([\d][\d.,]*)\D*$"
+    on = _first(lines, rf"(?iu)(?:{label})[^\d\n]*.*?{tail}")
+    at = F.array_position(F.transform(lines, lambda x: x.rlike(f"(?iu)(?:{label})")), True).cast("int")
+    below = none_if_empty(F.regexp_extract(F.get(lines, F.when(at > 0, at)), rf"^\W*{tail}", 1))
+    return parse_number(F.coalesce(on, below))
+
+
+def header(docs: DataFrame, text_col: str = "raw_text") -> DataFrame:
+    """docs with the fields of head and totals."""
+    df = docs.withColumn("__l", first_page(invoice_lines(F.coalesce(text_col, F.lit("")))))
+    lines = F.col("__l")
+    df = df.withColumn("__seller", F.filter(lines, lambda x: x.rlike(SELLER_PART)))
+    buyer_at = F.array_position(F.transform(lines, lambda x: x.rlike(BUYER_PART)), True).cast("int")
+    df = df.withColumn("__b", F.when(buyer_at > 0, buyer_at).otherwise(F.size(lines) + 1))
+    head, tail = F.slice(lines, F.lit(1), F.col("__b") - 1), F.slice(lines, F.col("__b"), 10_000)
+    df = df.withColumn("__head", head).withColumn("__tail", tail)
+    head, tail, text = F.col("__head"), F.col("__tail"), F.array_join(lines, "\n")
+    labelled = lambda ls, k: _first(ls, rf"(?iu)^{LABELS[k]}\s*(?:\([^)]*\))?\s*:\s*(.+)$")
+    code = r"(?iu)(?:mã số thuế|mst|tax code|tax id|vat no)\D*?(\d[\d\s\-]{4,}\d)"
+    serial, form = split_serial(_first(lines, r"(?iu)(?:ký hiệu|serial)[^:]*:\s*([\w/]+)"))
+    title = F.get(F.filter(lines, lambda x: x.rlike(r"(?iu)hóa đơn|hoá đơn|\binvoice\b") & ~x.contains("|") & ~x.contains(":") & ~x.rlike("#") & (F.length(x) <= 100)), 0)
+    number = F.coalesce(_first(lines, r"(?iu)^(?:số|no\.?)\s*(?:\([^)]*\))?\s*:\s*(\d+)"), _first(lines, r"(?i)invoice\s*(?:no\.?|number|#)\s*[:#]?\s*([A-Z0-9][\w\-/]*)"))
+    words = amount_in_words(_first(lines, r"(?iu)(?:bằng chữ|in words)[^:]*:\s*(.+)"))
+    percent = _first(lines, r"(?iu)(?:thuế suất|vat|tax)[^%\n]*?(\d+(?:[.,]\d+)?)\s*%")
+    return df.withColumns({
+        "invoiceName": title,
+        "invoiceID": number,
+        "invoiceDate": F.date_format(parse_document_date(F.coalesce(_first(lines, r"(?iu)(ngày\s*\d{1,2}\s*tháng\s*\d{1,2}\s*năm\s*\d{4})"), _first(lines, r"(?iu)(?:date|ngày)[^:\d]*:?\s*(\d{1,2}[/.\-]\d{1,2}[/.\-]\d{4})"))), "dd/MM/yyyy"),
+        "invoiceSerial": serial,
+        "invoiceFormNo": F.coalesce(_first(lines, r"(?iu)(?:mẫu số)[^:]*:\s*([\w/]+)"), form),
+        "sellerName": labelled(head, "sellerName"),
+        "sellerTaxCode": F.regexp_replace(_first(head, code), r"\s", ""),
+        "sellerEmail": email(F.array_join(head, "\n")),
+        "sellerPhoneNumber": phone(F.array_join(head, "\n")),
+        "buyerName": labelled(tail, "buyerName"),
+        "buyerTaxCode": F.regexp_replace(_first(tail, code), r"\s", ""),
+        "paymentMethod": labelled(lines, "paymentMethod"),
+        "currency": currency(text),
+        "preTaxPrice": _amount(lines, r"cộng tiền hàng|sub\s?total|total before tax"),
+        "taxAmount": _amount(lines, r"tiền thuế gtgt|tiền thuế|vat amount|tax amount"),
+        "totalAmount": _amount(lines, r"tổng cộng tiền thanh toán|tổng tiền thanh toán|invoice total|grand total|total amount|amount due"),
+        "taxPercent": F.when(percent.isNotNull(), F.concat(percent, F.lit("%"))),
+        "invoiceTotalInWord": none_if_empty(words),
+    }).drop("__l", "__seller", "__b", "__head", "__tail")

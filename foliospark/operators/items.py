@@ -7,39 +7,17 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.numbers import none_if_empty, parse_number, parse_price, parse_quantity, stripped
+from foliospark.functions.numbers import let, none_if_empty, parse_number, parse_quantity, stripped
+from foliospark.operators import pipe_table
 
 ITEM = "struct<productCode:string,productName:string,unit:string,unitPrice:double,quantity:double,amount:double,discountPercent:string,discountAmount:double,payment:double>"
 ITEMS = f"array<{ITEM}>"
 
-# Header words of the columns, in the order in which they are tried.
-HEADER_WORDS = {
-    "stt": ["stt", "item no", "item id", "#", "marks", "sl. no", "sl no"],
-    "name": ["tên hàng", "description", "tên sản phẩm", "diễn giải", "hàng hóa", "nhãn hiệu", "quy cách", "phẩm chất", "specifications", "specification", "规格", "product", "material description", "goods", "commodity", "items", "item"],
-    "code": ["mã số", "mã hàng", "mã sp", "product code", "code", "hs code", "tariff", "harm.code", "hts code"],
-    "tax_rate": ["thuế suất", "tax rate", "vat rate", "vat%", "tax (%)"],
-    "tax_amt": ["tiền thuế", "thuế gtgt", "tax amount", "vat amount"],
-    "price": ["đơn giá", "unit price", "单价", "unit value", "rate", "unit cost", "u.price", "price", "unit (usd)", "unit (eur)", "unit (gbp)", "unit ($)", "unit (€)", "unit (£)", "pate"],
-    "amount": ["thành tiền", "amount", "atmount", "trị giá", "总计", "total value", "total price", "line total", "total ($)", "total (£)", "tol.amount", "total gross", "value in", "net value", "value", "total (usd)", "total (eur)", "total (gbp)", "total (€)"],
-    "qty": ["số lượng", "sl", "quantity", "qty", "q-ty", "数量", "no.of unit", "no. of unit", "hrs/qty", "pcs", "net weight", "number of packages"],
-    "unit": ["đvt", "đơn vị", "unit of measure", "unit"],
-    "payment": ["thành tiền sau thuế", "tổng tiền sau thuế", "cộng tiền thanh toán", "tổng cộng"],
-    "currency_col": ["currency", "货号"],
-    "discount": ["discounts", "discount", "chiết khấu", "giảm giá"],
-}
-# Units, and labels of rows that are no items.
-UNITS = "kg kgs mt mts pcs set sets ctns cartons boxes bags rolls units lbs tons cbm ltrs pairs doz dozen ea each nos pkgs drums".split()
-WEIGHT_WORDS = "weight|kg|lb|lbs|quantity|qty|pcs|units"
-SUMMARY_LABELS = ["tổng cộng", "cộng tiền", "thuế suất", "tổng tiền", "total", "sub total", "shipping", "customs/duties", "insurance", "other information", "taxfree", "vat on", "due date", "§6 ustg", "$6 ustg", "ustg", "exporter", "tax due", "tax (", "payment due", "thank you", "message", "balance due"]
-SUMMARY_PHRASES = ["total vat excluded", "taxfree export", "a taxfree", "total net value", "§6 ustg", "ustg is concerned", "total gross value"]
-DETAIL_PREFIXES = ["batch:", "customs tariff:", "country of origin:", "batch no", "origin:", "hs:", "tariff:", "siret", "origin vietnam", "origin viet nam"]
-CHINESE_HEADERS = ["详细", "数量", "单价", "总计", "货号", "货品", "描述", "规格", "金额", "合计", "价格"]
-SUB_HEADERS = ["thực nhập", "thực xuất", "số lượng", "đơn giá", "thành tiền"]
-TOTAL_LABELS = ["total", "subtotal", "sub total", "grand total", "tổng cộng", "tổng", "cộng", "tổng tiền", "balance due", "amount due"]
-SUMMARY_NAMES = ["total", "subtotal", "sub total", "grand total", "total amount", "tổng cộng", "cộng", "tổng", "in total", "total value", "-", "—"]
+# Names of rows that are no items.
 GARBAGE_WORDS = ["thời điểm", "thuế suất", "tổng cộng", "cộng tiền", "thành tiền trước thuế", "không kê khai", "không chịu thuế", "tiền thuế", "số tiền viết bằng chữ", "người mua", "người bán", "chữ ký", "signature", "incoterm", "ex works", "despatch mode", "parcel nr", "gross weight"]
 CURRENCY_NAMES = "usd eur gbp vnd jpy cny inr aud cad sgd chf hkd twd krw thb myr idr php sek nok dkk nzd zar aed sar brl mxn pln czk try rub".split()
 ITEM_SUMMARIES = ["sub total", "subtotal", "grand total", "total", "tax total", "taxal", "vat", "net total", "balance due", "amount due", "tổng cộng", "cộng tiền", "thuế"]
@@ -64,181 +42,20 @@ def _low(text: Column) -> Column:
     return F.lower(stripped(text))
 
 
-def _label(text: Column) -> Column:
-    """A cell's text as a label: lower case, without emphasis."""
-    return stripped(F.regexp_replace(_low(text), r"^\*+|\*+$", ""))
-
-
-def _field_of(low: Column, index: Column) -> Column:
-    """The field that a header cell names, or null."""
-    out = None
-    for field, words in HEADER_WORDS.items():
-        hit = low.rlike(_any(words))
-        value = F.when(low.rlike("chưa|excluding|trước thuế"), "amount").otherwise("tax_amt") if field == "tax_amt" else F.lit(field)
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    total = low.contains("total") & ~low.rlike(rf"(?U)\b(?:{WEIGHT_WORDS})\b") & ~((low == "subtotal") & (index == 0))
-    return out.when(low.isin("name", "product name"), "name").when(total, "amount")
-
-
-def _cells(line: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(stripped(line), r"^\|+|\|+$", ""), r"\|"), stripped)
-
-
-def _positions(fields: Column, name: str) -> Column:
-    return F.filter(F.transform(fields, lambda f, k: F.when(f == name, k)), lambda k: k.isNotNull())
-
-
-#: A line that continues the row before it: no row, no rule, not blank, and no short heading.
-_CONTINUES = r"[^\S\n]*\n(?![^\S\n]*(?:\||---|\n|$))(?![^\S\n]*\p{Lu}[^\s|:\d]*(?:[^\S\n]+[^\s|:\d]+){0,2}[^\S\n]*(?:\n|$))[^\S\n]*"
-_RULE = r"^[|\- :+]*$"
+def with_pipe_items(df: DataFrame, text_col: str, out: str = "items") -> DataFrame:
+    """df with the items of the text's pipe table; an empty array without one.
 
+    A table is read row by row with what its header has told, so this is an Arrow-batched function over whole texts.
+    """
+    @F.pandas_udf(ITEMS)
+    def parsed(texts: pd.Series) -> pd.Series:
+        return pd.Series([pipe_table.items_of(t) if t and "|" in t else [] for t in texts])
 
-def with_pipe_items(df: DataFrame, text_col: str, out: str = "items") -> DataFrame:
-    """df with the items of the text's pipe table; an empty array without one."""
-    rows = F.filter(F.split(F.regexp_replace(F.coalesce(text_col, F.lit("")), _CONTINUES, " "), "\n"), lambda x: x.contains("|"))
-    df = df.withColumn("__rows", F.transform(rows, lambda x: F.struct(_cells(x).alias("c"), stripped(x).rlike(_RULE).alias("rule"))))
-    real = lambda cells: F.filter(cells, lambda c: ~F.lower(c).rlike(r"^col\d+$"))
-    df = df.withColumn("__named", F.transform("__rows", lambda r: F.transform(real(r["c"]), lambda c, k: _field_of(F.lower(c), k))))
-    df = df.withColumn("__at", F.array_position(F.transform("__named", lambda f: F.size(F.filter(f, lambda x: x.isNotNull())) >= 2), True).cast("int"))
-    fields, head = F.get("__named", F.col("__at") - 1), F.get("__rows", F.col("__at") - 1)["c"]
-    df = df.withColumn("__f", F.when(F.col("__at") > 0, fields)).withColumn("__h", F.when(F.col("__at") > 0, head))
-    # A second price is an amount; so is a lone price that is not of a unit.
-    prices, amounts = _positions(F.col("__f"), "price"), _positions(F.col("__f"), "amount")
-    of_unit = F.lower(F.coalesce(F.get("__h", F.get(prices, 0).cast("int")), F.lit(""))).rlike(_any(["unit price", "u.price", "unit cost", "đơn giá", "单价"]))
-    from_second = F.transform("__f", lambda f, k: F.when((f == "price") & (k > F.get(prices, 0)), "amount").otherwise(f))
-    lone = F.transform("__f", lambda f: F.when(f == "price", "amount").otherwise(f))
-    df = df.withColumn("__f", F.when(F.size(prices) > 1, from_second).when((F.size(prices) == 1) & (F.size(amounts) == 0) & ~of_unit, lone).otherwise(F.col("__f")))
-    # Of several quantities the first that says so stays.
-    qtys = _positions(F.col("__f"), "qty")
-    explicit = F.filter(qtys, lambda k: F.lower(F.coalesce(F.get("__h", k.cast("int")), F.lit(""))).rlike("qty|q-ty|quantity|số lượng"))
-    primary = F.coalesce(F.get(explicit, 0), F.get(qtys, 0))
-    df = df.withColumn("__f", F.transform("__f", lambda f, k: F.when((f == "qty") & (k != primary), None).otherwise(f)))
-    head_of = lambda name: F.coalesce(F.get("__h", F.get(_positions(F.col("__f"), name), 0).cast("int")), F.lit(""))
-    df = df.withColumn("__unit", F.coalesce(none_if_empty(F.regexp_extract(head_of("qty"), r"\(([A-Za-z]{1,10})\)", 1)), none_if_empty(F.regexp_extract(head_of("price"), r"\w+/([A-Za-z]{1,10})\)", 1))))
-    # Without a name the first column is it, if nothing else claims it.
-    df = df.withColumn("__f", F.transform("__f", lambda f, k: F.when((k == 0) & f.isNull() & ~F.exists("__f", lambda x: x.eqNullSafe("name")), "name").otherwise(f)))
-    body = F.when(F.col("__at") > 0, F.slice("__rows", F.col("__at") + 1, 100_000)).otherwise(F.col("__rows"))
-    df = df.withColumn("__body", F.transform(F.filter(body, lambda r: ~r["rule"] & (F.size(r["c"]) >= 2)), lambda r: r["c"]))
-    # Rows of units give the quantity's unit to the rows behind them.
-    unit_row = lambda c: (F.size(c) >= 3) & F.forall(c, lambda x: (F.length(x) <= 15) & ~x.rlike(r"^[\d,.]+$")) & F.exists(c, lambda x: _low(x).isin(*UNITS))
-    last_qty = F.element_at(F.array_append(F.transform(_positions(F.col("__f"), "qty"), lambda k: k.cast("int")), F.lit(-1)), -2)
-    df = df.withColumn("__units", F.transform(F.filter(F.transform("__body", lambda c, k: F.struct(k.alias("k"), c.alias("c"))), lambda r: unit_row(r["c"])), lambda r: F.struct(r["k"].alias("k"), none_if_empty(F.get(r["c"], F.when(last_qty >= 0, last_qty))).alias("u"))))
-    name_at = F.get(_positions(F.col("__f"), "name"), 0).cast("int")
-    kept = F.filter(F.transform("__body", lambda c, k: F.struct(k.alias("k"), c.alias("c"))), lambda r: ~unit_row(r["c"]) & ~_not_an_item(r["c"], name_at))
-    df = df.withColumn("__kept", kept)
-    before = lambda k: F.transform(F.filter("__units", lambda u: u["k"] < k), lambda u: u["u"])
-    unit_of = lambda k: F.coalesce(F.get(F.reverse(F.array_compact(before(k))), 0), F.col("__unit"))
-    df = df.withColumn("__items", F.transform("__kept", lambda r: F.when(F.col("__at") > 0, _mapped(r["c"], F.col("__f"), unit_of(r["k"]))).otherwise(_by_place(r["c"]))))
-    df = df.withColumn("__items", F.filter("__items", _valid))
-    return df.withColumn(out, _merged(F.col("__items"))).withColumn(out, _distinct(F.col(out))).drop("__rows", "__named", "__at", "__f", "__h", "__unit", "__body", "__units", "__kept", "__items")
-
-
-def _not_an_item(c: Column, name_at: Column) -> Column:
-    """Whether a row is a summary, a note, a sub-header or a numbering of columns."""
-    first, others = _label(F.get(c, 0)), F.slice(c, 2, 10_000)
-    named = _label(F.coalesce(F.get(c, name_at), F.lit("")))
-    summary = lambda x: (F.length(x) < 60) & x.rlike(_any(SUMMARY_LABELS))
-    numbering = F.forall(c, lambda x: F.when(x == "", True).otherwise(F.translate(x, "()", "").rlike(r"(?i)^\s*(?:\d+|.?)\s*$|[=x+]")))
-    bare = F.lower(F.regexp_replace(stripped(F.get(c, 0)), r"^\*+|\*+$", ""))
-    return (
-        summary(first)
-        | ((first == "") & summary(named))
-        | F.exists(others, lambda x: _low(x).rlike(_any(SUMMARY_PHRASES)))
-        | F.exists(F.slice(c, 1, 2), lambda x: _low(x).rlike(f"^(?:{_any(DETAIL_PREFIXES)})"))
-        | F.array_join(c, " ").rlike("|".join(CHINESE_HEADERS))
-        | (first.isin("no", "no.") & F.forall(others, lambda x: x == ""))
-        | F.exists(c, lambda x: _low(x).isin(*SUB_HEADERS))
-        | bare.isin(*TOTAL_LABELS)
-        | ((bare == "") & _label(F.get(c, 1)).isin(*TOTAL_LABELS))
-        | bare.rlike(r"^(?:us dollar|say:|say |in words|deduction)|\bpct\.?(?:\b|\s|$)")
-        | numbering
-    )
-
-
-def _cell(c: Column, fields: Column, name: str) -> Column:
-    """The cell of the last column of a field that the row has; null without one."""
-    at = F.filter(_positions(fields, name), lambda k: k < F.size(c))
-    return F.get(c, F.get(F.reverse(at), 0).cast("int"))
+    return df.withColumn(out, F.coalesce(parsed(F.col(text_col)), _no_items()))
 
 
 def _unit(text: Column) -> Column:
-    return F.when(F.coalesce(parse_number(text), F.lit(0.0)) <= 1000, text)
-
-
-def _mapped(c: Column, fields: Column, header_unit: Column) -> Column:
-    """An item by header."""
-    names = F.filter(F.transform(_positions(fields, "name"), lambda k: F.get(c, k.cast("int"))), lambda x: x.isNotNull() & (x != ""))
-    own_amount = parse_number(_cell(c, fields, "amount"))
-    # Where the row is shorter than the header, its last cell may be the amount.
-    last = parse_number(F.element_at(c, -1))
-    short = F.get(_positions(fields, "amount"), 0) >= F.size(c)
-    amount = F.when((F.coalesce(own_amount, F.lit(0.0)) == 0) & short & (last > 0), last).otherwise(own_amount)
-    widest = F.array_max(F.filter(F.transform(fields, lambda f, k: F.when(f.isNotNull(), k)), lambda k: k.isNotNull()))
-    start = F.struct(parse_price(_cell(c, fields, "price")).alias("price"), amount.alias("amount"))
-
-    def extra(s: Column, cell: Column) -> Column:
-        bare = F.regexp_replace(cell, r"\s+", "")
-        by_unit = cell.contains("/") & cell.rlike(r"\d")
-        price, money = parse_number(F.regexp_replace(cell, "(?s)/.*", "")), parse_number(bare)
-        more = ~by_unit & bare.rlike(r"^[$€£¥]?[\d,.]+$") & (money > F.coalesce(s["amount"], F.lit(0.0)))
-        moved = more & (F.coalesce(s["amount"], F.lit(0.0)) != 0) & (F.coalesce(s["price"], F.lit(0.0)) == 0)
-        return F.struct(F.when(by_unit & price.isNotNull(), price).when(moved, s["amount"]).otherwise(s["price"]).alias("price"), F.when(more, money).otherwise(s["amount"]).alias("amount"))
-
-    rest = F.when(F.size(c) > widest + 1, F.slice(c, widest + 2, F.greatest(F.size(c) - widest - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    money = F.aggregate(rest, start, extra)
-    rate_at = F.get(F.reverse(_positions(fields, "tax_rate")), 0).cast("int")
-    rate = _cell(c, fields, "tax_rate")
-    rate = F.when((rate == "") & F.get(c, rate_at + 1).contains("%"), F.get(c, rate_at + 1)).otherwise(rate)
-    own_unit = _unit(_cell(c, fields, "unit"))
-    return _item(
-        productCode=_cell(c, fields, "code"),
-        productName=none_if_empty(F.array_join(names, " ")),
-        unit=F.when(header_unit.isNotNull() & (F.coalesce(own_unit, F.lit("")) == ""), header_unit).otherwise(own_unit),
-        quantity=parse_quantity(_cell(c, fields, "qty")),
-        unitPrice=money["price"],
-        amount=money["amount"],
-        discountPercent=rate,
-        payment=parse_number(_cell(c, fields, "payment")),
-    )
-
-
-def _by_place(c: Column) -> Column:
-    """An item without a header: number, name, unit, quantity, price, amount; of five cells the unit is missing."""
-    at = lambda k: F.get(c, k)
-    six = _item(productName=at(1), unit=_unit(at(2)), quantity=parse_quantity(at(3)), unitPrice=parse_number(at(4)), amount=parse_number(at(5)))
-    five = _item(productName=at(1), quantity=parse_quantity(at(2)), unitPrice=parse_number(at(3)), amount=parse_number(at(4)))
-    return F.when(F.size(c) >= 6, six).when(F.size(c) == 5, five).otherwise(F.lit(None).cast(ITEM))
-
-
-def _numeric(name: Column) -> Column:
-    return stripped(F.coalesce(name, F.lit(""))).rlike(r"^[\d.,]+$")
-
-
-def _valid(x: Column) -> Column:
-    """A name or an amount; a name that is a number or a price needs an amount and a price or quantity, a summary's name never stands."""
-    name = stripped(F.coalesce(x["productName"], F.lit("")))
-    summary = _label(name).isin(*SUMMARY_NAMES)
-    number = name.rlike(r"^\d{1,3}$|^[$€£¥]?[\d,.]+$")
-    has = lambda k: F.coalesce(x[k], F.lit(0.0)) != 0
-    return x.isNotNull() & ((name != "") | has("amount")) & ~summary & (~number | (has("amount") & (has("unitPrice") | has("quantity"))))
-
-
-def _merged(items: Column) -> Column:
-    """A row with a name only gives it to the row before it, if that is named by a number."""
-    name_only = lambda x: x["productName"].isNotNull() & (F.coalesce(x["amount"], F.lit(0.0)) == 0) & x["quantity"].isNull() & x["unitPrice"].isNull()
-    taken = lambda k: F.coalesce(name_only(F.get(items, k)) & (k > 0) & _numeric(F.get(items, F.greatest(k - 1, F.lit(0)))["productName"]), F.lit(False))
-    renamed = F.transform(items, lambda x, k: F.struct(F.when(taken(k + 1), x.withField("productName", F.get(items, k + 1)["productName"])).otherwise(x).alias("x"), taken(k).alias("gone")))
-    return F.transform(F.filter(renamed, lambda r: ~r["gone"]), lambda r: r["x"])
-
-
-def _distinct(items: Column) -> Column:
-    """The first of equal items; without numbers for names that carry nothing, and nameless rows whose total stands as a price."""
-    key = lambda x: F.to_json(F.struct(x["productName"].alias("n"), x["quantity"].alias("q"), x["amount"].alias("a"), x["unitPrice"].alias("p")))
-    keys = F.transform(items, key)
-    firsts = F.filter(F.transform(items, lambda x, k: F.struct(x.alias("x"), (F.array_position(keys, key(x)) == k + 1).alias("new"))), lambda r: r["new"])
-    empty = lambda x: _numeric(x["productName"]) & x["amount"].isNull() & x["quantity"].isNull() & x["unitPrice"].isNull()
-    leaked = lambda x: F.coalesce((x["unitPrice"] == x["amount"]) & (x["quantity"] > 1), F.lit(False)) & (F.coalesce(x["productName"], F.lit("")) == "")
-    return F.filter(F.transform(firsts, lambda r: r["x"]), lambda x: ~empty(x) & ~leaked(x))
+    return let(text, lambda x: F.when(F.coalesce(parse_number(x), F.lit(0.0)) <= 1000, x))
 
 
 def html_items(text: Column) -> Column:
