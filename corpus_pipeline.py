@@ -35,10 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = substring_fm.dedupe(docs).where("n_removed < n_words").select(F.col("id").alias("__id"), "n_removed", "kept")
-    joined = docs.join(left, docs["doc_id"].eqNullSafe(F.col("__id")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    left = substring_fm.dedupe(docs, carry=others, verbatim=True).where("n_removed < n_words")
+    return left.select(F.col("id").alias("doc_id"), F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"), *others).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
