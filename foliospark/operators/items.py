@@ -6,16 +6,19 @@ Everything is a projection over arrays within a row, so nothing is shuffled and
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliospark.functions.numbers import let, none_if_empty, parse_number, parse_quantity, stripped
 from foliospark.operators import pipe_table
 
 ITEM = "struct<productCode:string,productName:string,unit:string,unitPrice:double,quantity:double,amount:double,discountPercent:string,discountAmount:double,payment:double>"
 ITEMS = f"array<{ITEM}>"
+_ARROW_ITEMS = pa.list_(pa.struct([(n, pa.float64() if k == "double" else pa.string()) for n, k in (x.split(":") for x in ITEM[7:-1].split(","))]))
 
 # Names of rows that are no items.
 GARBAGE_WORDS = ["thời điểm", "thuế suất", "tổng cộng", "cộng tiền", "thành tiền trước thuế", "không kê khai", "không chịu thuế", "tiền thuế", "số tiền viết bằng chữ", "người mua", "người bán", "chữ ký", "signature", "incoterm", "ex works", "despatch mode", "parcel nr", "gross weight"]
@@ -45,13 +48,22 @@ def _low(text: Column) -> Column:
 def with_pipe_items(df: DataFrame, text_col: str, out: str = "items") -> DataFrame:
     """df with the items of the text's pipe table; an empty array without one.
 
-    A table is read row by row with what its header has told, so this is an Arrow-batched function over whole texts.
+    A table is read row by row with what its header has told, so whole texts go to Python in Arrow batches; other columns pass as they are.
     """
-    @F.pandas_udf(ITEMS)
-    def parsed(texts: pd.Series) -> pd.Series:
-        return pd.Series([pipe_table.items_of(t) if t and "|" in t else [] for t in texts])
+    place, names = df.columns.index(text_col), [*df.columns, out]
 
-    return df.withColumn(out, F.coalesce(parsed(F.col(text_col)), _no_items()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pipe_table.items_of(t) if t and "|" in t else [] for t in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW_ITEMS)], names)
+
+    schema = T.StructType([*df.schema.fields, T.StructField(out, _parse_items())])
+    return df.mapInArrow(run, schema)
+
+
+def _parse_items() -> T.ArrayType:
+    kinds = {"double": T.DoubleType(), "string": T.StringType()}
+    return T.ArrayType(T.StructType([T.StructField(n, kinds[k]) for n, k in (x.split(":") for x in ITEM[7:-1].split(","))]))
 
 
 def _unit(text: Column) -> Column:
