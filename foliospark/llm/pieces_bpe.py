@@ -3,7 +3,7 @@
 No piece has a space mark after another character and none holds a character that is no piece, so a
 text divides into chunks (space marks and what follows up to the next mark or line end) that are
 encoded on their own. Within a chunk: an Aho-Corasick automaton gives every piece that starts at a
-position, longest first; a piece is taken if the pair with the piece before it re-merges to just
+position, longest first (the pieces that its longest path passes); a piece is taken if the pair with the piece before it re-merges to just
 that pair and the position that it reaches has not failed; else a shorter one, else the position is
 marked in the bitfield of failed ones and the piece before it is given up. Characters without a
 piece become byte pieces.
@@ -15,6 +15,8 @@ each keep a row; a chunk of any length takes time in proportion to it; extra col
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -56,63 +58,96 @@ class PieceCoder:
             raise ValueError("chunks of this model can't be encoded on their own")
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
-            self.automaton.add_word(p, (i, len(p)))
-        self.automaton.make_automaton()
+            self.automaton.add_word(p, i)
+        self.longest = max(map(len, self.ids))
+        # What a longest match stands for: the pieces that a path of the automaton passes, longest first.
+        self.passed: dict[str, list[tuple[int, int]]] = {}
+        for p in self.ids:
+            for k in range(1, len(p) + 1):
+                if p[:k] not in self.passed:
+                    self.passed[p[:k]] = [(self.ids[p[:m]], m) for m in range(k, 0, -1) if p[:m] in self.ids]
+        order = {v: k for k, v in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.rank = {p: order[v] for p, v in self.score.items()}
+        # No piece holds two characters that no piece has side by side: between them a chunk divides.
+        self.beside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.pairs = Memo(self._fits, 1_000_000)
-        self.chunks = Memo(lambda c: b"".join(i.to_bytes(4, "little") for i in self.encode_chunk(c)))
+        self.parts = Memo(self._part, 300_000)
+        self.chunks = Memo(lambda c: _packed(self.encode_chunk(c)))
         self.shown = Memo(self._show)
-        self._tail = None
+        text = lambda i: bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in (self.bos, self.eos) else b" \xe2\x81\x87 " if i == self.unk else self.pieces[i].replace(MARK, " ").encode()
+        self.text_of = [text(i) for i in range(n)]
 
     def merge(self, text: str) -> list[str]:
         """The model's own merges: again and again the adjacent pair whose union scores best, the leftmost first."""
+        rank, none = self.rank.get, len(self.pieces)
         parts = list(text)
-        while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda k: (self.score.get(parts[k] + parts[k + 1], float("-inf")), -k))
-            if parts[best] + parts[best + 1] not in self.score:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        unions = [rank(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while unions and (best := min(unions)) < none:
+            k = unions.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del unions[k]
+            if k:
+                unions[k - 1] = rank(parts[k - 1] + parts[k], none)
+            if k < len(unions):
+                unions[k] = rank(parts[k] + parts[k + 1], none)
         return parts
 
-    def _fits(self, pair: tuple[int, int]) -> bool:
-        a, b = self.pieces[pair[0]], self.pieces[pair[1]]
+    def _fits(self, pair: int) -> bool:
+        a, b = (self.pieces[i] for i in divmod(pair, len(self.pieces)))
         return self.merge(a + b) == [a, b]
 
     def encode_chunk(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        start = 0
-        for k, c in enumerate(chunk):
-            if c not in self.letters:
-                out += self._backtrack(chunk[start:k]) if k > start else []
-                out += [self.byte_ids[b] for b in c.encode("utf-8", "replace")]
-                start = k + 1
-        return out + self._backtrack(chunk[start:]) if start < len(chunk) else out
+        parts = self._divided(chunk)
+        if len(parts) == 1:
+            return self._part(chunk)
+        return [i for part in parts for i in (self.parts[part] if len(part) <= REMEMBERED else self._part(part))]
+
+    def _divided(self, chunk: str) -> list[str]:
+        """Parts of a chunk between which no piece can stand."""
+        if chunk[1:].isalpha() and self.letters.issuperset(chunk):
+            return [chunk]  # words hardly divide
+        beside = self.beside
+        cuts = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in beside]
+        return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)] if cuts else [chunk]
+
+    def _part(self, part: str) -> list[int]:
+        """A part is one unknown character, as bytes, or pieces."""
+        if part not in self.letters and len(part) == 1:
+            return [self.byte_ids[b] for b in part.encode("utf-8", "replace")]
+        return self._backtrack(part)
 
     def _backtrack(self, text: str) -> list[int]:
-        n = len(text)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (i, size) in self.automaton.iter(text):
-            starts[end - size + 1].append((i, size))  # by rising length
+        n, far, pairs, longest, passed, width = len(text), self.longest, self.pairs, self.automaton.longest_prefix, self.passed, len(self.pieces)
         alive = bytearray(b"\1" * (n + 1))  # the bitfield: 0 where no way on was found
-        taken: list[tuple[int, int]] = []
-        pos, choice = 0, len(starts[0]) - 1 if n else -1
+        taken: list[int] = []
+        way: list[tuple[list[tuple[int, int]], int]] = []  # of each piece taken: the matches at its start and which of them it is
+        pos, choice, before = 0, 0, -1
+        ahead = text[:far]
+        matches = passed[ahead[: longest(ahead)]]
         while pos < n:
-            here = starts[pos]
-            while choice >= 0:
-                i, size = here[choice]
-                if alive[pos + size] and (not taken or self.pairs[starts[taken[-1][0]][taken[-1][1]][0], i]):
+            count = len(matches)
+            while choice < count:
+                piece, size = matches[choice]
+                if alive[pos + size] and (before < 0 or pairs[before * width + piece]):
                     break
-                choice -= 1
-            if choice >= 0:
-                taken.append((pos, choice))
-                pos += size
-                choice = len(starts[pos]) - 1 if pos < n else -1
+                choice += 1
+            if choice < count:
+                taken.append(piece)
+                way.append((matches, choice))
+                pos, choice, before = pos + size, 0, piece
+                if pos < n:
+                    ahead = text[pos : pos + far]
+                    matches = passed[ahead[: longest(ahead)]]
             else:
                 if not taken:
                     raise ValueError("no encoding was found")
                 alive[pos] = 0
-                pos, choice = taken.pop()
-                choice -= 1
-        return [starts[p][c][0] for p, c in taken]
+                taken.pop()
+                matches, choice = way.pop()
+                pos -= matches[choice][1]
+                choice += 1
+                before = taken[-1] if taken else -1
+        return taken
 
     def encode(self, text: str | None) -> list[int]:
         """All ids of a text, the begin and end ids with them."""
@@ -133,16 +168,15 @@ class PieceCoder:
         return [self.chunks[c] if len(c) <= REMEMBERED else self.chunks.make(c) for c in chunks]
 
     def _show(self, packed: bytes) -> bytes:
-        out = bytearray()
-        for k in range(0, len(packed), 4):
-            i = int.from_bytes(packed[k : k + 4], "little")
-            out += bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in (self.bos, self.eos) else b" \xe2\x81\x87 " if i == self.unk else self.pieces[i].replace(MARK, " ").encode()
-        return bytes(out)
+        ids = array("I", packed)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return b"".join([self.text_of[i] for i in ids])
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces joined to characters (bytes that form none: U+FFFD each), control ids dropped, the mark that encoding put first dropped."""
         first = next((self.pieces[i] for i in ids if i not in (self.bos, self.eos)), "")
-        return self._text([self._show(b"".join(i.to_bytes(4, "little") for i in ids))], first.startswith(MARK))
+        return self._text([self._show(_packed(ids))], first.startswith(MARK))
 
     def _text(self, shown: list[bytes], marked: bool = True) -> str:
         whole = b"".join(shown)
@@ -159,6 +193,14 @@ class PieceCoder:
         return self.bos.to_bytes(4, "little") + b"".join(chunks) + self.eos.to_bytes(4, "little"), self._text(shown)
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def _lenient(run: bytes) -> bytes:
     out, k = b"", 0
     while k < len(run):
