@@ -250,7 +250,7 @@ def _head(most: np.ndarray, total: np.ndarray, y: np.ndarray) -> tuple[float, fl
     return tuple(map(float, b))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, label_col: str = "toxic", rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Crf:
+def train(docs: DataFrame, labels: DataFrame, usable, label_col: str = "toxic", rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> Crf:
     """A model of labelled documents, up to `rows` toxic and twice as many clean ones. usable: the condition on label rows that may be learned from."""
     known = labels.where(usable & F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("y"))
     by = [F.xxhash64("__id"), F.col("__id")]
