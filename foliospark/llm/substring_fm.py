@@ -242,7 +242,7 @@ def _fetch(length: int):
 
 
 class FmIndex:
-    """Compressed full-text index of a sequence of numbers 0..sigma-1, exact for patterns of up to `depth`."""
+    """Compressed full-text index of a sequence of numbers 0..sigma-1 that ends in 0, exact for patterns without 0 of up to `depth`."""
 
     def __init__(self, text: np.ndarray, sigma: int, depth: int = 32):
         n = text.size
