@@ -172,7 +172,7 @@ def fold(id_col: Column, of: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % of
 
 
-def training_rows(docs: DataFrame, usable: Column, per_language: int = 150, excerpt: int = 600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, usable: Column, per_language: int = 100, excerpt: int = 450, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """The bounded sample: (language, excerpt) of `per_language` usable texts of each language."""
     rank = Window.partitionBy("lang").orderBy("place", "text")
     rows = docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
