@@ -71,9 +71,9 @@ class PieceCoder:
         # No piece holds two characters that no piece has side by side: between them a chunk divides.
         self.beside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.pairs = Memo(self._fits, 1_000_000)
-        self.parts = Memo(self._part, 300_000)
-        self.chunks = Memo(lambda c: _packed(self.encode_chunk(c)))
-        self.shown = Memo(self._show)
+        self.parts = Memo(self._part, 100_000)
+        self.chunks = Memo(lambda c: _packed(self.encode_chunk(c)), 250_000)
+        self.shown = Memo(self._show, 250_000)
         text = lambda i: bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in (self.bos, self.eos) else b" \xe2\x81\x87 " if i == self.unk else self.pieces[i].replace(MARK, " ").encode()
         self.text_of = [text(i) for i in range(n)]
 
