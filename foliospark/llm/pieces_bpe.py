@@ -14,6 +14,7 @@ each keep a row; a chunk of any length takes time in proportion to it; extra col
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 from array import array
@@ -33,6 +34,24 @@ CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 REMEMBERED = 64
 
 
+class Recent(Memo):
+    """A Memo of two generations: when one is full, what is not asked for during the next is forgotten."""
+
+    def __init__(self, make, limit: int):
+        super().__init__(make, limit // 2)
+        self.older: dict = {}
+
+    def __missing__(self, word):
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(word)
+        self[word] = value
+        return value
+
+
 class PieceCoder:
     """Encoder and decoder of one model, given as its bytes."""
 
@@ -71,9 +90,8 @@ class PieceCoder:
         # No piece holds two characters that no piece has side by side: between them a chunk divides.
         self.beside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.pairs = Memo(self._fits, 1_000_000)
-        self.parts = Memo(self._part, 100_000)
-        self.chunks = Memo(lambda c: _packed(self.encode_chunk(c)), 250_000)
-        self.shown = Memo(self._show, 250_000)
+        self.parts = Recent(self._part, 100_000)
+        self.chunks = Recent(self._code, 250_000)
         text = lambda i: bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in (self.bos, self.eos) else b" \xe2\x81\x87 " if i == self.unk else self.pieces[i].replace(MARK, " ").encode()
         self.text_of = [text(i) for i in range(n)]
 
@@ -156,10 +174,10 @@ class PieceCoder:
 
     def packed(self, text: str | None) -> bytes:
         """encode(), as little-endian unsigned 32-bit integers."""
-        found = self._packed_chunks(text)
-        return self.bos.to_bytes(4, "little") + b"".join(found) + self.eos.to_bytes(4, "little")
+        return self.bos.to_bytes(4, "little") + b"".join([x[0] for x in self._coded(text)]) + self.eos.to_bytes(4, "little")
 
-    def _packed_chunks(self, text: str | None) -> list[bytes]:
+    def _coded(self, text: str | None) -> list[tuple[bytes, bytes]]:
+        """(packed ids, UTF-8 of what they stand for) of each chunk."""
         if not text:
             return []
         chunks = CHUNK.findall(MARK + text.replace(" ", MARK))
@@ -167,16 +185,17 @@ class PieceCoder:
             return list(map(self.chunks.__getitem__, chunks))
         return [self.chunks[c] if len(c) <= REMEMBERED else self.chunks.make(c) for c in chunks]
 
-    def _show(self, packed: bytes) -> bytes:
-        ids = array("I", packed)
-        if sys.byteorder == "big":
-            ids.byteswap()
+    def _code(self, chunk: str) -> tuple[bytes, bytes]:
+        ids = self.encode_chunk(chunk)
+        return _packed(ids), self._show(ids)
+
+    def _show(self, ids: list[int]) -> bytes:
         return b"".join([self.text_of[i] for i in ids])
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces joined to characters (bytes that form none: U+FFFD each), control ids dropped, the mark that encoding put first dropped."""
         first = next((self.pieces[i] for i in ids if i not in (self.bos, self.eos)), "")
-        return self._text([self._show(_packed(ids))], first.startswith(MARK))
+        return self._text([self._show(ids)], first.startswith(MARK))
 
     def _text(self, shown: list[bytes], marked: bool = True) -> str:
         whole = b"".join(shown)
@@ -188,9 +207,8 @@ class PieceCoder:
 
     def round_trip(self, text: str | None) -> tuple[bytes, str]:
         """(packed ids, the text that these ids decode to). Chunks decode on their own, as no character spans two."""
-        chunks = self._packed_chunks(text)
-        shown = [self.shown[c] if len(c) <= 4 * REMEMBERED else self._show(c) for c in chunks]
-        return self.bos.to_bytes(4, "little") + b"".join(chunks) + self.eos.to_bytes(4, "little"), self._text(shown)
+        coded = self._coded(text)
+        return self.bos.to_bytes(4, "little") + b"".join([x[0] for x in coded]) + self.eos.to_bytes(4, "little"), self._text([x[1] for x in coded])
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -224,6 +242,7 @@ def coder(model: bytes) -> PieceCoder:
     key = hash(model)
     if key not in _CODERS:
         _CODERS[key] = PieceCoder(model)
+        gc.freeze()  # the tables last as long as the process: no collection need pass through them
     return _CODERS[key]
 
 
