@@ -91,10 +91,15 @@ class PieceCoder:
         self.beside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.pairs = Memo(self._fits, 1_000_000)
         self.parts = Recent(self._part, 100_000)
-        self.chunks = Recent(self._code, 250_000)
+        self.chunks = Recent(self._code, 600_000)
         text = lambda i: bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in (self.bos, self.eos) else b" \xe2\x81\x87 " if i == self.unk else self.pieces[i].replace(MARK, " ").encode()
         self.text_of = [text(i) for i in range(n)]
 
+    def forget(self) -> None:
+        """Gives back what is remembered of chunks."""
+        self.chunks.clear()
+        self.chunks.older = {}
+
     def merge(self, text: str) -> list[str]:
         """The model's own merges: again and again the adjacent pair whose union scores best, the leftmost first."""
         rank, none = self.rank.get, len(self.pieces)
@@ -251,9 +256,10 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     held = docs.sparkSession.sparkContext.broadcast(model)  # a model file: under 1 MB whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(held.value).round_trip
+        pieces_of = coder(held.value)
         for batch in pieces(batches):
-            both = [code(t) for t in batch.column(1).to_pylist()]
+            both = [pieces_of.round_trip(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in both], pa.binary()), pa.array([x[1] for x in both], pa.string())], ["id", "ids_le", "decoded"])
+        pieces_of.forget()  # the worker process goes on to other stages
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids_le binary, decoded string")
