@@ -91,7 +91,7 @@ class PieceCoder:
         self.beside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.pairs = Memo(self._fits, 1_000_000)
         self.parts = Recent(self._part, 100_000)
-        self.chunks = Recent(self._code, 600_000)
+        self.chunks = Recent(self._code, 800_000)
         text = lambda i: bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in (self.bos, self.eos) else b" \xe2\x81\x87 " if i == self.unk else self.pieces[i].replace(MARK, " ").encode()
         self.text_of = [text(i) for i in range(n)]
 
