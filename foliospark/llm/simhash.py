@@ -50,15 +50,18 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """Rows (id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """Rows (id, fp): fp is the fingerprint as a signed long. hashed: also text_hash, the text's xxhash64."""
+    extra = [F.xxhash64(text_col).alias("text_hash")] if hashed else []
+    names = ["id", "fp", "text_hash"][: 2 + len(extra)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             fps = np.array([fingerprint(t, width) for t in byte_texts(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    told = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *extra)
+    return told.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def forest(fps: np.ndarray, bits: int = BITS) -> Iterator[tuple[int, np.ndarray]]:
@@ -157,25 +160,33 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("the components have not settled")
 
 
+def rooted(distinct: DataFrame, bits: int = BITS) -> DataFrame:
+    """distinct (a row for each fingerprint fp) with `root`, the smallest fingerprint of its class."""
+    roots = components(links(distinct.select("fp"), bits))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """Rows (id, fp, component_id), one for each row of docs: the class's smallest id."""
     fps = cut(fingerprints(docs, id_col, text_col, width))
-    distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(distinct.select("fp"), bits))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted(cut(fps.groupBy("fp").agg(F.min("id").alias("least"))), bits)
     classes = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class: that of the smallest id (of repeated rows of that id, one; a null id stands alone if its class has no other)."""
-    classes = near_duplicates(docs, id_col, text_col)
-    firsts = classes.where("id <=> component_id").groupBy(F.col("component_id").alias("_first")).agg(F.count("*").alias("_rows"))
-    kept = docs.join(firsts, docs[id_col].eqNullSafe(F.col("_first")), "left_semi")
-    # A repeated id would come more than once; the least text by order stays.
+    """docs with one row of each class: that of the smallest id, null ids last, and among rows of that id that of the smallest text hash.
+
+    Of rows alike in id and text one stays. Ids needn't tell rows apart: classes whose ids are all null, or that share their smallest id, each keep a row.
+    """
+    fps = fingerprints(docs, id_col, text_col, hashed=True).groupBy("fp", "id", "text_hash").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "rows")).alias("first")
+    distinct = cut(fps.groupBy("fp").agg(first))
+    least = rooted(distinct).groupBy("root").agg(F.min("first").alias("first"))
+    firsts = cut(least.select(F.col("first.id").alias("_first"), F.col("first.text_hash").alias("_hash"), F.col("first.rows").alias("_rows")))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_first")) & (F.xxhash64(text_col) == F.col("_hash"))
+    kept = docs.join(firsts, same, "left_semi")
     many = firsts.where("_rows > 1")
     if many.isEmpty():
         return kept
-    alone = kept.join(many, kept[id_col].eqNullSafe(F.col("_first")), "left_anti")
-    again = kept.join(many, kept[id_col].eqNullSafe(F.col("_first")), "left_semi").dropDuplicates([id_col])
-    return alone.unionByName(again)
+    return kept.join(many, same, "left_anti").unionByName(kept.join(many, same, "left_semi").dropDuplicates([id_col, text_col]))

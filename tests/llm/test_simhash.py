@@ -116,3 +116,26 @@ def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = classes([(r[0], plain(r[1])) for r in rows])
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(want.values()))
+
+
+def test_one_row_of_each_class(spark):
+    rng = random.Random(7)
+    words = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40 + k))
+    far = [words(k) for k in range(12)]
+    # Classes of null ids only, one of them twice; an id that is the first of three classes; null copies of a class with an id.
+    rows = [(None, t) for t in far[:5]] + [(None, far[0])] + [(7, t) for t in far[5:8]] + [(7, far[5]), (9, far[5])]
+    rows += [(3, far[8]), (None, far[8]), (None, far[8]), (8, far[8]), (3, far[9]), (2, far[9]), (5, far[10]), (None, None), (None, " "), (6, far[11])]
+    root = classes([(k, plain(t)) for k, (_, t) in enumerate(rows)])
+    groups = {}
+    for k, row in enumerate(rows):
+        groups.setdefault(root[k], []).append(row)
+    assert len(groups) == 13
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string").repartition(3)
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(left) == len(groups)
+    for group in groups.values():
+        ids = [i for i, _ in group if i is not None]
+        of = [r for r in left if r in group and r[0] == min(ids, default=None)]
+        assert len(of) == 1
