@@ -2,13 +2,14 @@
 
 For each language a suffix automaton is built over labelled text. A text is parsed against it greedily:
 the longest match is taken, a phrase ends where the automaton has no way on, and the next starts there.
-Phrases are normalised to bits for a character, phrases * log2(reference length) / characters; the
-language that needs fewest wins. Texts are parsed whole, in pieces of 256 letters that advance together
+Phrases are normalised to bits for a character, phrases * log2(reference length + letters told apart) /
+characters; the language that needs fewest wins. Texts are parsed whole, in pieces of 256 letters that advance together
 through dense transition tables: entry [state, letter] holds the next state, restart included, and a
 bit that says whether a phrase ended.
 
 Fitting reads `per_language` labelled texts of each language (those of the smallest hash of their id), of
-each an excerpt of `excerpt` characters; both bounds are parameters. Prediction uses only the text.
+each an excerpt of `excerpt` characters; both bounds are parameters. A language's reference is all of that,
+however little text another language has. Prediction uses only the text.
 
 Defined results: a text that is null or has no letter is `und` with score 0; ties go to the language first
 in code-point order; repeated rows each keep a row; a null id is held out; without any labelled text all
@@ -98,17 +99,16 @@ def fit(rows: list[tuple[str, str]], letters: int = 120) -> Model:
         if p := _plain(text):
             texts.setdefault(lang, []).append(p)
     langs = sorted(texts)
-    shortest = min((sum(map(len, texts[k])) for k in langs), default=0)
     counts = Counter(c for k in langs for t in texts[k] for c in t if c != " ")
     alphabet = "".join(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:letters])
     index = {c: k + 2 for k, c in enumerate(alphabet)} | {" ": SPACE}
-    # References of like length where all languages have enough text: phrases then compare as they are.
-    most = max(4 * shortest, 2000)
+    width = len(alphabet) + 2
     tables, bits = [], []
     for k in langs:
-        seq = [index.get(c, OTHER) for c in " ".join(texts[k])[:most]]
-        tables.append(_dense(suffix_automaton([SPACE, *seq]), len(alphabet) + 2))
-        bits.append(math.log2(len(seq) + 2))
+        seq = [index.get(c, OTHER) for c in " ".join(texts[k])]
+        tables.append(_dense(suffix_automaton([SPACE, *seq]), width))
+        # A phrase is a place in the reference or a letter by itself: a tiny reference doesn't make phrases cheap.
+        bits.append(math.log2(len(seq) + width))
     return Model(langs, alphabet, tables, bits)
 
 

@@ -53,6 +53,20 @@ def test_language(spark):
     assert langid.Parser(langid.fit([])).predict(["x"])[0] == ["und"]
 
 
+def test_language_beside_a_tiny_one(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = langid.training_rows(docs, langid.fold(docs["doc_id"], 5) != 0)
+    texts = [r.text for r in docs.select("text").collect()]
+    alone = langid.fit(rows)
+    want, _ = langid.Parser(alone).predict(texts)
+    for tiny in ("a", "the", "zq zq"):
+        model = langid.fit([*rows, ("xx", tiny)])
+        of = {k: t.size // model.width for k, t in zip(model.langs, model.tables, strict=True)}
+        assert all(of[k] >= t.size // alone.width for k, t in zip(alone.langs, alone.tables, strict=True))
+        got, _ = langid.Parser(model).predict(texts)
+        assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.99 * len(texts)
+
+
 def test_quality(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = queries.op3_quality(spark, SF).join(labels, "doc_id").where("held_out").collect()
