@@ -36,7 +36,7 @@ from .common import cut, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT, BLOCK = 16 << 20, 1 << 20
-#: A header is decided on within so many bytes of a member.
+#: A header is looked for by so many bytes at a time.
 HEADER = 1 << 16
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "path string, offset long, record_id string, record_type string, target string, refers_to string, payload_digest string, payload_length long, payload binary"
@@ -123,10 +123,22 @@ class _Window:
 
 
 def _is_record(window: _Window, offset: int) -> bool:
-    """Whether a member at the offset decompresses to a WARC header."""
-    unpack = zlib.decompressobj(31)
+    """Whether a member at the offset decompresses to a WARC header, however long."""
+    unpack, head, at = zlib.decompressobj(31), bytearray(), offset
     try:
-        head = unpack.decompress(window.upto(HEADER, offset), HEADER)
+        while not unpack.eof:
+            data = unpack.unconsumed_tail
+            if not data:
+                data = window.upto(HEADER, at)
+                at += len(data)
+            got = unpack.decompress(data, HEADER)
+            if not data and not got:
+                return False
+            head += got
+            if len(head) >= 64 and not re.match(rb"WARC/\d+\.\d+\r\n", head):
+                return False
+            if head.find(b"\r\n\r\n", max(0, len(head) - len(got) - 3)) >= 0:
+                break
     except zlib.error:
         return False
     return re.match(rb"WARC/\d+\.\d+\r\n", head) is not None and b"\r\n\r\n" in head

@@ -34,6 +34,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive(pages.limit(0), f"file://{tmp_path}/b").count() == 0
 
 
+def test_warc_long_urls(spark, tmp_path):
+    import random
+
+    rng = random.Random(8)
+    urls = ["http://h/" + "x" * 70_000, "http://h/" + "é" * 22_000, "http://h/" + "".join(rng.choice("abcdefghijklmnop0123456789") for _ in range(2_500_000)), "http://h/short"]
+    rows = [(k, urls[k % 4], f"<p>{k}</p>") for k in range(12)]
+    manifest = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), f"file://{tmp_path}/a")
+    for split in (100_000, 1 << 24):
+        got = warc.digests(warc.read(manifest, split)).collect()
+        assert sorted((r.page_id, len(r.target)) for r in got) == [(k, len(u.replace("é", "%C3%A9"))) for k, u, _ in rows]
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = queries.op4_language(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
