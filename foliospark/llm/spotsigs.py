@@ -105,34 +105,38 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def similar_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members (id, class), pairs (a, b, similarity) of classes): classes are texts of equal sets, by their smallest id; pairs of classes reach the threshold.
+    """(members (id, class, key), pairs (a, b, similarity, key_a, key_b) of classes): classes are texts of equal sets, named by their smallest id; pairs of classes reach the threshold.
+
+    A key, the hash of a class's set, tells classes apart whose smallest ids are null or the same; a is the smaller id, null last.
 
     Each class is dealt out under its rarest signatures, so many that a pair at the threshold shares one,
     and under the length partitions that a partner can have. Classes without signatures have no partners.
     """
     sets = cut(fingerprints(docs, id_col, text_col))
     named = sets.withColumn("key", F.sha2(F.concat_ws(",", F.col("signatures").cast("array<string>")), 256))
-    firsts = cut(named.groupBy("key").agg(F.min("id").alias("class")))
-    members = named.join(firsts, "key").select("id", "class", "signatures", "n")
-    classes = cut(members.where(F.col("id").eqNullSafe(F.col("class")) & (F.col("n") > 0)).dropDuplicates(["class"]).select("class", "signatures", "n"))
-    spots = classes.select("class", F.explode("signatures").alias("s"), "n")
+    firsts = cut(named.groupBy("key").agg(F.min("id").alias("class"), F.first("signatures").alias("signatures"), F.first("n").alias("n")))
+    members = named.select("id", "key").join(firsts.select("key", "class"), "key")
+    classes = firsts.where("n > 0")
+    spots = classes.select("key", F.explode("signatures").alias("s"), "n")
     often = cut(spots.groupBy("s").agg(F.count("*").alias("often")))
-    rank = F.row_number().over(Window.partitionBy("class").orderBy("often", "s"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("often", "s"))
     rare = spots.join(often, "s").where("often > 1 OR n = 1").withColumn("rank", rank)
     # Of n signatures, n - ceil(threshold * n) + 1 suffice; those that no other class has only fill places.
-    alone = spots.join(often, "s").groupBy("class").agg(F.count_if(F.col("often") == 1).alias("alone"))
-    rare = rare.join(alone, "class").where(F.col("rank") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
+    alone = spots.join(often, "s").groupBy("key").agg(F.count_if(F.col("often") == 1).alias("alone"))
+    rare = rare.join(alone, "key").where(F.col("rank") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
     step = float(np.log(1 / threshold))
     part = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
-    dealt = rare.select("class", "n", "s", part.alias("part"))
-    left = dealt.select(F.col("class").alias("a"), F.col("n").alias("na"), "s", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    right = dealt.select(F.col("class").alias("b"), F.col("n").alias("nb"), "s", "part")
+    dealt = rare.select("key", "n", "s", part.alias("part"))
+    left = dealt.select(F.col("key").alias("a"), F.col("n").alias("na"), "s", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+    right = dealt.select(F.col("key").alias("b"), F.col("n").alias("nb"), "s", "part")
     met = left.join(right, ["s", "part"]).where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sides = [classes.select(F.col("class").alias(x), F.col("signatures").alias(f"s{x}")) for x in ("a", "b")]
+    sides = [classes.select(F.col("key").alias(x), F.struct(F.col("class").isNull().alias("last"), "class", "key").alias(f"c{x}"), F.col("signatures").alias(f"s{x}")) for x in ("a", "b")]
     shared = F.size(F.array_intersect("sa", "sb"))
-    pairs = met.join(sides[0], "a").join(sides[1], "b").withColumn("similarity", shared / (F.size("sa") + F.size("sb") - shared)).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
-    return members.select("id", "class"), pairs
+    alike = met.join(sides[0], "a").join(sides[1], "b").withColumn("similarity", shared / (F.size("sa") + F.size("sb") - shared)).where(F.col("similarity") >= threshold)
+    ends = alike.select(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"), "similarity")
+    pairs = ends.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), "similarity", F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b"))
+    return members.select("id", "class", "key"), pairs
 
 
 def edited(text: str, following: str) -> str:

@@ -173,6 +173,16 @@ def test_spotsigs_pairs(spark):
     assert {(r.a, r.b) for r in pairs.collect()} == want and want
 
 
+def test_spotsigs_pairs_of_shared_ids(spark):
+    base = [[f"word{k}x{j} the" for j in range(30)] for k in range(3)]
+    # Two near sets of null ids, two of one id, two of different ids with a null copy.
+    ids = [(None, None), (7, 7), (9, 8)]
+    rows = [(i, " ".join(b if k == 0 else [*b, "tail"])) for b, pair in zip(base, ids, strict=True) for k, i in enumerate(pair)]
+    members, pairs = spotsigs.similar_pairs(spark.createDataFrame([*rows, (None, rows[5][1])], "doc_id long, text string"))
+    assert sorted(((r.a, r.b) for r in pairs.collect()), key=str) == sorted([(None, None), (7, 7), (8, 9)], key=str)
+    assert members.count() == 7 and members.select("key").distinct().count() == 6
+
+
 def removed(rows, length=20):
     seen, out = {}, {}
     for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
