@@ -61,7 +61,7 @@ def header(docs: DataFrame, text_col: str = "raw_text") -> DataFrame:
     df = df.withColumn("__seller", F.filter(lines, lambda x: x.rlike(SELLER_PART)))
     buyer_at = F.array_position(F.transform(lines, lambda x: x.rlike(BUYER_PART)), True).cast("int")
     df = df.withColumn("__b", F.when(buyer_at > 0, buyer_at).otherwise(F.size(lines) + 1))
-    head, tail = F.slice(lines, F.lit(1), F.col("__b") - 1), F.slice(lines, F.col("__b"), 10_000)
+    head, tail = F.slice(lines, F.lit(1), F.col("__b") - 1), F.slice(lines, F.col("__b"), F.size(lines))
     df = df.withColumn("__head", head).withColumn("__tail", tail)
     head, tail, text = F.col("__head"), F.col("__tail"), F.array_join(lines, "\n")
     labelled = lambda ls, k: _first(ls, rf"(?iu)^{LABELS[k]}\s*(?:\([^)]*\))?\s*:\s*(.+)$")

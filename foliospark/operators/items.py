@@ -73,7 +73,7 @@ def _unit(text: Column) -> Column:
 def html_items(text: Column) -> Column:
     """Items of the first HTML table by place, behind its first row; rows of six cells and more with a number."""
     table = F.regexp_extract(text, r"(?is)<table.*?(?:</table>|$)", 0)
-    rows = F.slice(F.regexp_extract_all(table, F.lit(r"(?is)<tr.*?(?=<tr|</table>|$)"), F.lit(0)), 2, 100_000)
+    rows = let(F.regexp_extract_all(table, F.lit(r"(?is)<tr.*?(?=<tr|</table>|$)"), F.lit(0)), lambda x: F.slice(x, F.lit(2), F.size(x)))
     plain = lambda x: stripped(F.replace(F.replace(F.replace(F.replace(F.regexp_replace(x, r"(?s)<[^>]*>", ""), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&")))
     cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td[^>]*>(.*?)(?=</td>|<td|</tr>|$)"), F.lit(1)), plain))
     bare = lambda x: F.regexp_replace(x, r"^[()]+|[()]+$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.functions.numbers import stripped
+from foliospark.functions.numbers import let, stripped
 
 # Extensions that are taken.
 EXTENSIONS = ["png", "jpg", "jpeg", "pdf", "doc", "docx"]
@@ -31,7 +31,7 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
 
 def split_samples(df: DataFrame, text_col: str = "value") -> DataFrame:
     banner = r"={20,}\s*\n=+ SAMPLE (\d+) - ([^\n=]*?) =+\s*\n={20,}"
-    pieces = F.slice(F.split(text_col, banner.replace("(", "(?:")), 2, 100_000)
+    pieces = let(F.split(text_col, banner.replace("(", "(?:")), lambda x: F.slice(x, F.lit(2), F.size(x)))
     numbers, names = (F.regexp_extract_all(text_col, F.lit(banner), F.lit(k)) for k in (1, 2))
     both = df.select(F.explode(F.arrays_zip(numbers.alias("n"), names.alias("name"), pieces.alias("text"))).alias("s"))
     return both.select(F.col("s.n").cast("int").alias("sample_no"), F.col("s.name").alias("name"), F.regexp_replace(stripped(F.col("s.text")), '(?s)^"(.*)"$', "$1").alias("text"))

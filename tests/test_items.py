@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from foliospark.operators import items
+from foliospark.operators import header, items, shipping
+from foliospark.sources import readers
 
 
 def rows(spark, text):
@@ -54,3 +55,27 @@ def test_nulls_and_filters(spark):
     bad = [("USD", 1.0, 1.0, 1.0), ("FOB:", 1.0, 1.0, 1.0), ("ok", None, None, None), ("good", 1.0, None, 2.0), ("12", None, None, 2.0), ("-", 1.0, None, 1.0), ("DHL express", 1.0, 1.0, 1.0), ("x", 1.0, 1.0, 2e12)]
     made = spark.createDataFrame([([(None, n, None, p, q, a, None, None, None) for n, q, p, a in bad],)], f"items {items.ITEMS}")
     assert [x.productName for x in made.select(items.without_garbage(F.col("items")).alias("i")).first().i] == ["good"]
+
+
+def test_html_rows_to_the_end(spark):
+    n = 100_003
+    text = "<table><tr><td>No</td></tr>" + "".join(f"<tr><td>{k}</td><td>P{k}</td><td>pcs</td><td>2</td><td>3</td><td>6</td></tr>" for k in range(1, n + 1)) + "</table>"
+    docs = spark.createDataFrame([(text,)], "raw string")
+    assert docs.select(F.size(items.html_items(F.col("raw"))).alias("n")).first().n == n
+
+
+def test_samples_to_the_end(spark):
+    n = 100_003
+    rule = "=" * 20
+    text = "".join(f"{rule}\n== SAMPLE {k} - s ==\n{rule}\nt{k}\n" for k in range(1, n + 1))
+    out = readers.split_samples(spark.createDataFrame([(text,)], "value string"))
+    assert out.where("text IS NULL").count() == 0 and out.where(f"sample_no = {n}").first().text == f"t{n}"
+
+
+def test_lines_to_the_end(spark):
+    docs = spark.range(1)
+    free = F.concat(F.array(F.lit("NAME")), F.transform(F.sequence(F.lit(1), F.lit(10_005)), lambda k: k.cast("string")))
+    address = docs.select(free.alias("l")).select(shipping._party(F.col("l"), "^shipper$", "zzz")[1].alias("a")).first().a
+    assert address.endswith(", 10005")
+    text = "Đơn vị bán hàng: A\nNgười mua hàng: B\n" + "x\n" * 10_005 + "Mã số thuế: 0107500414"
+    assert header.header(spark.createDataFrame([(text,)], "raw_text string")).first().buyerTaxCode == "0107500414"
