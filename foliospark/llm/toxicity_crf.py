@@ -175,6 +175,7 @@ def telling(texts: list[str], toxic: np.ndarray) -> set[str]:
 
 
 def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 50, rate: float = 0.5, pull: float = 1e-4, most_chains: int = 3000) -> Crf:
+    """A model of labelled texts. The CRF trains on `most_chains` chains with and as many without marked tokens; marks and head are fitted to all texts."""
     texts = [(t or "").lower() for t in texts]
     zero = Crf({}, -20.0, np.zeros((2, 2)), (-30.0, 0.0, 0.0))
     share = float(np.mean(toxic)) if len(texts) else 0.0
