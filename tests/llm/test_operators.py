@@ -205,26 +205,68 @@ def test_substrings(spark, monkeypatch):
         s = rng.randrange(350)
         rows.append((k, " ".join(rng.choice("pqrs") for _ in range(rng.randint(0, 9))) + " " + " ".join(base[s : s + rng.randint(10, 60)]) + "\n tail"))
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for many in (substring_fm.MANY, 1):
-        monkeypatch.setattr(substring_fm, "MANY", many)
+    # Each switch on both sides: anchors dealt by windows, tasks that hold little, shards of an anchor each.
+    for many, held, windows, shard in ((substring_fm.MANY, substring_fm.HELD, substring_fm.HELD_WINDOWS, substring_fm.SHARD_WORDS), (1, 40, 50, 1), (0, 1, 1, 300)):
+        for name, value in (("MANY", many), ("HELD", held), ("HELD_WINDOWS", windows), ("SHARD_WORDS", shard)):
+            monkeypatch.setattr(substring_fm, name, value)
         got = {r.id: (r.n_words, r.n_removed, r.kept) for r in substring_fm.dedupe(frame).collect()}
         assert got == removed(rows)
+    monkeypatch.undo()
+    # The common runs of words only say what meets where.
+    monkeypatch.setattr(substring_fm, "common_grams", lambda docs, length, gram: np.zeros(0, np.uint64))
+    assert {r.id: (r.n_words, r.n_removed, r.kept) for r in substring_fm.dedupe(frame).collect()} == removed(rows)
+    monkeypatch.undo()
     twice = spark.createDataFrame([(1, "w " * 30), (1, "w " * 30), (2, "v " * 30)], "doc_id long, text string")
     assert sorted(r.n_removed for r in substring_fm.dedupe(twice).collect()) == [29, 29, 29]
     assert substring_fm.dedupe(odd(spark).limit(0)).count() == 0
 
 
+def test_substrings_of_shared_ids_and_clashing_columns(spark):
+    x = " ".join(f"x{k}" for k in range(25))
+    rows = [(3, x), (3, "other " + x), (None, x + " end"), (None, "short"), (1, "y " * 25), (9, None)]
+    frame = spark.createDataFrame([(*r, 7, "k", 1, 2, 3, "z") for r in rows], "doc_id long, text string, id long, kept string, n_words long, n_removed long, doc long, carried string").repartition(3)
+    got = substring_fm.dedupe(frame, carry=[c for c in frame.columns if c not in ("doc_id", "text")]).collect()
+    assert len(got) == len(rows) and all(tuple(r.carried) == (7, "k", 1, 2, 3, "z") for r in got)
+    # Two texts of id 3 have the passage: one of them keeps it; so all 25 words go twice, and y's but the first window's 20.
+    assert sum(r.n_removed for r in got) == 25 + 25 + 24
+    assert {tuple((i.first, i.words) for i in r.intervals) for r in got if r.id is None} == {((0, 25),), ()}
+
+
 def test_fm_index():
     rng = np.random.default_rng(4)
-    text = np.append(rng.integers(1, 7, 3000), 0)  # a text ends in 0, which no pattern holds
-    index = substring_fm.FmIndex(text, 7, 8)
+    text = np.append(rng.integers(1, 7, 3000), 0)  # the text ends in a number that it has once
+    index = substring_fm.FmIndex(text, 7, 3000)
     for _ in range(50):
         p = rng.integers(1, 7, 4)
         low, high = np.array([0]), np.array([text.size])
         for c in p[::-1]:
             low, high = index.extend(np.array([c]), low, high)
         want = [k for k in range(text.size - 3) if (text[k : k + 4] == p).all()]
-        assert sorted(k for k in index.order[low[0] : high[0]].tolist() if k <= text.size - 4) == want
+        assert sorted(index.locate(np.arange(low[0], high[0])).tolist()) == want
+
+
+def test_matching_statistics():
+    rng = np.random.default_rng(5)
+    text = np.append(rng.integers(1, 4, 400), 0)
+    index = substring_fm.FmIndex(text, 4, 400)
+    ends = np.arange(30, 390, 9)
+    got, low, high = index.matches(text, ends, np.full(ends.size, 25), 4)
+    for e, m, a, b in zip(ends.tolist(), got.tolist(), low.tolist(), high.tolist(), strict=True):
+        times = lambda n: sum((text[k : k + n] == text[e - n + 1 : e + 1]).all() for k in range(text.size - n + 1))  # noqa: E731, B023
+        assert m == max([n for n in range(1, 26) if times(n) > 1], default=0)
+        assert m < 4 or b - a == times(4)
+
+
+def test_common_runs_of_words_come_last(spark):
+    line = " ".join(f"c{k}" for k in range(30))
+    docs = spark.createDataFrame([(k, f"{k}a {k}b {k}c {line} {k}d {k}e") for k in range(20)], "doc_id long, text string")
+    common = substring_fm.common_grams(docs)
+    assert common.size == 24 and (np.sort(common) == common).all()
+    texts = [r.text.encode() for r in docs.collect()]
+    anchors = [set(substring_fm.Segmenter(common=common).segments([t])[0].tolist()) for t in texts]
+    # What documents share but for windows within the line: nothing, as other windows have a run of their own.
+    inside = set(substring_fm.Segmenter(common=common).segments([line.encode()])[0].tolist())
+    assert anchors[0] & anchors[1] == inside and substring_fm.common_grams(docs.limit(0)).size == 0
 
 
 def test_pipeline(spark):
