@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     left = substring_fm.dedupe(docs, carry=others, verbatim=True).where("n_removed < n_words")
-    return left.select(F.col("id").alias("doc_id"), F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"), *others).select(*docs.columns)
+    return left.select(F.col("id").alias("doc_id"), F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"), *[F.col(f"carried.`{c}`").alias(c) for c in others]).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
