@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
+    """The folder named by spark.checkpoint.dir; only where that is unset, and driver and executors are one process, as in tests, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="folio-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,6 +40,31 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(keep: list[str]) -> Column:
+    """The columns of `keep` in one struct, so that their names meet no others; null without any."""
+    return (F.struct(*[F.col(f"`{c}`").alias(c) for c in keep]) if keep else F.lit(None).cast("int")).alias("carried")
+
+
+def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with `place`, each row's place in the order, from 0: parts by range, whose sizes are added up. The driver holds a number for each part."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = rows.columns
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part)), pa.array(np.arange(k, k + batch.num_rows))], [*names, "__part", "__k"])
+            k += batch.num_rows
+
+    placed = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(count, rows.schema.add("__part", "long").add("__k", "long")))
+    starts, so_far = [], 0
+    for part, size in sorted((r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect()):
+        starts.append((part, so_far))
+        so_far += size
+    offsets = rows.sparkSession.createDataFrame(starts, "__part long, __start long")
+    return placed.join(F.broadcast(offsets), "__part").withColumn("place", F.col("__start") + F.col("__k")).select(*names, "place")
+
+
 def words_of(text: Column) -> Column:
     """Words of a text, in order; none for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))

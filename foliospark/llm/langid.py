@@ -3,17 +3,20 @@
 For each language a suffix automaton is built over labelled text. A text is parsed against it greedily:
 the longest match is taken, a phrase ends where the automaton has no way on, and the next starts there.
 Phrases are normalised to bits for a character, phrases * log2(reference length + letters told apart) /
-characters; the language that needs fewest wins. Texts are parsed whole, in pieces of 256 letters that advance together
-through dense transition tables: entry [state, letter] holds the next state, restart included, and a
-bit that says whether a phrase ended.
+characters; the language that needs fewest wins. Texts are parsed whole. For speed, pieces of 256 letters
+first advance together, each as if a phrase began there; then each goes on into the next piece until the two
+parses are in one state, from where on they agree. So the phrases are those of one parse from start to end.
 
-Fitting reads `per_language` labelled texts of each language (those of the smallest hash of their id), of
-each an excerpt of `excerpt` characters; both bounds are parameters. A language's reference is all of that,
-however little text another language has. Prediction uses only the text.
+Automata are kept as displaced rows: a state's letters stand at its base, in places that other states leave free.
+
+Fitting reads `per_language` whole labelled texts of each language, those of the smallest hash of their id among
+texts of up to `longest` characters, then the next longer ones; all three bounds of training_rows() are parameters. A
+language's reference is all of that, however little text another language has. A language all of whose texts are
+longer than `most` is not learned. Prediction uses only the text.
 
 Defined results: a text that is null or has no letter is `und` with score 0; ties go to the language first
 in code-point order; repeated rows each keep a row; a null id is held out; without any labelled text all
-is `und`; extra columns are ignored.
+is `und`; extra columns are ignored, or carried in a struct whatever they are called.
 """
 
 from __future__ import annotations
@@ -28,20 +31,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import carried, pieces
 
 PIECE = 256
 SPACE, OTHER = 0, 1
-ENDED = 1 << 30
 #: Characters of which the longer pieces differ in sureness no more.
 SURE = 120
 
 
+@dataclass
+class Table:
+    """An automaton's transitions: `to` of a state and letter stands at base[state] + letter if `owner` there is the state."""
+
+    base: np.ndarray
+    owner: np.ndarray
+    to: np.ndarray
+    restart: np.ndarray  # [letter]: the state of a phrase that begins with it
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, whether a phrase ended before the letter)."""
+        at = self.base.take(state)
+        at += letter
+        ended = self.owner.take(at) != state
+        return np.where(ended, self.restart.take(letter), self.to.take(at)), ended
+
+
 @dataclass
 class Model:
     langs: list[str]
     letters: str
-    tables: list[np.ndarray]  # [state * width + letter] -> next state * width, plus ENDED
+    tables: list[Table]
     bits: list[float]  # of a phrase
 
     @property
@@ -78,13 +97,39 @@ def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
-def _dense(nxt: list[dict[int, int]], width: int) -> np.ndarray:
-    table = np.full((len(nxt), width), -1, np.int32)
+def _displaced(nxt: list[dict[int, int]], width: int) -> Table:
+    """States of several letters are put where all their places are free; those of one letter fill what is left."""
+    many = sorted((s for s, row in enumerate(nxt) if len(row) > 1), key=lambda s: -len(nxt[s]))
+    used, base, low, top = bytearray(4 * width), np.full(len(nxt), width, np.int32), width, width
+    for s in many:
+        one, *more = nxt[s]
+        place, tries = low, 0
+        while True:
+            place = used.find(0, place)
+            if place < 0 or place + 2 * width > len(used):
+                used.extend(bytes(len(used)))
+                place = max(place, low)
+            elif place - one >= width and not any([used[place - one + c] for c in more]):
+                break
+            else:
+                place, tries = place + 1, tries + 1
+        low = place if tries > 8 else low
+        at, letters = place - one, nxt[s]
+        for c in letters:
+            used[at + c] = 1
+        base[s], top = at, max(top, at)
+    single = [s for s, row in enumerate(nxt) if len(row) == 1]
+    free = np.flatnonzero(np.frombuffer(bytes(used), np.uint8)[width:] == 0) + width
+    free = np.concatenate([free, len(used) + np.arange(max(0, len(single) - free.size))])[: len(single)]
+    size = int(max([top, len(used), *(free[-1:] + 1)])) + 2 * width
+    owner, to = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    for s, place in zip(single, free.tolist(), strict=True):
+        base[s] = place - next(iter(nxt[s]))
     for s, row in enumerate(nxt):
         for c, t in row.items():
-            table[s, c] = t * width
-    start = np.where(table[0] >= 0, table[0], 0)
-    return np.where(table >= 0, table, start + ENDED).astype(np.int32).ravel()
+            owner[base[s] + c], to[base[s] + c] = s, t
+    restart = np.array([nxt[0].get(c, 0) for c in range(width)], np.int32)
+    return Table(base, owner, to, restart)
 
 
 def _plain(text: str) -> str:
@@ -106,7 +151,7 @@ def fit(rows: list[tuple[str, str]], letters: int = 120) -> Model:
     tables, bits = [], []
     for k in langs:
         seq = [index.get(c, OTHER) for c in " ".join(texts[k])]
-        tables.append(_dense(suffix_automaton([SPACE, *seq]), width))
+        tables.append(_displaced(suffix_automaton([SPACE, *seq]), width))
         # A phrase is a place in the reference or a letter by itself: a tiny reference doesn't make phrases cheap.
         bits.append(math.log2(len(seq) + width))
     return Model(langs, alphabet, tables, bits)
@@ -135,27 +180,62 @@ class Parser:
         before = np.concatenate([[False], here[:-1]]) if doc.size else np.zeros(0, bool)
         keep = here | (before & ~first)
         cls, doc = cls[keep], doc[keep]
+        inner = (cls != SPACE) | (np.append(doc[1:], -1) == doc)
+        cls, doc = cls[inner], doc[inner]
         n = np.bincount(doc, minlength=len(texts))
         starts = np.cumsum(n) - n
         parts = -(-n // PIECE)
         owner = np.repeat(np.arange(len(texts)), parts)
-        at = starts[owner] + (np.arange(owner.size) - np.repeat(np.cumsum(parts) - parts, parts)) * PIECE
-        size = np.minimum(PIECE, (starts + n)[owner] - at)
+        number = np.arange(owner.size) - np.repeat(np.cumsum(parts) - parts, parts)
+        size = np.minimum(PIECE, n[owner] - number * PIECE)
+        # Long pieces first; before: the piece before each, or -1.
         order = np.argsort(-size, kind="stable")
-        at, owner, size = at[order], owner[order], size[order]
-        active = np.searchsorted(-size, -np.arange(PIECE), "left") if size.size else np.zeros(PIECE, int)
+        place = np.empty(order.size, np.int64)
+        place[order] = np.arange(order.size)
+        before, after = (np.full(order.size, -1) for _ in range(2))
+        later = np.flatnonzero(number > 0)
+        before[place[later]], after[place[later - 1]] = place[later - 1], place[later]
+        owner, size, begin = owner[order], size[order], (starts[owner] + number * PIECE)[order]
+        columns = [cls[begin[:m] + k].astype(np.int32) for k, m in enumerate(np.searchsorted(-size, -np.arange(PIECE), "left").tolist()) if m]
         out = np.zeros((len(texts), len(self.model.langs)))
-        columns = [cls[at[:m] + k].astype(np.int32) for k, m in enumerate(active) if m]
         for k, table in enumerate(self.model.tables):
-            state, ended = np.zeros(at.size, np.int32), np.zeros(at.size, np.int32)
-            for c in columns:
-                m = c.size
-                to = table.take(state[:m] + c)
-                ended[:m] += to >> 30
-                np.bitwise_and(to, ENDED - 1, out=state[:m])
-            out[:, k] = np.bincount(owner, weights=ended + 1, minlength=len(texts))
+            out[:, k] = np.bincount(owner, self._parse(table, columns, size, before, after), len(texts)) + 1
         return out, n
 
+    @staticmethod
+    def _parse(table: Table, columns: list[np.ndarray], size: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """How many phrases end within each piece of texts that are parsed from start to end. columns: the k-th letters of all pieces that have so many."""
+        states, state = [], np.zeros(size.size, np.int32)
+        ended, counts = [], np.zeros(size.size, np.int64)
+        for letters in columns:
+            state, over = table.step(state[: letters.size], letters)
+            states.append(state)
+            ended.append(over)
+            counts[: letters.size] += over
+        # Each piece goes on where the one before it has ended, until it is in the state that was guessed.
+        lanes = np.flatnonzero(before >= 0)
+        while lanes.size:
+            last = size[before[lanes]] - 1
+            state = np.empty(lanes.size, np.int32)
+            for k in np.unique(last).tolist():
+                state[last == k] = states[k][before[lanes[last == k]]]
+            going, missed = lanes, []
+            for k, letters in enumerate(columns):
+                state, over = table.step(state, letters[going])
+                counts[going] += over.astype(np.int64) - ended[k][going]
+                ended[k][going] = over
+                differs = states[k][going] != state
+                states[k][going] = state
+                done = size[going] == k + 1
+                missed.append(going[differs & done])
+                going, state = going[differs & ~done], state[differs & ~done]
+                if not going.size:
+                    break
+            # A piece that never met its guess hands on another state than before.
+            lanes = after[np.concatenate(missed)]
+            lanes = lanes[lanes >= 0]
+        return counts
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         counts, n = self.phrases(texts)
         if not self.model.langs:
@@ -172,27 +252,27 @@ def fold(id_col: Column, of: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % of
 
 
-def training_rows(docs: DataFrame, usable: Column, per_language: int = 100, excerpt: int = 450, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """The bounded sample: (language, excerpt) of `per_language` usable texts of each language."""
-    rank = Window.partitionBy("lang").orderBy("place", "text")
-    rows = docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, excerpt).alias("text"), F.xxhash64(F.col(id_col)).alias("place")
-    )
-    return [(r.lang, r.text) for r in rows.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= per_language).select("lang", "text").collect()]
+def training_rows(docs: DataFrame, usable: Column, per_language: int = 50, longest: int = 2000, most: int = 100_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
+    """The bounded sample: (language, whole text) of up to `per_language` usable texts of each language, of `most` characters together."""
+    size = F.length("text")
+    rank = Window.partitionBy("lang").orderBy("longer", "place", "text")
+    rows = docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("place"))
+    rows = rows.where(size <= most).withColumn("longer", F.when(size > longest, size).otherwise(0))
+    rows = rows.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= per_language)
+    rows = rows.withColumn("upto", F.sum(size).over(rank.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("upto") <= most) | (F.col("rank") == 1))
+    return [(r.lang, r.text) for r in rows.select("lang", "text").collect()]
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Rows (the columns of `keep`, lang_pred, score), one for each row of docs."""
+    """Rows (carried, lang_pred, score), one for each row of docs; carried: the columns of `keep` in a struct."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the reference texts, not by the corpus
-    kept = docs.select(*keep, F.col(text_col).alias("__text"))
-    names = kept.columns[:-1]
+    kept = docs.select(carried(keep), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = None
-        for batch in pieces(batches, 3_000_000, "__text"):
+        for batch in pieces(batches, 3_000_000):
             parser = parser or Parser(held.value)
-            langs, score = parser.predict(batch.column(len(names)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+            langs, score = parser.predict(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score)], ["carried", "lang_pred", "score"])
 
-    schema = kept.drop("__text").schema.add("lang_pred", "string").add("score", "double")
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, kept.drop("text").schema.add("lang_pred", "string").add("score", "double"))

@@ -11,7 +11,8 @@ smallest hash of their id), a parameter.
 
 Defined results: null is the empty text, and empty texts are scored like any other; repeated rows each
 keep a row; a null id is held out; with labels of one class only, or none, every score is that share
-(0.5 without labels); labels that are null are not used; extra columns are ignored.
+(0.5 without labels); labels that are null are not used; extra columns are ignored, or carried in a struct whatever
+they are called.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, pieces
+from .common import byte_texts, carried, pieces
 
 FEATURES = [
     "log_bytes", "log_words", "mean_word", "upper_share", "digit_share", "high_share", "space_share", "line_share",
@@ -202,12 +203,11 @@ def train(docs: DataFrame, labels: DataFrame, usable, label_col: str = "quality"
 
 
 def assess(docs: DataFrame, gam: Gam, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Rows (the columns of `keep`, score), one for each row of docs."""
-    kept = docs.select(*keep, F.col(text_col).alias("__text"))
-    names = kept.columns[:-1]
+    """Rows (carried, score), one for each row of docs; carried: the columns of `keep` in a struct."""
+    kept = docs.select(carried(keep), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, column="__text"):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(gam.score(matrix(byte_texts(batch.column(len(names))))))], [*names, "score"])
+        for batch in pieces(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gam.score(matrix(byte_texts(batch.column(1)))))], ["carried", "score"])
 
-    return kept.mapInArrow(run, kept.drop("__text").schema.add("score", "double"))
+    return kept.mapInArrow(run, kept.drop("text").schema.add("score", "double"))

@@ -33,7 +33,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = langid.fold(F.col("doc_id"), 4)
     gam = quality_gam.train(docs, table(spark, sf_dir, "labels"), fold != 2)
     scored = quality_gam.assess(docs, gam, ["doc_id"])
-    return scored.select("doc_id", F.coalesce(fold == 2, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.withColumn("doc_id", F.col("carried.doc_id")).select("doc_id", F.coalesce(fold == 2, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = langid.fold(F.col("doc_id"), 5)
     model = langid.fit(langid.training_rows(docs, fold != 0))
     found = langid.identify(docs, model, ["doc_id"])
-    return found.select("doc_id", F.coalesce(fold == 0, F.lit(True)).alias("held_out"), "lang_pred", "score")
+    return found.withColumn("doc_id", F.col("carried.doc_id")).select("doc_id", F.coalesce(fold == 0, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = weak_rules.judge(table(spark, sf_dir, "documents"), ["doc_id"])
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    return judged.select("carried.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = langid.fold(F.col("doc_id"), 3)
     crf = toxicity_crf.train(docs, table(spark, sf_dir, "labels"), fold != 1)
     scored = toxicity_crf.score(docs, crf, ["doc_id"])
-    return scored.select("doc_id", F.coalesce(fold == 1, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+    return scored.withColumn("doc_id", F.col("carried.doc_id")).select("doc_id", F.coalesce(fold == 1, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,10 @@ def _list_links(block: int, fps: np.ndarray, bits: int) -> Iterator[tuple[int, n
 
 
 def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that connect all that lie within `bits` bits."""
+    """Links (a, b) between distinct fingerprints (column fp) that connect all that lie within `bits` bits, of which there may be three: the position sets
+    hold five shared bytes or more."""
+    if not 0 <= bits <= BITS:
+        raise ValueError(f"links are found within 0 to {BITS} bits, not {bits}")
     octet = lambda p: F.shiftright("fp", 8 * p).bitwiseAND(F.lit(255))
     packed = lambda b: sum((F.shiftleft(octet(p), 8 * k) for k, p in enumerate(b[1:], 1)), octet(b[0]))
     keys = F.array(*[packed(b) + F.lit(k << 32) for k, b in enumerate(BLOCKS)])
@@ -184,9 +187,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     distinct = cut(fps.groupBy("fp").agg(first))
     least = rooted(distinct).groupBy("root").agg(F.min("first").alias("first"))
     firsts = cut(least.select(F.col("first.id").alias("_first"), F.col("first.text_hash").alias("_hash"), F.col("first.rows").alias("_rows")))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_first")) & (F.xxhash64(text_col) == F.col("_hash"))
-    kept = docs.join(firsts, same, "left_semi")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("carried"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
+    same = rows["id"].eqNullSafe(F.col("_first")) & (rows["hash"] == F.col("_hash"))
+    kept = rows.join(firsts, same, "left_semi")
     many = firsts.where("_rows > 1")
     if many.isEmpty():
-        return kept
-    return kept.join(many, same, "left_anti").unionByName(kept.join(many, same, "left_semi").dropDuplicates([id_col, text_col]))
+        return kept.select("carried.*")
+    return kept.join(many, same, "left_anti").unionByName(kept.join(many, same, "left_semi").dropDuplicates(["id", "hash"])).select("carried.*")

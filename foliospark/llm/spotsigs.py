@@ -17,6 +17,7 @@ single row is its own neighbour; no rows give no rows; extra columns are ignored
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,10 @@ COMMON = (
     "el los las del y una por con para su al lo como más no o esta sus"
 )
 CHAIN = 2
+#: Similarities under this are 0 in against_next(): such pairs aren't compared to the end.
+LEAST = 0.05
+#: Signatures that are compared at once.
+BLOCK = 256
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…¡¿—–"
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -80,16 +85,28 @@ def read(fingerprint: str) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard similarity of two sorted sets; 0 without comparing if their lengths keep it under `least`."""
+    """Jaccard similarity of two sorted sets, 0 where it is under `least`: sets of length partitions that are no neighbours aren't compared, and
+    comparing stops, after each block of signatures, as soon as those that are left can't reach it."""
     if not a.size or not b.size:
         return float(a.size == b.size)
-    if min(a.size, b.size) < least * max(a.size, b.size):
-        return 0.0
     small, large = (a, b) if a.size <= b.size else (b, a)
-    place = np.searchsorted(large, small)
-    place[place == large.size] = 0
-    shared = int((large[place] == small).sum())
-    return shared / (a.size + b.size - shared)
+    if least and (partition(large.size, least) - partition(small.size, least) > 1 or small.size < least * large.size):
+        return 0.0
+    shared, both = 0, small.size + large.size
+    for k in range(0, small.size, BLOCK):
+        block = small[k : k + BLOCK]
+        place = np.searchsorted(large, block)
+        place[place == large.size] = 0
+        shared += int((large[place] == block).sum())
+        most = shared + max(0, small.size - k - BLOCK)
+        if most < least * (both - most):
+            return 0.0
+    return shared / (both - shared)
+
+
+def partition(n: int, least: float) -> int:
+    """The length partition of a set: sets whose similarity is `least` or more are in one or in neighbours."""
+    return math.floor(math.log(n) / -math.log(least) + 1e-9)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: str = COMMON, chain: int = CHAIN) -> DataFrame:
@@ -123,13 +140,13 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     rare = spots.join(often, "s").where("often > 1 OR n = 1").withColumn("rank", rank)
     # Of n signatures, n - ceil(threshold * n) + 1 suffice; those that no other class has only fill places.
     alone = spots.join(often, "s").groupBy("key").agg(F.count_if(F.col("often") == 1).alias("alone"))
-    rare = rare.join(alone, "key").where(F.col("rank") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
+    rare = rare.join(alone, "key").where(F.col("rank") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
     step = float(np.log(1 / threshold))
-    part = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
+    part = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")
     dealt = rare.select("key", "n", "s", part.alias("part"))
     left = dealt.select(F.col("key").alias("a"), F.col("n").alias("na"), "s", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
     right = dealt.select(F.col("key").alias("b"), F.col("n").alias("nb"), "s", "part")
-    met = left.join(right, ["s", "part"]).where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
+    met = left.join(right, ["s", "part"]).where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9))
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sides = [classes.select(F.col("key").alias(x), F.struct(F.col("class").isNull().alias("last"), "class", "key").alias(f"c{x}"), F.col("signatures").alias(f"s{x}")) for x in ("a", "b")]
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -202,7 +219,7 @@ EDITED = "id long, n_chars long, edited_sha256 string, fingerprint string, edite
 
 
 def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (EDITED): fingerprints of every text and of its edited text, and their likeness to it and to the next text."""
+    """Rows (EDITED): fingerprints of every text and of its edited text, and their likeness to it and to the next text, 0 if under LEAST."""
 
     def handle(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         spotter, out, held = Spotter(), [], 0
@@ -226,7 +243,7 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 changed = edited(before, text)
                 other = spotter.signatures(changed)
                 marks = (written(signatures), written(other))
-                out.append((None if i == _LAST else i, len(before), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), *marks, likeness(signatures, other), likeness(signatures, own)))
+                out.append((None if i == _LAST else i, len(before), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), *marks, likeness(signatures, other, LEAST), likeness(signatures, own, LEAST)))
                 held += len(marks[0]) + len(marks[1]) + 200
                 if held > 4_000_000:
                     yield batch()

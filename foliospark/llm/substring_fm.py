@@ -27,17 +27,18 @@ ids come last; no documents give no rows; extra columns are ignored, whatever th
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, byte_texts, cut, pieces
+from .common import Memo, byte_texts, cut, pieces, ranked
 
 LENGTH, GRAM = 20, 7
 #: Rows a task holds before it tells equal segments, different segments of an anchor that is dealt by windows instead, words of a shard.
@@ -403,18 +404,29 @@ class FmIndex:
         return longest, *at_least
 
 
-def later_windows(words: list[list[bytes]], key: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def later_windows(segments: list[bytes], key: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, window, matching statistic of its end) of the windows that occur earlier. key: order of the segments' first windows, with room for `windows` after each."""
-    codes: dict[bytes, int] = {}
+    n, codes = len(segments), defaultdict(count().__next__)
     # Each segment ends in a number of its own, so that all suffixes differ.
-    flat = np.fromiter((c for k, ws in enumerate(words) for c in (*(codes.setdefault(w, len(codes)) + len(words) for w in ws), k)), np.int64)
-    size = np.fromiter((len(ws) + 1 for ws in words), np.int64, len(words))
+    size = windows + length
     first = np.cumsum(size) - size
-    index = FmIndex(flat, len(codes) + len(words), int(size.max()))
-    segment = np.repeat(np.arange(len(words)), windows)
+    flat = np.zeros(int(size.sum()), np.int64)
+    inside = np.ones(flat.size, bool)
+    inside[first + size - 1] = False
+    flat[inside] = np.fromiter(map(codes.__getitem__, b" ".join(segments).split()), np.int64, int(inside.sum())) + n
+    flat[~inside] = np.arange(n)
+    index = FmIndex(flat, len(codes) + n, int(size.max()))
+    segment = np.repeat(np.arange(n), windows)
     offset = np.arange(segment.size) - np.repeat(np.cumsum(windows) - windows, windows)
     start = first[segment] + offset
-    longest, low, high = index.matches(flat, start + length - 1, offset + length, length)
+    # Equal segments have equal answers: one of them is searched for.
+    firsts: dict[bytes, int] = {}
+    same = np.fromiter((firsts.setdefault(s, k) for k, s in enumerate(segments)), np.int64, n)
+    asked = np.flatnonzero(same[segment] == segment)
+    longest, low, high = (np.zeros(segment.size, np.int64) for _ in range(3))
+    longest[asked], low[asked], high[asked] = index.matches(flat, start[asked] + length - 1, offset[asked] + length, length)
+    of = (np.cumsum(windows) - windows)[same[segment]] + offset
+    longest, low, high = longest[of], low[of], high[of]
     which = np.flatnonzero(longest >= length)
     if not which.size:
         return segment[:0], offset[:0], longest[:0]
@@ -447,7 +459,7 @@ def _search(length: int):
         number = np.empty(len(rows), np.int64)
         number[order] = by_doc << 40
         key = number + pos
-        segment, offset, longest = later_windows([r[3].split() for r in rows], key, windows, length)
+        segment, offset, longest = later_windows([r[3] for r in rows], key, windows, length)
         if not segment.size:
             return None
         return _batch(["doc", "at", "matched"], docs[segment], _pack(pos[segment] + offset, np.ones(segment.size, np.int64), np.zeros(segment.size, np.int64)), longest.astype(np.int32))
@@ -491,31 +503,11 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) ->
     shared = base.groupBy("id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("id IS NULL OR a <> b")
     if shared.isEmpty():
         return base.select(F.col("id").alias("doc"), "text", "id", "carried")
-    numbers = _places(base.select("id", F.xxhash64("text").alias("tie")).distinct())
+    keys = base.select(F.col("id").alias("i"), F.xxhash64("text").alias("tie")).distinct()
+    numbers = ranked(keys, [F.col("i").asc_nulls_last(), F.col("tie")]).withColumnRenamed("place", "doc")
     return base.join(numbers, base["id"].eqNullSafe(numbers["i"]) & (F.xxhash64("text") == F.col("tie"))).select("doc", "text", "id", "carried")
 
 
-def _places(keys: DataFrame) -> DataFrame:
-    """(doc, i, tie): the place of each (id, tie) in order, null ids last. The driver holds a count for each part."""
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("id").asc_nulls_last(), F.col("tie")]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, part)), pa.array(np.arange(k, k + batch.num_rows)), *batch.columns], ["part", "k", "i", "tie"])
-            k += batch.num_rows
-
-    placed = cut(keys.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(count, "part long, k long, i long, tie long"))
-    sizes = sorted((r.part, r.n) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect())
-    starts, so_far = [], 0
-    for part, size in sizes:
-        starts.append((part, so_far))
-        so_far += size
-    offsets = placed.sparkSession.createDataFrame(starts, "part long, start long")
-    return placed.join(F.broadcast(offsets), "part").select((F.col("start") + F.col("k")).alias("doc"), "i", "tie")
-
-
 INTERVALS = T.ArrayType(T.StructType().add("first", T.IntegerType()).add("words", T.IntegerType()))
 
 

@@ -4,16 +4,20 @@ Only documents are labelled, so token labels come first: over one document of ea
 bounded sample, a word or word beginning marks its tokens as toxic if it hardly occurs in clean ones and
 chance would not put it into so many toxic ones, however many words are tried. On these tokens a two-state
 chain is fitted: features of a word (itself, its beginnings and its end) weigh for the toxic state, a
-matrix weighs the transitions. A text
-is read whole, as chains of up to 64 words; forward-backward gives each word's probability of being
-toxic, all chains of a batch at once. A document's score is a logistic function of the largest and the
-summed probabilities; words of a half or more are reported with their offsets.
+matrix weighs the transitions. A text is one chain from its first word to its last; forward-backward gives each
+word's probability of being toxic. For speed the chain is worked off in pieces of 64 words, all pieces of a batch at
+once: the odds at a piece's end are a fractional linear function of those at its start, so pieces are first reduced to
+their function, these are joined along the text, and then each piece is worked off from the odds it really starts with.
+A document's score is a logistic function of the largest and the summed probabilities; words of a half or more are
+reported with their offsets.
 
-Fitting reads at most `rows` toxic and twice as many clean labelled documents; `rows` is a parameter.
+Fitting reads at most `rows` toxic and twice as many clean labelled documents of up to `longest` characters, each
+whole and with all its words; both are parameters of train().
 
 Defined results: null is the empty text, and empty texts get the score of a text without toxic words;
 repeated rows each keep a row; a null id is held out; with labels of one class only, or none, every score
-is that share (0 without labels); labels that are null are not used; extra columns are ignored.
+is that share (0 without labels); labels that are null are not used; extra columns are ignored, or carried in a struct
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,13 +30,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, pieces
+from .common import Memo, carried, pieces
 
-CHAIN = 64
+PIECE = 64
 #: Weights below this are dropped.
 LEAST_WEIGHT = 0.02
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…¡¿—–"
@@ -41,9 +46,9 @@ SPANS = T.ArrayType(T.StructType().add("first", T.IntegerType()).add("last", T.I
 
 def parts(word: str) -> list[str]:
     """The features of a word in lower case."""
-    core = word.strip(_EDGE) or word[:12]
-    core = core[:40]
-    return ["w" + core, *(f"{n}{core[:n]}" for n in (3, 4, 5, 6) if len(core) > n), "e" + core[-4:]]
+    core = word.strip(_EDGE) or word
+    whole = core if len(core) <= 40 else xxhash.xxh128_hexdigest(core.encode("utf-8", "replace"))
+    return ["w" + whole, *(f"{n}{core[:n]}" for n in (3, 4, 5, 6) if len(core) > n), "e" + core[-4:]]
 
 
 @dataclass
@@ -58,34 +63,103 @@ class Crf:
         return self.bias + sum([found(p, 0.0) for p in parts(word)])
 
 
-def marginals(e: np.ndarray, step: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Probability of the toxic state. e: [chain, place] log-odds of emission; size: places of each chain, falling."""
+class Chains:
+    """Texts of `sizes` words, one behind the other, as pieces that are worked off together."""
+
+    def __init__(self, sizes: np.ndarray):
+        n = -(-sizes // PIECE)
+        self.words = int(sizes.sum())
+        owner = np.repeat(np.arange(sizes.size), n)
+        self.number = np.arange(owner.size) - np.repeat(np.cumsum(n) - n, n)  # of a piece in its text
+        self.first = (np.cumsum(sizes) - sizes)[owner] + self.number * PIECE
+        self.size = np.minimum(PIECE, sizes[owner] - self.number * PIECE)
+        self.last = self.number == n[owner] - 1
+        self.order = np.argsort(-self.size, kind="stable")
+        self.active = np.searchsorted(-self.size[self.order], -np.arange(PIECE), "left").tolist() if owner.size else [0] * PIECE
+        #: Pieces by their number in the text, those of one number together.
+        self.levels = np.split(np.argsort(self.number, kind="stable"), np.cumsum(np.bincount(self.number))[:-1]) if owner.size else []
+
+    def forward(self, x: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Odds of the toxic state from the words up to each. x: odds of emission, t: weights of transitions."""
+        out, entry = np.empty(self.words), np.zeros(self.first.size)
+        if len(self.levels) > 1:
+            # What a whole piece makes of odds r: (a r + b) / (c r + d).
+            whole = np.flatnonzero(~self.last)
+            a, b, c, d = np.ones(whole.size), np.zeros(whole.size), np.zeros(whole.size), np.ones(whole.size)
+            for k in range(PIECE):
+                y = x[self.first[whole] + k]
+                a, b, c, d = y * (t[1, 1] * a + t[0, 1] * c), y * (t[1, 1] * b + t[0, 1] * d), t[1, 0] * a + t[0, 0] * c, t[1, 0] * b + t[0, 0] * d
+                most = np.maximum(np.maximum(a, b), np.maximum(c, d))
+                a, b, c, d = a / most, b / most, c / most, d / most
+            of = np.full(self.first.size, -1)
+            of[whole] = np.arange(whole.size)
+            begins = self.levels[0]
+            r = self._run(x, t, begins, np.zeros(begins.size), out=None)
+            entry[begins[~self.last[begins]] + 1] = r[~self.last[begins]]
+            for level in self.levels[1:]:
+                on = level[~self.last[level]]
+                w, r = of[on], entry[on]
+                entry[on + 1] = (a[w] * r + b[w]) / (c[w] * r + d[w])
+        self._run(x, t, np.arange(self.first.size), entry, out)
+        return out
+
+    def _run(self, x: np.ndarray, t: np.ndarray, which: np.ndarray, entry: np.ndarray, out: np.ndarray | None) -> np.ndarray:
+        """Odds at the ends of the pieces `which` that start behind odds `entry`; those of all words go to out."""
+        order = which[np.argsort(-self.size[which], kind="stable")]
+        back = np.empty(self.first.size, np.int64)
+        back[which] = np.arange(which.size)
+        r = entry[back[order]]
+        begins, first, size = self.number[order] == 0, self.first[order], self.size[order]
+        for k, m in enumerate(np.searchsorted(-size, -np.arange(PIECE), "left").tolist()):
+            if not m:
+                break
+            y = x[first[:m] + k]
+            step = y * (t[0, 1] + r[:m] * t[1, 1]) / (t[0, 0] + r[:m] * t[1, 0])
+            r[:m] = np.where(begins[:m], y, step) if k == 0 else step
+            if out is not None:
+                out[first[:m] + k] = r[:m]
+        ends = np.empty(which.size)
+        ends[back[order]] = r
+        return ends
+
+    def backward(self, x: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The factor by which the words behind each change its odds."""
+        out, entry = np.empty(self.words), np.ones(self.first.size)
+        if len(self.levels) > 1:
+            later = np.flatnonzero(self.number > 0)  # these hand their factor on to the piece before
+            later = later[np.argsort(-self.size[later], kind="stable")]
+            a, b, c, d = np.ones(later.size), np.zeros(later.size), np.zeros(later.size), np.ones(later.size)
+            for k in range(PIECE - 1, -1, -1):
+                m = int(np.searchsorted(-self.size[later], -k, "left"))
+                if not m:
+                    continue
+                y = x[self.first[later[:m]] + k]
+                p, q, u, v = a[:m] * y, b[:m] * y, c[:m].copy(), d[:m].copy()
+                p, q, u, v = t[1, 1] * p + t[1, 0] * u, t[1, 1] * q + t[1, 0] * v, t[0, 1] * p + t[0, 0] * u, t[0, 1] * q + t[0, 0] * v
+                most = np.maximum(np.maximum(p, q), np.maximum(u, v))
+                a[:m], b[:m], c[:m], d[:m] = p / most, q / most, u / most, v / most
+            of = np.full(self.first.size, -1)
+            of[later] = np.arange(later.size)
+            for level in reversed(self.levels[1:]):
+                w, r = of[level], entry[level]
+                entry[level - 1] = (a[w] * r + b[w]) / (c[w] * r + d[w])
+        order, first, size = self.order, self.first[self.order], self.size[self.order]
+        r = entry[order]
+        for k in range(PIECE - 1, -1, -1):
+            m, beyond = self.active[k], self.active[k + 1] if k + 1 < PIECE else 0
+            if beyond:
+                y = x[first[:beyond] + k + 1] * r[:beyond]
+                r[:beyond] = (t[1, 0] + t[1, 1] * y) / (t[0, 0] + t[0, 1] * y)
+            out[first[:m] + k] = r[:m]
+        return out
+
+
+def marginals(e: np.ndarray, step: np.ndarray, chains: Chains) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of the toxic state, odds from the words up to it) of every word. e: log-odds of emission."""
     x, t = np.exp(np.clip(e, -25, 25)), np.exp(step)
-    odds = np.empty_like(x)
-    active = np.searchsorted(-size, -np.arange(x.shape[1]), "left") if size.size else np.zeros(x.shape[1], int)
-    odds[:, 0] = x[:, 0]
-    for k in range(1, x.shape[1]):
-        m = active[k]
-        r = odds[:m, k - 1]
-        odds[:m, k] = x[:m, k] * (t[0, 1] + r * t[1, 1]) / (t[0, 0] + r * t[1, 0])
-    after = np.ones(len(x))
-    for k in range(x.shape[1] - 2, -1, -1):
-        m = active[k + 1]
-        b = x[:m, k + 1] * after[:m]
-        after[:m] = (t[1, 0] + t[1, 1] * b) / (t[0, 0] + t[0, 1] * b)
-        odds[:m, k] *= after[:m]
-    return odds / (1 + odds)
-
-
-def chains(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, first word, words) of each chain, long ones first; sizes: words of each text."""
-    n = -(-sizes // CHAIN)
-    owner = np.repeat(np.arange(sizes.size), n)
-    place = (np.arange(owner.size) - np.repeat(np.cumsum(n) - n, n)) * CHAIN
-    size = np.minimum(CHAIN, sizes[owner] - place)
-    first = (np.cumsum(sizes) - sizes)[owner] + place
-    order = np.argsort(-size, kind="stable")
-    return owner[order], first[order], size[order]
+    odds = chains.forward(x, t)
+    both = odds * chains.backward(x, t)
+    return both / (1 + both), odds
 
 
 class Tagger:
@@ -102,13 +176,7 @@ class Tagger:
                 flat += t.lower().split()
                 sizes[k] = len(flat) - before
         e = np.fromiter(map(self.emissions.__getitem__, flat), np.float64, len(flat))
-        _, first, size = chains(sizes)
-        at = first[:, None] + np.arange(CHAIN)
-        inside = np.arange(CHAIN) < size[:, None]
-        p = marginals(np.where(inside, e[np.minimum(at, max(0, e.size - 1))] if e.size else 0.0, 0.0), self.crf.step, size)
-        out = np.zeros(e.size)
-        out[at[inside]] = p[inside]
-        return out, sizes
+        return marginals(e, self.crf.step, Chains(sizes))[0], sizes
 
     def scores(self, p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         most, total = pooled(p, sizes)
@@ -174,8 +242,8 @@ def telling(texts: list[str], toxic: np.ndarray) -> set[str]:
     return {f for f, m in counts[1].items() if m >= least and counts[0][f] * scale <= 0.02 * m}
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 50, rate: float = 0.5, pull: float = 1e-4, most_chains: int = 3000) -> Crf:
-    """A model of labelled texts. The CRF trains on `most_chains` chains with and as many without marked tokens; marks and head are fitted to all texts."""
+def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 50, rate: float = 0.5, pull: float = 1e-4) -> Crf:
+    """A model of labelled texts, of all their words."""
     texts = [(t or "").lower() for t in texts]
     zero = Crf({}, -20.0, np.zeros((2, 2)), (-30.0, 0.0, 0.0))
     share = float(np.mean(toxic)) if len(texts) else 0.0
@@ -183,43 +251,27 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 50, rate: floa
         zero.head = (30.0 if share else -30.0, 0.0, 0.0)
         return zero
     marks = telling(texts, toxic)
-    known = Memo(lambda w: any(p in marks for p in parts(w)), 1_000_000)
-    words = [t.split() for t in texts]
-    flat = [w for ws in words for w in ws]
-    sizes = np.array([len(ws) for ws in words], np.int64)
-    owner, first, size = chains(sizes)
-    y_flat = np.fromiter((known[w] for w in flat), bool, len(flat)) & np.repeat(toxic.astype(bool), sizes)
-    sums = np.concatenate([[0], np.cumsum(y_flat)])
-    hits = sums[first + size] > sums[first]
-    order = np.argsort((first * 2654435761) % (1 << 32), kind="stable")
-    pick = np.concatenate([order[hits[order]][:most_chains], order[~hits[order]][:most_chains]])
-    pick = pick[np.argsort(-size[pick], kind="stable")]
-    first, size = first[pick], size[pick]
-    at = first[:, None] + np.arange(CHAIN)
-    inside = np.arange(CHAIN) < size[:, None]
-    token = at[inside]
+    number: dict[str, int] = {}
+    rows = [np.fromiter((number.setdefault(w, len(number)) for w in t.split()), np.int32) for t in texts]
+    sizes, word = np.array([r.size for r in rows], np.int64), np.concatenate(rows)
+    marked = np.fromiter((any(p in marks for p in parts(w)) for w in number), bool, len(number))
     index: dict[str, int] = {}
-    slots = Memo(lambda w: [index.setdefault(p, len(index)) for p in parts(w)], 10_000_000)
-    lists = [slots[flat[k]] for k in token.tolist()]
-    ids, of = np.concatenate([np.array(x) for x in lists]) if lists else np.zeros(0, int), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    y = y_flat[token].astype(float)
-    y_grid = np.zeros(inside.shape)
-    y_grid[inside] = y
+    lists = [[index.setdefault(p, len(index)) for p in parts(w)] for w in number]
+    ids, of = np.fromiter((i for x in lists for i in x), np.int64), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    y = (marked[word] & np.repeat(toxic.astype(bool), sizes)).astype(float)
+    chains = Chains(sizes)
+    # Words with one behind them in their text.
+    pair = np.flatnonzero(np.repeat(np.arange(sizes.size), sizes)[1:] == np.repeat(np.arange(sizes.size), sizes)[:-1])
+    seen = np.bincount((2 * y[pair] + y[pair + 1]).astype(int), minlength=4).reshape(2, 2)
     w, bias, step = np.zeros(len(index)), -3.0, np.zeros((2, 2))
     gw, gb, gs = np.full(len(index), 1e-6), 1e-6, np.full((2, 2), 1e-6)
-    pair = inside[:, 1:]
-    seen = np.array([[(((1 - y_grid[:, :-1]) if i == 0 else y_grid[:, :-1]) * ((1 - y_grid[:, 1:]) if j == 0 else y_grid[:, 1:]))[pair].sum() for j in (0, 1)] for i in (0, 1)])
-    scale = 1 / max(1, len(token))
+    scale = 1000 / max(1, y.size)
     for _ in range(rounds):
-        e = np.zeros(inside.shape)
-        e[inside] = bias + np.bincount(of, w[ids], minlength=len(lists))
-        p = marginals(e, step, size)
-        p[~inside] = 0
-        # Pair marginals, from forward odds and the right neighbour's marginal.
-        expected = _pairs(e, step, size, p, pair)
-        slope = (y - p[inside]) * scale * 1000
-        dw = np.bincount(ids, slope[of], minlength=len(index)) - pull * w
-        db, ds = float(slope.sum()), (seen - expected) * scale * 1000 - pull * step
+        e = bias + np.bincount(of, w[ids], minlength=len(lists))[word]
+        p, odds = marginals(e, step, chains)
+        slope = (y - p) * scale
+        dw = np.bincount(ids, np.bincount(word, slope, minlength=len(lists))[of], minlength=len(index)) - pull * w
+        db, ds = float(slope.sum()), (seen - _pairs(odds[pair], p[pair + 1], step)) * scale - pull * step
         gw, gb, gs = gw + dw**2, gb + db**2, gs + ds**2
         w += rate * dw / np.sqrt(gw)
         bias += rate * db / np.sqrt(gb)
@@ -229,16 +281,11 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 50, rate: floa
     return crf
 
 
-def _pairs(e: np.ndarray, step: np.ndarray, size: np.ndarray, p: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Expected numbers of the four transitions: of a right neighbour's states, where they came from."""
-    x, t = np.exp(np.clip(e, -25, 25)), np.exp(step)
-    odds = x.copy()
-    for k in range(1, x.shape[1]):
-        r = odds[:, k - 1]
-        odds[:, k] = x[:, k] * (t[0, 1] + r * t[1, 1]) / (t[0, 0] + r * t[1, 0])
-    r, q = odds[:, :-1], p[:, 1:]
-    from_toxic = [r * t[1, j] / (t[0, j] + r * t[1, j]) for j in (0, 1)]
-    return np.array([[((1 - from_toxic[j] if i == 0 else from_toxic[j]) * (1 - q if j == 0 else q))[pair].sum() for j in (0, 1)] for i in (0, 1)])
+def _pairs(odds: np.ndarray, after: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Expected numbers of the four transitions: of a right neighbour's states (probability `after`), where they came from."""
+    t = np.exp(step)
+    from_toxic = [odds * t[1, j] / (t[0, j] + odds * t[1, j]) for j in (0, 1)]
+    return np.array([[((1 - from_toxic[j] if i == 0 else from_toxic[j]) * (1 - after if j == 0 else after)).sum() for j in (0, 1)] for i in (0, 1)])
 
 
 def _head(most: np.ndarray, total: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -251,29 +298,32 @@ def _head(most: np.ndarray, total: np.ndarray, y: np.ndarray) -> tuple[float, fl
     return tuple(map(float, b))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, label_col: str = "toxic", rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> Crf:
-    """A model of labelled documents, up to `rows` toxic and twice as many clean ones. usable: the condition on label rows that may be learned from."""
+def train(docs: DataFrame, labels: DataFrame, usable, label_col: str = "toxic", rows: int = 1000, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Crf:
+    """A model of up to `rows` toxic and twice as many clean labelled documents, of which those over `longest` characters are left out. usable: the condition on label rows that may be learned from.
+
+    Of rows that share an id one stands for all.
+    """
     known = labels.where(usable & F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("y"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("text"))
     by = [F.xxhash64("__id"), F.col("__id")]
     some = known.where("y = 1").orderBy(*by).limit(rows).unionByName(known.where("y = 0").orderBy(*by).limit(2 * rows))  # bounded: small enough to broadcast
-    got = docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(some), "__id").toArrow()
+    got = texts.where(F.length("text") <= longest).join(F.broadcast(some), "__id").groupBy("__id").agg(F.min("text").alias("text"), F.min("y").alias("y")).toArrow()
     order = sorted(zip(got.column("text").to_pylist(), got.column("y").to_pylist(), strict=True))
     return fit([t for t, _ in order], np.array([y for _, y in order], float))
 
 
 def score(docs: DataFrame, crf: Crf, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Rows (the columns of `keep`, score, spans), one for each row of docs."""
+    """Rows (carried, score, spans), one for each row of docs; carried: the columns of `keep` in a struct."""
     held = docs.sparkSession.sparkContext.broadcast(crf)  # bounded by the words of the sample
-    kept = docs.select(*keep, F.col(text_col).alias("__text"))
-    names = kept.columns[:-1]
-    schema = kept.drop("__text").schema.add("score", "double").add("spans", SPANS)
+    kept = docs.select(carried(keep), F.col(text_col).alias("text"))
+    schema = kept.drop("text").schema.add("score", "double").add("spans", SPANS)
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("probability", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = None
-        for batch in pieces(batches, 3_000_000, "__text"):
+        for batch in pieces(batches, 3_000_000):
             tagger = tagger or Tagger(held.value)
-            scores, spans = tagger.tag(batch.column(len(names)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores), pa.array(spans, span)], [*names, "score", "spans"])
+            scores, spans = tagger.tag(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(spans, span)], ["carried", "score", "spans"])
 
     return kept.mapInArrow(run, schema)

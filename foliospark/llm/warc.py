@@ -3,7 +3,8 @@
 Archives are gzip files with a member for each record. The reader divides every file into byte ranges;
 a task scans its range for the gzip magic, takes a candidate only if its bytes decompress to a WARC
 header and the member ends where the file or another gzip header follows, and owns the records that
-start in its range, reading the last one beyond the range's end. So a file of any size is read by as
+start in its range, reading the last one beyond the range's end. Behind each record another must start: a reader raises
+where none does, so no record is passed over without a word. So a file of any size is read by as
 many tasks as it has ranges, and no index is needed. (A payload that itself is a gzip archive of WARC
 records and is stored uncompressed could pass for records where a range starts within it.)
 
@@ -29,7 +30,7 @@ from urllib.parse import quote
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, shared_dir
@@ -161,13 +162,17 @@ def _member(window: _Window, offset: int) -> tuple[bytes, int] | None:
 
 
 def scan(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of the records that start in [start, end) of an archive of `size` bytes."""
+    """(offset, content) of the records that start in [start, end) of an archive of `size` bytes.
+
+    Behind a record and at the file's start another must stand, also where the next range begins: else the archive is damaged. So every byte
+    belongs to a record that some range has read.
+    """
     window = _Window(file, size, start)
-    at = start
+    at, due = start, start == 0
     while at < end:
         window.drop(at)
         window.upto(BLOCK, at)
-        found = window.data.find(MAGIC)
+        found = window.data.find(MAGIC) if not due else 0
         if found < 0:
             if window.end() >= min(size, end + len(MAGIC)):
                 return
@@ -178,11 +183,16 @@ def scan(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
             return
         window.drop(at)
         got = _member(window, at) if _is_record(window, at) else None
-        if got is None:
-            at += 1
-        else:
+        if got is not None:
             yield at, got[0]
-            at = got[1]
+            at, due = got[1], True
+        elif due:
+            raise ValueError(f"the archive is damaged: no record at byte {at}")
+        else:
+            at += 1
+    window.drop(at)
+    if due and at < size and not (_is_record(window, at) and _member(window, at)):
+        raise ValueError(f"the archive is damaged: no record at byte {at}")
 
 
 def parse(content: bytes) -> dict:
@@ -229,9 +239,14 @@ def read(manifest: DataFrame, split: int = SPLIT) -> DataFrame:
 def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", target_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Writes pages as archives, a new folder of the shared one by default, and returns their manifest."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
-    return write(deduplicated(pages, id_col, target_col, payload_col), folder)
+    return write(deduplicated(pages, id_col, target_col, payload_col), _qualified(pages.sparkSession, folder))
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, as Spark itself takes a plain path; a file system other than the local one must be known to Arrow too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", found)
 
 
 def digests(records: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ rules' accuracies; it takes the place of a filter that all rules must pass.
 
 Defined results: null is the empty text, which has no words and fails the base rules; repeated rows each
 keep a row; a null id has a row; without documents the accuracies stay as assumed; extra columns are
-ignored. Word windows are compared by their 64-bit hashes within a text.
+ignored, or carried in a struct whatever they are called. Word windows are compared by their 64-bit hashes within a text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, words_of
+from .common import SPACES, carried, cut, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Accuracies that estimation starts from, and their bounds: no rule may be taken for its opposite.
@@ -31,15 +31,15 @@ def _without(text: Column, chars: str) -> Column:
 
 
 def statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Rows (the columns of `keep`, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper), one for each row of docs."""
+    """Rows (carried, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper), one for each row of docs; carried: the columns of `keep` in a struct."""
     text = F.col("__text")
-    one = docs.select(*keep, F.coalesce(text_col, F.lit("")).alias("__text")).withColumn("__words", words_of(text))
+    one = docs.select(carried(keep), F.coalesce(text_col, F.lit("")).alias("__text")).withColumn("__words", words_of(text))
     one = one.withColumn("__lines", F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
     n = F.size("__words")
     word = lambda k: F.get("__words", k)
     hashes = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda k: F.xxhash64(word(k), word(k + 1), word(k + 2)))).otherwise(F.array().cast("array<bigint>"))
     two = one.select(
-        *keep,
+        "carried",
         n.cast("long").alias("n_words"),
         (F.length(text) - _without(text, SPACES)).cast("long").alias("word_chars"),
         _without(text, SYMBOLS).cast("long").alias("n_symbols"),

@@ -21,6 +21,7 @@ def test_warc_round_trip(spark, tmp_path):
     rows = [(k, f"http://h/{k}\r\nA: b é", html[k % 4], "z") for k in range(40)] + [(None, None, html[0], "z"), (39, None, html[3], "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, id string")
     manifest = warc.archive(pages.repartition(3), f"file://{tmp_path}/a")
+    assert sum(r.records for r in manifest.collect()) == len(rows)
     for split in (97, 1000, 1 << 24):
         got = warc.digests(warc.read(manifest, split)).collect()
         assert len(got) == len(rows)
@@ -46,23 +47,71 @@ def test_warc_long_urls(spark, tmp_path):
         assert sorted((r.page_id, len(r.target)) for r in got) == [(k, len(u.replace("é", "%C3%A9"))) for k, u, _ in rows]
 
 
+def test_warc_damage_is_no_silent_loss(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://h/{k}", "<p>" + "y" * 50) for k in range(30)], "page_id long, url string, html string")
+    manifest = warc.archive(pages.coalesce(1), str(tmp_path / "a")).collect()
+    path = manifest[0]["path"].removeprefix("file://")
+    data = open(path, "rb").read()
+    import io
+
+    want = [at for at, _ in warc.scan(io.BytesIO(data), len(data), 0, len(data))]
+    assert len(want) == 30
+    broken = data[: want[12] + 1] + b"\x00" * 20 + data[want[12] + 21 :]
+    for split in (50, 400, len(data)):
+        with pytest.raises(ValueError):
+            for a in range(0, len(data), split):
+                list(warc.scan(io.BytesIO(broken), len(data), a, min(len(data), a + split)))
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = queries.op4_language(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
     model = langid.fit([("aa", "abab abba baab"), ("cc", "cdcd dccd")])
     out = langid.identify(odd(spark), model, ["doc_id"]).collect()
-    assert [r.lang_pred for r in out if r.doc_id in (1, 2, 3)] == ["und"] * 3 and len(out) == len(ODD)
+    assert [r.lang_pred for r in out if r.carried.doc_id in (1, 2, 3)] == ["und"] * 3 and len(out) == len(ODD)
     assert all(0 <= r.score <= 1 for r in out)
-    # Phrases of the dense tables equal a parse by plain search.
-    text, ref = "abbabcdabab ccd", "a" + "abab abba baab"
-    parsed, phrase = 1, ""
-    for c in text:
-        if phrase + c not in " " + ref[1:]:
-            parsed, phrase = parsed + 1, ""
-        phrase = phrase + c if c in " " + ref[1:] else ""
-    assert langid.Parser(model).phrases([text])[0][0, 0] == parsed
     assert langid.Parser(langid.fit([])).predict(["x"])[0] == ["und"]
+    odd_names = spark.createDataFrame([(1, "abab", "a", 2.0, "b")], "doc_id long, text string, lang_pred string, score double, carried string")
+    assert langid.identify(odd_names, model, odd_names.columns).select("carried.*").collect() == odd_names.collect()
+
+
+def parsed(text, ref):
+    """Phrases by plain search."""
+    n, phrase = 1, ""
+    for c in text:
+        if phrase + c in ref:
+            phrase += c
+        else:
+            n, phrase = n + 1, c if c in ref else ""
+    return n
+
+
+def test_language_phrases_are_those_of_one_parse(monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    say = lambda n: "".join(rng.choice("abbcc  d") for _ in range(n))
+    refs = {"aa": say(300), "bb": say(50) + "ü", "cc": "x"}
+    model = langid.fit(list(refs.items()))
+    texts = [say(n) for n in (1, 4, 5, 6, 30, 31, 400, 1000)] + [None, "", " ", "abc" * 70, "x" * 33, "zzüz" * 9, " a. b?! ", "7 ab 7"]
+    for piece in (1, 2, 5, 256):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        got, n = langid.Parser(model).phrases(texts)
+        for t, row, size in zip(texts, got, n, strict=True):
+            plain = langid._plain(t or "")
+            assert len(plain) == size
+            plain = "".join(c if c == " " or c in model.letters else "?" for c in plain)
+            assert not plain or row.tolist() == [parsed(plain, " " + langid._plain(refs[k])) for k in model.langs]
+
+
+def test_language_sample(spark):
+    rows = [(k, "en", "word " * k) for k in range(1, 9)] + [(20, "de", "wort " * 50), (21, "fr", "mot " * 200), (22, None, "none"), (23, "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = Counter(k for k, _ in langid.training_rows(docs, docs.doc_id > 0, per_language=4, longest=20, most=300))
+    assert got == {"en": 4, "de": 1}  # short ones first, whole; the only French text is too long
+    assert all(t in {r[2] for r in rows} for _, t in langid.training_rows(docs, docs.doc_id > 0))
+    assert langid.training_rows(docs.limit(0), docs.doc_id > 0) == []
 
 
 def test_language_beside_a_tiny_one(spark):
@@ -73,8 +122,8 @@ def test_language_beside_a_tiny_one(spark):
     want, _ = langid.Parser(alone).predict(texts)
     for tiny in ("a", "the", "zq zq"):
         model = langid.fit([*rows, ("xx", tiny)])
-        of = {k: t.size // model.width for k, t in zip(model.langs, model.tables, strict=True)}
-        assert all(of[k] >= t.size // alone.width for k, t in zip(alone.langs, alone.tables, strict=True))
+        of = {k: t.base.size for k, t in zip(model.langs, model.tables, strict=True)}
+        assert all(of[k] >= t.base.size for k, t in zip(alone.langs, alone.tables, strict=True))
         got, _ = langid.Parser(model).predict(texts)
         assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.99 * len(texts)
 
@@ -88,6 +137,12 @@ def test_quality(spark):
     assert ((gam.score(x) >= 0) & (gam.score(x) <= 1)).all()
     assert quality_gam.Gam().score(x) == pytest.approx(np.full(len(ODD), 0.5))
     assert quality_gam.assess(odd(spark), gam, ["doc_id"]).count() == len(ODD)
+    # A score is the sum of the tables' entries of its bins, feature by feature and pair by pair.
+    for row, value in zip(x, gam.score(x), strict=True):
+        at = [int(np.searchsorted(edges, v, "right")) for edges, v in zip(gam.edges, row, strict=True)]
+        total = gam.base + sum(float(table[k]) for table, k in zip(gam.mains, at, strict=True))
+        total += sum(float(table[int(gam.coarse[i][at[i]]), int(gam.coarse[j][at[j]])]) for (i, j), table in gam.pairs.items())
+        assert value == pytest.approx(1 / (1 + np.exp(-total)))
 
 
 def test_toxicity(spark):
@@ -103,16 +158,71 @@ def test_toxicity(spark):
     assert [r.score < 0.1 for r in toxicity_crf.score(odd(spark), crf, ["doc_id"]).collect()] == [True] * len(ODD)
 
 
-def test_marginals_are_exact():
+def test_marginals_are_exact(monkeypatch):
     rng = np.random.default_rng(1)
-    e, step = rng.normal(size=(1, 5)), rng.normal(size=(2, 2))
-    total, on = 0.0, np.zeros(5)
-    for k in range(32):
-        y = [k >> j & 1 for j in range(5)]
-        w = np.exp(sum(e[0, j] * y[j] for j in range(5)) + sum(step[y[j], y[j + 1]] for j in range(4)))
-        total += w
-        on += w * np.array(y)
-    assert toxicity_crf.marginals(e, step, np.array([5]))[0] == pytest.approx(on / total)
+    sizes, step = np.array([5, 0, 1, 10, 9]), rng.normal(size=(2, 2))
+    e, start = rng.normal(size=int(sizes.sum())), 0
+    want = []
+    for n in sizes.tolist():
+        own, total, on = e[start : start + n], 0.0, np.zeros(n)
+        for k in range(2**n):
+            y = [k >> j & 1 for j in range(n)]
+            w = np.exp(sum(own[j] * y[j] for j in range(n)) + sum(step[y[j], y[j + 1]] for j in range(n - 1)))
+            total += w
+            on += w * np.array(y)
+        want += (on / total).tolist()
+        start += n
+    for piece in (1, 2, 3, 4, 5, 64):
+        monkeypatch.setattr(toxicity_crf, "PIECE", piece)
+        assert toxicity_crf.marginals(e, step, toxicity_crf.Chains(sizes))[0] == pytest.approx(np.array(want))
+
+
+def test_marginals_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(2)
+    sizes, step = np.array([70, 64, 3000, 63, 1, 129]), np.array([[2.0, -3.0], [-3.0, 3.0]])
+    e = rng.normal(-1, 3, int(sizes.sum()))
+    got, odds = toxicity_crf.marginals(e, step, toxicity_crf.Chains(sizes))
+    monkeypatch.setattr(toxicity_crf, "PIECE", 4000)
+    want, whole = toxicity_crf.marginals(e, step, toxicity_crf.Chains(sizes))
+    assert got == pytest.approx(want) and odds == pytest.approx(whole)
+
+
+def test_toxic_words_are_seen_whole():
+    long = "x" * 60
+    assert toxicity_crf.parts(long + "kill") != toxicity_crf.parts(long + "fine")
+    assert toxicity_crf.parts("!" * 20 + "a")[0] == "wa" and len(set(map(tuple, (toxicity_crf.parts("!" * k) for k in range(13, 50))))) == 37
+    # A word after 64 others is toxic beside another one: the chain goes on.
+    crf = toxicity_crf.Crf({"wbad": 4.0, "wworse": 9.0}, -6.0, np.array([[1.0, -1.0], [-1.0, 1.0]]), (-2.0, 4.0, 0.0))
+    apart, together = "fine " * 63 + "worse fine bad", "fine " * 63 + "worse bad"
+    p = [toxicity_crf.Tagger(crf).probabilities([t])[0] for t in (apart, together)]
+    assert p[1][-1] > 2 * p[0][-1]
+
+
+def test_toxic_odd_rows(spark):
+    docs = [f"nice words number {k} here" if k % 2 else f"nice words zorgish{k % 3} here {k}" for k in range(60)]
+    crf = toxicity_crf.fit(docs, np.array([k % 2 == 0 for k in range(60)], float))
+    texts = [t for _, t in ODD] + ["a zorgish1 b", "word " * 30_000 + "zorgish2 end", "fine"]
+    frame = spark.createDataFrame([(k, t, "x", 1.0, [1]) for k, t in enumerate(texts)], "doc_id long, text string, spans string, score double, carried array<int>")
+    got = {r.carried.doc_id: r for r in toxicity_crf.score(frame, crf, frame.columns).collect()}
+    assert len(got) == len(texts) and len({got[k].score for k in (0, 1, 2)}) == 1
+    n = len(ODD)
+    assert got[n].score > 0.7 and got[n + 1].score > 0.7 and got[n + 2].score < 0.3
+    assert [(s["first"], s["last"]) for s in got[n + 1].spans] == [(150_000, 150_008)] and not got[n + 2].spans
+    # Scores are those of the words' probabilities, by the plain recursion.
+    t = np.exp(crf.step)
+    for k, text in enumerate(texts):
+        words = (text or "").lower().split()
+        if not 0 < len(words) < 50:
+            continue
+        x = np.exp([crf.emission(w) for w in words])
+        a, b = [np.array([1.0, x[0]])], [np.ones(2)]
+        for y in x[1:]:
+            a.append(a[-1] @ t * np.array([1.0, y]))
+        for y in x[:0:-1]:
+            b.insert(0, t @ (np.array([1.0, y]) * b[0]))
+        p = [(u * v)[1] / (u * v).sum() for u, v in zip(a, b, strict=True)]
+        z = crf.head[0] + crf.head[1] * max(p) + crf.head[2] * np.log1p(sum(q for q in p if q >= 0.1))
+        assert got[k].score == pytest.approx(1 / (1 + np.exp(-z)))
 
 
 def plain_statistics(text):
@@ -132,34 +242,90 @@ def test_rules(spark):
     got = weak_rules.judge(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id", "text"]).collect()
     assert len(got) == len(rows)
     for r in got:
-        want = plain_statistics(r.text)
+        want = plain_statistics(r.carried.text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
         assert not (r.kept and r.base_failed)
-    votes = Counter(tuple(r[f"v_{k}"] for k in weak_rules.rules()) for r in got)
-    share, accuracy = weak_rules.estimate(sorted(votes.items()), len(weak_rules.rules()))
+    names = list(weak_rules.rules())
+    votes = Counter(tuple(r[f"v_{k}"] for k in names) for r in got)
+    share, accuracy = weak_rules.estimate(sorted(votes.items()), len(names))
     for r in got:
-        p = weak_rules.posterior(tuple(r[f"v_{k}"] for k in weak_rules.rules()), share, accuracy)
+        p = weak_rules.posterior(tuple(r[f"v_{k}"] for k in names), share, accuracy)
         assert r.posterior == pytest.approx(p) and r.kept == (not r.base_failed and p >= 0.5)
     assert weak_rules.judge(odd(spark).limit(0), ["doc_id"]).count() == 0
 
 
+def plain_signatures(text):
+    """Signatures by whole numbers, a spot at a time."""
+    import xxhash
+
+    mask, (m0, m1, m2, m3) = 2**64 - 1, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+    common, numbers = set(spotsigs.COMMON.split()), []
+    for word in text.lower().split():
+        core = word.strip(spotsigs._EDGE) or word
+        numbers.append((xxhash.xxh64_intdigest(core) & ~1 | (core in common), core in common))
+    if not numbers:
+        return []
+    if all(c for _, c in numbers):
+        return [xxhash.xxh32_intdigest(b"".join(h.to_bytes(8, "little") for h, _ in numbers))]
+    spots, out = [(m0, 0), *((h, k + 1) for k, (h, c) in enumerate(numbers) if c)], set()
+    for h, at in spots:
+        chain = [x for x, c in numbers[at:] if not c][: spotsigs.CHAIN]
+        if chain:
+            mixed = h * m0 & mask
+            for x in (*chain, *[0] * (spotsigs.CHAIN - len(chain))):
+                mixed = ((mixed ^ mixed >> 29) * m1 + x * m2) & mask
+            out.add((mixed ^ mixed >> 32) * m3 % 2**64 >> 32)
+    return sorted(out)
+
+
+def test_rules_estimate_by_brute_force():
+    """Expectation-maximisation over patterns equals the same over single documents, step by step."""
+    rng = np.random.default_rng(6)
+    good = rng.random(400) < 0.7
+    votes = np.where(rng.random((400, 3)) < 0.8, np.where(good, 1, -1)[:, None] * np.where(rng.random((400, 3)) < [0.95, 0.8, 0.6], 1, -1), 0)
+    share, acc = 0.5, np.full(3, weak_rules.ASSUMED)
+    for _ in range(weak_rules.ROUNDS):
+        a, b = (np.prod(np.where(votes == s, acc, np.where(votes == -s, 1 - acc, 1.0)), 1) for s in (1, -1))
+        p = share * a / (share * a + (1 - share) * b)
+        share = np.clip(p.mean(), 0.02, 0.98)
+        right = ((votes == 1) * p[:, None] + (votes == -1) * (1 - p)[:, None]).sum(0)
+        acc = np.clip((right + 10 * weak_rules.ASSUMED) / ((votes != 0).sum(0) + 10), weak_rules.LEAST, weak_rules.MOST)
+    got = weak_rules.estimate(sorted(Counter(map(tuple, votes.tolist())).items()), 3)
+    assert got[0] == pytest.approx(share) and got[1] == pytest.approx(acc.tolist()) and got[1][0] > got[1][1] > got[1][2]
+    assert weak_rules.estimate([], 3) == (0.5, [weak_rules.ASSUMED] * 3)
+
+
+def test_spotsigs_likeness():
+    rng = np.random.default_rng(3)
+    for least in (0.05, 0.5, 0.8):
+        for _ in range(300):
+            a, b = (np.unique(rng.integers(0, 900, rng.integers(0, 700))).astype(np.uint32) for _ in range(2))
+            if rng.random() < 0.5:
+                b = np.unique(np.concatenate([a[rng.random(a.size) < 0.9], b[:20]]))
+            exact = len(np.intersect1d(a, b)) / max(1, len(np.union1d(a, b))) if a.size and b.size else float(a.size == b.size)
+            assert spotsigs.likeness(a, b, least) == (exact if exact >= least else 0.0)
+            if exact >= least and a.size and b.size:
+                assert abs(spotsigs.partition(a.size, least) - spotsigs.partition(b.size, least)) <= 1
+
+
 def test_spotsigs(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()] + [(-5, None), (-6, "the of"), (None, "last one")]
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    spotter, want = spotsigs.Spotter(), {}
+    want = {}
     for k, (i, text) in enumerate(order):
         following = order[(k + 1) % len(order)][1] or ""
         text = text or ""
         changed = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
-        sets = [set(spotter.signatures(t).tolist()) for t in (text, changed, following)]
-        like = lambda a, b: len(a & b) / len(a | b) if a and b else float(not a and not b)
-        want[i] = (len(text), hashlib.sha256(changed.encode()).hexdigest(), like(sets[0], sets[1]), like(sets[0], sets[2]))
-    got = {r.id: (r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in spotsigs.against_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        sets = [plain_signatures(t) for t in (text, changed, following)]
+        like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else float(not a and not b)
+        near = [x if x >= spotsigs.LEAST else 0.0 for x in (like(sets[0], sets[1]), like(sets[0], sets[2]))]
+        want[i] = (len(text), hashlib.sha256(changed.encode()).hexdigest(), *("".join(f"{x:08x}" for x in s) for s in sets[:2]), *near)
+    got = {r.id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in spotsigs.against_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got.keys() == want.keys()
     for i, w in want.items():
-        assert got[i][:2] == w[:2] and got[i][2:] == pytest.approx(w[2:])
+        assert got[i][:4] == w[:4] and got[i][4:] == pytest.approx(w[4:])
     assert spotsigs.against_next(odd(spark).limit(1)).count() == 1
 
 
