@@ -25,9 +25,8 @@ LEAST_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(langid.training_rows(docs, F.lit(True)))
-    columns = docs.columns
-    found = langid.identify(docs, model, columns).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return found.withColumn("lang", F.col("lang_pred")).select(*columns)
+    found = langid.identify(docs, model, docs.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"carried.`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +40,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    times = mixing.mix(docs).where("times > 0").select(F.col("id").alias("__id"), "times", "tie").distinct()
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("tie")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*docs.columns)
+    mixed = mixing.mix(docs, carry=docs.columns).where("times > 0")
+    return mixed.select("carried", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("carried.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
