@@ -2,11 +2,10 @@
 
 No piece has a space mark after another character and none holds a character that is no piece, so a
 text divides into chunks (space marks and what follows up to the next mark or line end) that are
-encoded on their own. Within a chunk: an Aho-Corasick automaton gives every piece that starts at a
-position, longest first (the pieces that its longest path passes); a piece is taken if the pair with the piece before it re-merges to just
-that pair and the position that it reaches has not failed; else a shorter one, else the position is
-marked in the bitfield of failed ones and the piece before it is given up. Characters without a
-piece become byte pieces.
+encoded on their own. Within a chunk: one scan by an Aho-Corasick automaton gives the longest piece that starts
+at each position; it and the pieces that begin it are tried, longest first. A piece is taken if the pair with the piece
+before it re-merges to just that pair and the position that it reaches has not failed; else a shorter one, else the position
+is marked in the bitfield of failed ones and the piece before it is given up. Characters without a piece become byte pieces.
 
 Defined results: null is the empty text, whose ids are the begin and end ids alone; repeated rows
 each keep a row; a chunk of any length takes time in proportion to it; extra columns are ignored.
@@ -30,6 +29,9 @@ from .common import Memo, pieces
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+#: The same where no piece has a letter beside another character but a space mark: letters are chunks of their own.
+LETTER = r"[^\W\d_]"
+WORD_CHUNK = re.compile(rf"{MARK}*{LETTER}+|{MARK}*(?:(?!{LETTER})[^{MARK}\n])+|{MARK}+|\n")
 #: Chunks up to this length are remembered.
 REMEMBERED = 64
 
@@ -76,19 +78,17 @@ class PieceCoder:
         if any(c not in self.letters for p in self.ids for c in p) or any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("chunks of this model can't be encoded on their own")
         self.automaton = ahocorasick.Automaton()
-        for p, i in self.ids.items():
-            self.automaton.add_word(p, i)
-        self.longest = max(map(len, self.ids))
-        # What a longest match stands for: the pieces that a path of the automaton passes, longest first.
-        self.passed: dict[str, list[tuple[int, int]]] = {}
         for p in self.ids:
-            for k in range(1, len(p) + 1):
-                if p[:k] not in self.passed:
-                    self.passed[p[:k]] = [(self.ids[p[:m]], m) for m in range(k, 0, -1) if p[:m] in self.ids]
+            # What a longest match stands for: the piece and those that begin it, longest first, with their lengths.
+            begun = tuple((self.ids[p[:m]], m) for m in range(len(p), 0, -1) if p[:m] in self.ids)
+            self.automaton.add_word(p, (len(p) - 1, begun))
+        self.automaton.make_automaton()
         order = {v: k for k, v in enumerate(sorted(set(self.score.values()), reverse=True))}
         self.rank = {p: order[v] for p, v in self.score.items()}
         # No piece holds two characters that no piece has side by side: between them a chunk divides.
         self.beside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        letter = lambda c: re.fullmatch(LETTER, c) is not None
+        self.chunk = WORD_CHUNK if all(a == MARK or letter(a) == letter(b) for a, b in self.beside) else CHUNK
         self.pairs = Memo(self._fits, 1_000_000)
         self.parts = Recent(self._part, 100_000)
         self.chunks = Recent(self._code, 800_000)
@@ -140,13 +140,15 @@ class PieceCoder:
         return self._backtrack(part)
 
     def _backtrack(self, text: str) -> list[int]:
-        n, far, pairs, longest, passed, width = len(text), self.longest, self.pairs, self.automaton.longest_prefix, self.passed, len(self.pieces)
+        n, pairs, width = len(text), self.pairs, len(self.pieces)
+        longest: list[tuple[tuple[int, int], ...]] = [()] * n
+        for end, (before_end, begun) in self.automaton.iter(text):
+            longest[end - before_end] = begun  # ends rise, so the longest piece of each start comes last
         alive = bytearray(b"\1" * (n + 1))  # the bitfield: 0 where no way on was found
         taken: list[int] = []
-        way: list[tuple[list[tuple[int, int]], int]] = []  # of each piece taken: the matches at its start and which of them it is
+        way: list[tuple[tuple[tuple[int, int], ...], int]] = []  # of each piece taken: the matches at its start and which of them it is
         pos, choice, before = 0, 0, -1
-        ahead = text[:far]
-        matches = passed[ahead[: longest(ahead)]]
+        matches = longest[0]
         while pos < n:
             count = len(matches)
             while choice < count:
@@ -159,8 +161,7 @@ class PieceCoder:
                 way.append((matches, choice))
                 pos, choice, before = pos + size, 0, piece
                 if pos < n:
-                    ahead = text[pos : pos + far]
-                    matches = passed[ahead[: longest(ahead)]]
+                    matches = longest[pos]
             else:
                 if not taken:
                     raise ValueError("no encoding was found")
@@ -185,7 +186,7 @@ class PieceCoder:
         """(packed ids, UTF-8 of what they stand for) of each chunk."""
         if not text:
             return []
-        chunks = CHUNK.findall(MARK + text.replace(" ", MARK))
+        chunks = self.chunk.findall(MARK + text.replace(" ", MARK))
         if max(map(len, chunks)) <= REMEMBERED:
             return list(map(self.chunks.__getitem__, chunks))
         return [self.chunks[c] if len(c) <= REMEMBERED else self.chunks.make(c) for c in chunks]
