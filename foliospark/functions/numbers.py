@@ -67,4 +67,4 @@ def tax_percent(value: Column) -> Column:
 def local_phone(text: Column) -> Column:
     """Digits of a phone number, the country code 84 as 0."""
     digits = F.regexp_replace(text, r"\D", "")
-    return F.when(digits.startswith("84"), F.concat(F.lit("0"), F.substring(digits, 3, 100))).otherwise(digits)
+    return F.when(digits.startswith("84"), F.concat(F.lit("0"), F.substr(digits, F.lit(3)))).otherwise(digits)

@@ -24,12 +24,12 @@ def clean_rawtext(text: Column) -> Column:
     return stripped(F.regexp_replace(F.translate(text, "\r", "\n"), r"\n{2,}", "\n"))
 
 
+# Grounding tags in pairs and alone, bold text, heads of headings, and what stays of them.
+MARKUP = [(r"<\|ref\|>.*?<\|/ref\|><\|det\|>.*?<\|/det\|>", ""), (r"<\|[^>]+\|>", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"(?m)^#+[^\S\n]*", "")]
+
+
 def _unmarked(text: Column) -> Column:
-    text = F.replace(text, F.lit("\\n"), F.lit("\n"))
-    text = F.regexp_replace(text, r"<\|ref\|>.*?<\|/ref\|><\|det\|>.*?<\|/det\|>", "")
-    text = F.regexp_replace(text, r"<\|[^>]+\|>", "")
-    text = F.regexp_replace(text, r"\*\*([^*]+)\*\*", "$1")
-    return F.regexp_replace(text, r"(?m)^#+[^\S\n]*", "")
+    return reduce(lambda t, x: F.regexp_replace(t, *x), MARKUP, F.replace(text, F.lit("\\n"), F.lit("\n")))
 
 
 def shipping_lines(text: Column) -> Column:

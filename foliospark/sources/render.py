@@ -66,9 +66,9 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, raw_text): an English invoice of each order that has lines."""
     df = orders(spark, sf_dir).join(order_lines(spark, sf_dir), "doc_id")
     total = F.aggregate("items", F.lit(0.0), lambda a, x: a + x["amount"])
-    df = df.withColumn("sum", F.bround(total, 2)).withColumn("tax", F.bround(F.col("sum") * 0.1, 2))
+    df = df.withColumn("sum", F.bround(total, 2)).withColumn("tax", F.floor(F.col("sum") * 10 + 0.001) / 100)
     text = F.concat_ws(
-        "\n", F.lit("# **COMMERCIAL INVOICE**"), F.concat(F.lit("Invoice No: INV"), F.col("doc_id").cast("string")), F.concat(F.lit("Date: "), F.date_format("day", "dd/MM/yyyy")), F.lit("Seller: Folio Trading Co., Ltd"),
+        "\n", F.lit("# **COMMERCIAL INVOICE**"), F.concat(F.lit("Invoice No: INV"), F.col("doc_id").cast("string")), F.concat(F.lit("Date: "), F.date_format("day", "MM/dd/yyyy")), F.lit("Seller: Folio Trading Co., Ltd"),
         F.lit("Tax code: 0106046798"), F.concat(F.lit("Buyer: "), F.col("c_name")), F.concat(F.lit("Tax code: "), F.lpad(F.col("c_custkey").cast("string"), 10, "7")), F.concat(F.lit("Country: "), F.col("n_name")),
         F.lit("Payment method: T/T"), F.lit(""), pipe_table(F.col("items")), F.lit(""), F.concat(F.lit("Sub total: USD "), english(F.col("sum"))), F.lit("VAT 10%"), F.concat(F.lit("VAT amount: USD "), english(F.col("tax"))),
         F.concat(F.lit("Invoice total: USD "), english(F.col("sum") + F.col("tax"))), F.concat(F.lit("In words: "), number_to_en_words(F.bround(F.col("sum") + F.col("tax"), 2))),
@@ -95,7 +95,7 @@ def bills_of_lading(spark: SparkSession, sf_dir: str) -> DataFrame:
         "\n", F.lit("FOLIO OCEAN SHIPPING"), F.lit("BILL OF LADING"), F.concat(F.lit("B/L No. FO"), F.col("doc_id").cast("string")), F.lit("Shipper:"), F.lit("FOLIO TRADING CO"), F.lit("12 HARBOUR STREET"), F.lit("TEL: +84 24 3747"),
         F.lit("Consignee: TO ORDER"), F.col("c_name"), F.lit("TAX ID: 0107500414"), F.lit("Notify party: SAME AS CONSIGNEE"), F.lit("| Ocean Vessel / Voy. No. | Port of Loading | Port of Discharge |"),
         F.concat(F.lit("| FOLIO STAR "), F.lpad((F.col("doc_id") % 900 + 100).cast("string"), 3, "0"), F.lit("E | HAI PHONG | "), F.col("n_name"), F.lit(" |")), F.lit("Container No. / Seal No."), F.concat(F.lit("FOLU"), digits, F.lit(" / 40HQ / A"), digits),
-        F.concat(F.lit("Total: "), (F.col("doc_id") % 90 + 1).cast("string"), F.lit(" PALLETS")), F.concat(english(F.col("o_totalprice") / 10), F.lit(" KGS")), F.concat(english(F.col("o_totalprice") / 1000 + 10), F.lit(" CBM")),
+        F.concat(F.lit("Total: "), (F.col("doc_id") % 90 + 1).cast("string"), F.lit(" PALLETS")), F.concat(english(F.floor(F.col("o_totalprice") / 10)), F.lit(" KGS")), F.concat(english(F.floor(F.col("o_totalprice") / 1000) + 10), F.lit(" CBM")),
         F.when(F.col("doc_id") % 2 == 0, "FREIGHT PREPAID").otherwise("FREIGHT COLLECT"), F.concat(F.lit("Laden on board "), F.upper(F.date_format("day", "ddMMMyyyy"))), F.lit("Signed by the master"),
     )
     return df.select("doc_id", text.alias("raw_text"))

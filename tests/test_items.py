@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from foliospark.operators import header, items, shipping
+from foliospark.operators import invoice, items, shipping
 from foliospark.sources import readers
 
 
@@ -73,9 +73,11 @@ def test_samples_to_the_end(spark):
 
 
 def test_lines_to_the_end(spark):
-    docs = spark.range(1)
-    free = F.concat(F.array(F.lit("NAME")), F.transform(F.sequence(F.lit(1), F.lit(10_005)), lambda k: k.cast("string")))
-    address = docs.select(free.alias("l")).select(shipping._party(F.col("l"), "^shipper$", "zzz")[1].alias("a")).first().a
-    assert address.endswith(", 10005")
+    text = "Shipper:\nNAME\n" + "\n".join(f"x{k}" for k in range(10_005)) + "\nConsignee: Q"
+    got = shipping.fields(spark.createDataFrame([(text, 1), (None, 2), ("", 3)], "raw_text string, carrier int")).collect()
+    assert got[0].shipperName == "NAME" and got[0].shipperAddress.endswith(", x10004") and got[0].consigneeName == "Q"
+    assert all(r[f] is None for r in got[1:] for f in shipping.FIELDS)
     text = "Đơn vị bán hàng: A\nNgười mua hàng: B\n" + "x\n" * 10_005 + "Mã số thuế: 0107500414"
-    assert header.header(spark.createDataFrame([(text,)], "raw_text string")).first().buyerTaxCode == "0107500414"
+    got = invoice.heads(spark.createDataFrame([(text, 1), (None, 2), (" \n", 3)], "raw_text string, sellerName int")).collect()
+    assert (got[0].sellerName, got[0].buyerTaxCode) == ("A", "0107500414")
+    assert all(v is None for r in got[1:] for n, v in r.asDict().items() if n != "raw_text")

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.functions import dates, numbers, text, words
+from foliospark.functions import dates, numbers, plain, text, words
 
 
 def each(spark, fn, cases, kind="string"):
@@ -39,7 +39,8 @@ def test_words_to_numbers(spark):
     ])
     each(spark, words.en_words_to_number, [
         ("twenty five thousand six hundred thirty four and cents twenty eight", 25634.28), ("US DOLLARS SIXTY FIVE THOUSAND FOUR HUNDRED EIGHTY THREE AND CENTS TWENTY SIX ONLY", 65483.26),
-        ("five euros and twenty cents", 5.20), ("no number words", 0.0),
+        ("five euros and twenty cents", 5.20), ("no number words", 0.0), ("one hundred dollars only", 100.0), ("one hundred dollars fifty cents", 100.5), ("ten dollars and five only", 10.05),
+        ("one thousand, two hundred and thirty-four and fifty-six cents", 1234.56), ("Fifty cents", 0.5), ("two hundred and ninety nine", 299.0), ("seven million eight", 7000008.0), (None, 0.0), ("", 0.0),
     ])
 
 
@@ -80,3 +81,26 @@ def test_text(spark):
     each(spark, lambda x: text.char_jaccard(x, F.lit("abcd")), [("ABCE", 0.6), ("", 0.0), ("abcd", 1.0)])
     each(spark, lambda x: text.base64_payload(x).cast("string"), [("data:x;base64,aGk=", "hi"), ("aGk=", "hi"), ("?", None)])
     each(spark, lambda x: text.corrected(x, [("a", "b"), ("bb", "c")]), [("ab", "c")])
+
+
+def test_single_texts_are_read_as_columns_are(spark):
+    """functions.plain against the Column functions, on texts made of what numbers and lines are made of."""
+    import random
+
+    rng = random.Random(4)
+    made = ["".join(rng.choice(["1", "23", "456", "000", ".", ",", "-", " ", "$", "€", "USD ", "x", "×", "kg", "0"]) for _ in range(rng.randint(0, 7))) for _ in range(600)] + [None]
+    lines = ["".join(rng.choice(["a", "**b**", "\n", "\\n", "|", "---", '"', "# ", "<|x|>", " ", "<|ref|>q<|/ref|><|det|>r<|/det|>", "https://", ".", "misa"]) for _ in range(rng.randint(0, 12))) for _ in range(400)] + [None]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(made)], "k int, x string").select("k", *[f(F.col("x")).alias(f.__name__) for f in (numbers.parse_number, numbers.parse_quantity, numbers.parse_price)])
+    for r in rows.collect():
+        x = made[r.k]
+        assert (r.parse_number, r.parse_quantity, r.parse_price) == (plain.number(x), plain.quantity(x), plain.price(x)), x
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, x string").select("k", text.shipping_lines(F.col("x")).alias("s"), text.invoice_lines(F.col("x")).alias("i"), text.amount_in_words(F.col("x")).alias("w"))
+    for r in rows.collect():
+        x = lines[r.k]
+        assert (r.s or [], r.i or [], r.w or None) == (plain.shipping_lines(x), plain.invoice_lines(x), plain.amount_in_words(x)), x
+
+
+def test_document_dates():
+    cases = [("12/31/2024", False, "31/12/2024"), ("03/04/2024", False, "04/03/2024"), ("03/04/2024", True, "03/04/2024"), ("31/01/2024", False, "31/01/2024"), ("Jan 5, 2024", False, "05/01/2024"), ("5th March 2023", False, "05/03/2023"), ("2024-05-06", False, "06/05/2024"), ("12.01.2024", False, "12/01/2024"), ("Ngày 04 tháng 08 năm 2025", True, "04/08/2025"), ("05-JUN-2022", False, "05/06/2022"), ("99/99/2024", False, None), ("1/1/1800", False, None), (None, True, None), ("May be 12 of 2024", False, None)]
+    for x, day_first, want in cases:
+        assert plain.document_date(x, day_first) == want, x
