@@ -145,14 +145,17 @@ class Segmenter:
         return grams[place[first]], content, text[first], first - start[first], windows, lead
 
 
-def common_grams(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text") -> np.ndarray:
+def common_grams(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc", text_col: str = "text") -> np.ndarray:
     """Sorted hashes of the runs of `gram` words that COMMON_IN documents or more of a sample have.
 
     The sample is SAMPLED documents of the smallest hash, of SAMPLED_CHARS characters at most: 40 MB at most, and a fraction of that in hashes.
     What it holds only changes how evenly anchors are dealt.
     """
     text = F.col(text_col)
-    some = docs.select(text.alias("text")).where(text.isNotNull() & (F.length(text) <= SAMPLED_CHARS)).orderBy(F.xxhash64("text")).limit(SAMPLED).toArrow()
+    # About one row in `step`, so that tasks send few on, however many there are.
+    step, place = max(1, docs.count() // SAMPLED), F.xxhash64(F.lit(7), id_col, text_col)
+    short = docs.where(text.isNotNull() & (F.length(text) <= SAMPLED_CHARS) & (F.pmod(place, F.lit(step)) == 0))
+    some = short.select(text.alias("text"), place.alias("place")).orderBy("place").limit(SAMPLED).select("text").toArrow()
     segmenter, found = Segmenter(length, gram), []
     for t in byte_texts(some.column(0).combine_chunks()) if some.num_rows else []:
         h, _ = segmenter.words([t])

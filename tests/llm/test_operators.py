@@ -426,13 +426,13 @@ def test_matching_statistics():
 def test_common_runs_of_words_come_last(spark):
     line = " ".join(f"c{k}" for k in range(30))
     docs = spark.createDataFrame([(k, f"{k}a {k}b {k}c {line} {k}d {k}e") for k in range(20)], "doc_id long, text string")
-    common = substring_fm.common_grams(docs)
+    common = substring_fm.common_grams(docs, id_col="doc_id")
     assert common.size == 24 and (np.sort(common) == common).all()
     texts = [r.text.encode() for r in docs.collect()]
     anchors = [set(substring_fm.Segmenter(common=common).segments([t])[0].tolist()) for t in texts]
     # What documents share but for windows within the line: nothing, as other windows have a run of their own.
     inside = set(substring_fm.Segmenter(common=common).segments([line.encode()])[0].tolist())
-    assert anchors[0] & anchors[1] == inside and substring_fm.common_grams(docs.limit(0)).size == 0
+    assert anchors[0] & anchors[1] == inside and substring_fm.common_grams(docs.limit(0), id_col="doc_id").size == 0
 
 
 def test_pipeline(spark):
