@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 from functools import reduce
 
@@ -55,7 +56,7 @@ def before_markers(lines: Column, *markers: str) -> Column:
 
 def first_page(lines: Column) -> Column:
     """Without zoomed text and without what follows the mark of a page from two on (a mark of a page that begins with 1 does not end it)."""
-    return before_markers(lines, r"--- ?ZOOM TEXT ?---", r"--- ?ZOOM RIGHT ?---", r"^--- PAGE [2-9]\d* ---")
+    return before_markers(lines, r"--- ?ZOOM TEXT ?---", r"--- ?ZOOM RIGHT ?---", r"(?i)^---\s*PAGE\s+[2-9]\d*\s*---")
 
 
 def pages_of(text: Column) -> Column:
@@ -108,6 +109,29 @@ def not_placeholder(text: Column, strict: bool = True) -> Column:
     return F.when(~text.rlike(r"^\[[\w.]+\]$" if strict else r"^(\[.*\]|\{.*\}|\{\{.*\}\})$"), text)
 
 
+def zoom_lines(text: Column) -> Column:
+    """Lines of a second look's text; where there are three or fewer, literal line ends count too."""
+    lines = F.split(text, "\n")
+    return F.when(F.size(lines) <= 3, F.split(F.replace(text, F.lit("\\n"), F.lit("\n")), "\n")).otherwise(lines)
+
+
+def joined_pages(pages: Column, zoom: Column) -> Column:
+    """Pages (structs of page and text) below their marks, and the text of the second look below its own."""
+    marked = F.transform(pages, lambda p: F.concat(F.lit("--- PAGE "), p["page"].cast("string"), F.lit(" ---\n"), F.coalesce(p["text"], F.lit(""))))
+    return F.concat_ws("\n", F.array_join(marked, "\n"), F.when(F.coalesce(zoom, F.lit("")) != "", F.concat(F.lit("--- ZOOM TEXT ---\n"), zoom)))
+
+
+#: Letters with marks, from the tables of Unicode, and what they are without; đ has no mark but a stroke.
+_MARKED = "".join(c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(unicodedata.normalize("NFD", c)) > 1)
+
+
+def without_diacritics(text: Column, stroke: bool = True) -> Column:
+    """Letters without marks; with `stroke` đ is d."""
+    bare = "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKED)
+    loose = F.regexp_replace(F.translate(text, _MARKED, bare), r"\p{Mn}", "")
+    return F.translate(loose, "đĐ", "dD") if stroke else loose
+
+
 def corrected(text: Column, pairs: Iterable[tuple[str, str]]) -> Column:
     """Ordered literal replacements."""
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, text)

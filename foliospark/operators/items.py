@@ -1,6 +1,7 @@
 """Line items out of document text: pipe tables, HTML tables and plain lines.
 
-Everything is a projection over arrays within a row, so nothing is shuffled and no row meets Python.
+Everything is a projection within a row, so nothing is shuffled. HTML tables and plain lines are expressions over arrays; pipe
+tables, whose rows are told by what came before, are read by Python in Arrow batches of bounded size.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 
 from foliospark.functions.numbers import let, none_if_empty, parse_number, parse_quantity, stripped
 from foliospark.operators import pipe_table
+from foliospark.operators.reader import batches as by_bytes
+from foliospark.operators.reader import with_fields
 
 ITEM = "struct<productCode:string,productName:string,unit:string,unitPrice:double,quantity:double,amount:double,discountPercent:string,discountAmount:double,payment:double>"
 ITEMS = f"array<{ITEM}>"
@@ -53,7 +56,7 @@ def with_pipe_items(df: DataFrame, text_col: str, out: str = "items") -> DataFra
     place, names = df.columns.index(text_col), [*df.columns, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, [place]):
             found = [pipe_table.items_of(t) if t and "|" in t else [] for t in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW_ITEMS)], names)
 
@@ -66,6 +69,12 @@ def _parse_items() -> T.ArrayType:
     return T.ArrayType(T.StructType([T.StructField(n, kinds[k]) for n, k in (x.split(":") for x in ITEM[7:-1].split(","))]))
 
 
+def row_reasons(df: DataFrame, text_col: str, out: str = "reasons") -> DataFrame:
+    """df with why each row of the text's pipe table is no item, null for items; rules and units told as any other row."""
+    kind = T.StructType([T.StructField(out, T.ArrayType(T.StringType()))])
+    return with_fields(df, [text_col], kind, lambda text: {out: [pipe_table.reason(pipe_table.cells_of(x)) for x in pipe_table.logical_rows(text or "")]})
+
+
 def _unit(text: Column) -> Column:
     return let(text, lambda x: F.when(F.coalesce(parse_number(x), F.lit(0.0)) <= 1000, x))
 

@@ -102,7 +102,8 @@ def behind_colon(line: str) -> str | None:
 def batches(found: Iterator[pa.RecordBatch], columns: list[int], size: int = BATCH) -> Iterator[pa.RecordBatch]:
     """Batches cut to about `size` bytes of text, a row at least."""
     for batch in found:
-        held = [pc.fill_null(pc.binary_length(batch.column(k)), 0).to_pylist() for k in columns]
+        sized = [k for k in columns if pa.types.is_string(batch.column(k).type) or pa.types.is_binary(batch.column(k).type)]
+        held = [pc.fill_null(pc.binary_length(batch.column(k)), 0).to_pylist() for k in sized] or [[8] * batch.num_rows]
         start, total = 0, 0
         for k, row in enumerate(zip(*held, strict=True)):
             total += sum(row)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import dates, numbers, text, words
 from foliospark.operators import currency, evaluation, identity, invoice, items, merging, sections, shipping, validation
-from foliospark.sources import readers, render
+from foliospark.sources import layouts, readers, render
 from foliospark.streaming import guard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -395,3 +395,134 @@ def stream_timeout(spark, sf_dir):
     events = table(spark, sf_dir, "events").where("user_id IS NOT NULL")
     chunks = events.select(F.col("user_id").cast("long").alias("doc_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("chunk_no"), "ts", F.lit("x").alias("text"))
     return guard.guard_batch(chunks, limit_s=86400, enabled=False).select("doc_id", F.col("kept_chunks").alias("kept"), "timed_out")
+
+
+@query(layouts.parties_sql())
+def party_layouts(spark, sf_dir):
+    h = invoice.heads(layouts.parties(spark, sf_dir))
+    return h.select("doc_id", F.col("sellerName").alias("seller"), F.col("sellerAddress").alias("seller_address"), F.col("sellerRule").alias("seller_rule"), F.col("buyerName").alias("buyer"), F.col("buyerAddress").alias("buyer_address"), F.col("buyerRule").alias("buyer_rule"))
+
+
+@query(f"""WITH {_SHOWN}, t AS (SELECT doc_id, round(sum(amount), 2) AS s FROM shown WHERE doc_id IN (SELECT o_orderkey FROM orders) GROUP BY doc_id),
+u AS (SELECT *, doc_id % 10 AS k, floor(s * 10 + 0.001::DOUBLE) / 100 AS tax, floor(s * 3) / 100 AS small FROM t)
+SELECT doc_id, CASE WHEN k IN (0, 4, 5, 6) THEN round(s + tax, 2) WHEN k = 9 THEN round(s + small, 2) ELSE s END AS total, s AS pre_tax,
+  CASE WHEN k IN (0, 4, 5, 6) THEN tax WHEN k = 9 THEN small END AS tax FROM u""")
+def invoice_totals(spark, sf_dir):
+    settled = invoice.invoices(layouts.totals(spark, sf_dir))
+    return settled.select("doc_id", F.round("totalAmount", 2).alias("total"), F.round("preTaxPrice", 2).alias("pre_tax"), F.when(F.col("taxAmount") > 0.004, F.round("taxAmount", 2)).alias("tax"))
+
+
+@query("""SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'RAW' || c_custkey ELSE 'ZOOM' || lpad(c_custkey::VARCHAR, 5, '0') END AS number, 'FOLIO LINES INC' AS carrier, 'HAI PHONG' AS loading,
+  CASE WHEN c_custkey % 3 <> 0 THEN 'FOLIO RAW CO' ELSE 'FOLIO ZOOM CO' END AS shipper, CASE WHEN c_custkey % 3 <> 0 THEN 'FOLIO ZOOM CO, 1 PIER' ELSE '1 PIER' END AS shipper_address, c_name AS consignee, '0107' AS tax_id,
+  'FIRST AGENT, SECOND AGENT' AS notify, 'DELIVERY AGENT, 2 GATE' AS agent FROM customer""")
+def bol_second_look(spark, sf_dir):
+    f = shipping.fields_of_both(layouts.zoomed_bills(spark, sf_dir))
+    return f.select("doc_id", F.col("blNumber").alias("number"), "carrier", F.col("portOfLoading").alias("loading"), F.col("shipperName").alias("shipper"), F.col("shipperAddress").alias("shipper_address"), F.col("consigneeName").alias("consignee"), F.col("consigneeTaxId").alias("tax_id"), F.col("notifyParty").alias("notify"), F.col("deliveryAgent").alias("agent"))
+
+
+#: Lines of an invoice whose company stands below the title, and the section of each.
+_WALK = [
+    ("HÓA ĐƠN GIÁ TRỊ GIA TĂNG", "header"), ("CÔNG TY FOLIO", "seller"), ("Mã số thuế: 0106046798", "seller"), ("Tên đơn vị: Công ty Hóa Đơn", "seller"), ("Ký hiệu: 1C25T", "header"), ("Họ tên người mua hàng: A", "buyer"),
+    ("Địa chỉ: 1 Phố Mới", "buyer"), ("Đơn vị bán hàng: B", "seller"), ("Hà Nội", "seller"), ("Khách hàng: C", "buyer"), ("| Ghi chú | x |", "buyer"), ("| Tên hàng | Thành tiền |", "table"), ("| Kỳ hóa đơn | 5 |", "table"),
+    ("Cộng tiền hàng: 5", "total"), ("| Tổng | 5 |", "total"), ("Signature valid", "signature"), ("| x | y |", "signature"),
+]
+
+
+@query(f"""WITH l AS (SELECT unnest([{", ".join(f"'{n}'" for _, n in _WALK)}]) AS section), c AS (SELECT count(*) AS n FROM nation)
+SELECT section, (count(*) * any_value(c.n))::BIGINT AS n_lines FROM l, c GROUP BY section""")
+def invoice_sections(spark, sf_dir):
+    texts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.lit("\n".join(x for x, _ in _WALK)).alias("raw_text"))
+    return invoice.section_lines(texts).groupBy("section").agg(F.count("*").alias("n_lines"))
+
+
+#: Rows of pipe tables, and why they are no items.
+_ROWS = [
+    ("| Total | 1 | 2 |", "summary label"), ("| x | Total VAT excluded | 2 |", "summary phrase"), ("| Batch: 7 | 1 | 1 |", "detail"), ("| 数量 | 1 | 1 |", "Chinese header"), ("| No. | | |", "number's header"),
+    ("| a | Đơn giá | b |", "sub-header"), ("| Cộng | 1 | 2 |", "total"), ("| SAY: two | 1 | 2 |", "note"), ("| 10 Pct. | 1 | 2 |", "percentage"), ("| (1) | (2) | (3=1x2) |", "numbered columns"), ("| Pen | 1 | 2 |", None),
+]
+
+
+@query(f"""SELECT p_partkey AS part, [{", ".join("NULL" if r is None else "'" + r.replace("'", "''") + "'" for _, r in _ROWS)}][p_partkey % {len(_ROWS)} + 1] AS reason FROM part""")
+def row_reasons(spark, sf_dir):
+    k = F.col("p_partkey")
+    texts = table(spark, sf_dir, "part").select(k.alias("part"), F.get(F.array(*[F.lit(x) for x, _ in _ROWS]), (k % len(_ROWS)).cast("int")).alias("raw_text"))
+    return items.row_reasons(texts, "raw_text").select("part", F.get("reasons", 0).alias("reason"))
+
+
+@query("""SELECT p_partkey AS part, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE p_name || ' set' END AS name FROM part""")
+def item_garbage(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.when(k % 4 == 0, F.col("p_name")).when(k % 4 == 1, "USD").when(k % 4 == 2, F.concat(F.lit("Signature "), "p_name")).otherwise(F.concat("p_name", F.lit(" set")))
+    made = table(spark, sf_dir, "part").select(k.alias("part"), F.array(F.struct(F.lit(None), name, F.lit(None), F.lit(1.0), F.lit(2.0), F.lit(2.0), F.lit(None), F.lit(None), F.lit(None))).cast(items.ITEMS).alias("items"))
+    return made.select("part", F.get(items.without_garbage(F.col("items")), 0)["productName"].alias("name"))
+
+
+@query("""SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 0 THEN 'Ngón trỏ trái' WHEN 1 THEN 'Sẹo ngón trỏ' ELSE 'Không' END || ' ' || c_custkey AS features, 'Ân Thi, ' || n_name AS origin, 'Thành phố ' || n_name AS residence FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def card_corrections(spark, sf_dir):
+    k = F.col("c_custkey")
+    df = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    marks = F.when(k % 3 == 0, "Ngôn tro trái").when(k % 3 == 1, "Sẹo ngón trò").otherwise("Không")
+    place = F.when(k % 2 == 0, "An Thi, ").otherwise("Ẩn Thi, ")
+    cards = df.select(k.alias("doc_id"), F.concat(F.lit("Quê quán: "), place, "n_name", F.lit("\nnoi thuong tru: Thành phó "), "n_name").alias("front_text"), F.concat(F.lit("Đặc điểm nhan dang: "), marks, F.lit(" "), k.cast("string")).alias("back_text"))
+    c = identity.card(cards)
+    return c.select("doc_id", F.col("personalIdFeatures").alias("features"), F.col("placeOfOrigin").alias("origin"), F.col("placeOfResidence").alias("residence"))
+
+
+@query("""SELECT p_partkey AS doc_id, 'see ' || p_name || ' and ' || p_brand || ' end' AS shown, 2::BIGINT AS boxes FROM part""")
+def tag_stream(spark, sf_dir):
+    """Grounding tags that are cut wherever chunks of five characters end."""
+    text = F.concat(F.lit("see <|ref|>title<|/ref|><|det|>[["), F.col("p_partkey").cast("string"), F.lit(", 2, 3, 4], [1, 1, 1, 1]]<|/det|>  \n"), "p_name", F.lit(" and "), "p_brand", F.lit(" end"))
+    whole = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("t"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 5).cast("int")), lambda k: F.substr("t", k * 5 + 1, F.lit(5)))
+    chunks = whole.select("doc_id", F.posexplode(cut).alias("chunk_no", "text"))
+    return guard.read_tags(chunks, "markdown")
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'close' WHEN 2 THEN 'wrong' ELSE 'skip' END AS math, CASE WHEN o_orderkey % 2 = 0 THEN 'exact' ELSE 'wrong' END AS words FROM orders""")
+def report_checks(spark, sf_dir):
+    k, total = F.col("o_orderkey"), F.col("o_totalprice") + 1000
+    got = F.when(k % 4 == 0, total + 0.5).when(k % 4 == 1, total * 1.008).when(k % 4 == 2, total * 1.2)
+    spoken = words.en_words_to_number(words.number_to_en_words(F.when(k % 2 == 0, F.round(total, 2)).otherwise(F.round(total * 100, 2))))
+    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), evaluation.checked(got, total).alias("math"), evaluation.checked(spoken, total).alias("words"))
+
+
+@query("""WITH l AS (SELECT hour(ts)::INT AS level, event_type, count(*) AS ok, quantile_cont(value, 0.5) AS p FROM events WHERE value IS NOT NULL GROUP BY ALL),
+t AS (SELECT unnest([40.0, 50.0, 60.0, 1000.0]) AS slo)
+SELECT event_type, slo::DOUBLE AS slo, max(level) FILTER (p <= slo) AS level, min(level) FILTER (p > slo) AS first_failing FROM l, t GROUP BY ALL""")
+def max_concurrency(spark, sf_dir):
+    levels = table(spark, sf_dir, "events").where("value IS NOT NULL").groupBy(F.hour("ts").alias("level"), "event_type").agg(F.percentile("value", 0.5).alias("p"))
+    return evaluation.max_concurrency(levels, ["event_type"], "level", "p", [40.0, 50.0, 60.0, 1000.0])
+
+
+@query("""SELECT n_nationkey AS doc_id, r AS sample_no, 'case ' || n_name AS name, n_name || ' ' || r AS text FROM nation, unnest(range(1, 4)) AS u(r)""")
+def sample_files(spark, sf_dir):
+    one = lambda k: F.concat(F.lit("=" * 80 + f"\n=== SAMPLE {k} - case "), "n_name", F.lit(" ===\n" + "=" * 80 + '\n"'), "n_name", F.lit(f' {k}"\n'))
+    files = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.concat(one(1), one(2), one(3)).alias("value"))
+    return readers.split_samples(files, keep=["doc_id"]).withColumn("sample_no", F.col("sample_no").cast("long"))
+
+
+@query("""SELECT o_orderkey AS doc_id, o_orderkey % 3 = 0 AS bad_date, [3.0::DOUBLE, 12.0, 105.0, 1200000000.0][o_orderkey % 4 + 1] AS spoken, CASE WHEN o_orderkey % 2 = 0 THEN '10%' ELSE '7.5%' END AS percent, o_orderkey % 2 = 0 AS agree,
+  CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS no_year, ['failed', 'partial', 'success', 'success'][o_orderkey % 4 + 1] AS presence FROM orders""")
+def small_rules(spark, sf_dir):
+    k, v = F.col("o_orderkey"), F.col("o_totalprice")
+    pick = lambda *xs: F.get(F.array(*map(F.lit, xs)), (k % len(xs)).cast("int"))
+    total = F.when(k % 5 == 0, 2024.0).otherwise(v)
+    there = lambda n: F.when(k % 4 >= n, "x")
+    listed = F.when(k % 4 >= 3, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return table(spark, sf_dir, "orders").select(
+        k.alias("doc_id"), validation.date_out_of_range(F.when(k % 3 == 0, "2024-13-01").when(k % 3 == 1, "2024-02-31").otherwise(F.lit(None))).alias("bad_date"),
+        words.vn_spoken_to_number(pick("hai mươi ba", "mười hai", "một trăm linh năm", "một tỷ hai trăm triệu")).alias("spoken"), numbers.tax_percent(F.when(k % 2 == 0, 10.0).otherwise(7.5)).alias("percent"),
+        validation.last_three_agree(F.array(F.lit(3.0), v, v * 0.1, F.when(k % 2 == 0, v * 1.1).otherwise(v * 1.5 + 100))).alias("agree"), validation.without_year(total).alias("no_year"), evaluation.presence(there(1), there(2), listed).alias("presence"),
+    )
+
+
+@query("""SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'a|b|c|d' ELSE 'a\\nb|c\\nd|e|f' END AS lines, '--- PAGE 1 ---' || chr(10) || c_name || chr(10) || '--- PAGE 3 ---' || chr(10) || 'x' || chr(10) || '--- ZOOM TEXT ---' || chr(10) || 'z' AS joined, 'dau phay o tren D' AS plain,
+  CASE WHEN c_custkey % 3 = 0 THEN 'head' ELSE 'head,' || c_name END AS kept FROM customer""".replace("\\\\", "\\"))
+def text_parts(spark, sf_dir):
+    k = F.col("c_custkey")
+    zoom = F.when(k % 2 == 0, F.lit("a\\nb\nc\\nd")).otherwise(F.lit("a\\nb\nc\\nd\ne\nf"))
+    marked = F.split(F.concat(F.lit("head\n"), F.when(k % 3 == 0, "--- PAGE 2 ---").otherwise(F.col("c_name")), F.lit("\n---ZOOM RIGHT---\nno")), "\n")
+    pages = F.array(F.struct(F.lit(1).alias("page"), F.col("c_name").alias("text")), F.struct(F.lit(3).alias("page"), F.lit("x").alias("text")))
+    return table(spark, sf_dir, "customer").select(
+        k.alias("doc_id"), F.array_join(text.zoom_lines(zoom), "|").alias("lines"), text.joined_pages(pages, F.lit("z")).alias("joined"), text.without_diacritics(F.lit("dấu phẩy ở trên Đ")).alias("plain"), F.array_join(text.first_page(marked), ",").alias("kept")
+    )

@@ -29,12 +29,12 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
     return split_samples(spark.read.text(path, wholetext=True))
 
 
-def split_samples(df: DataFrame, text_col: str = "value") -> DataFrame:
+def split_samples(df: DataFrame, text_col: str = "value", keep: list[str] = ()) -> DataFrame:
     banner = r"={20,}\s*\n=+ SAMPLE (\d+) - ([^\n=]*?) =+\s*\n={20,}"
     pieces = let(F.split(text_col, banner.replace("(", "(?:")), lambda x: F.slice(x, F.lit(2), F.size(x)))
     numbers, names = (F.regexp_extract_all(text_col, F.lit(banner), F.lit(k)) for k in (1, 2))
-    both = df.select(F.explode(F.arrays_zip(numbers.alias("n"), names.alias("name"), pieces.alias("text"))).alias("s"))
-    return both.select(F.col("s.n").cast("int").alias("sample_no"), F.col("s.name").alias("name"), F.regexp_replace(stripped(F.col("s.text")), '(?s)^"(.*)"$', "$1").alias("text"))
+    both = df.select(*keep, F.explode(F.arrays_zip(numbers.alias("n"), names.alias("name"), pieces.alias("text"))).alias("s"))
+    return both.select(*keep, F.col("s.n").cast("int").alias("sample_no"), F.col("s.name").alias("name"), F.regexp_replace(stripped(F.col("s.text")), '(?s)^"(.*)"$', "$1").alias("text"))
 
 
 def raster_zoom(width: Column, height: Column, dpi: int = 300, longest: int = 4096) -> Column:
