@@ -23,9 +23,7 @@ whatever they are called.
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -215,34 +213,56 @@ def pooled(p: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return most, np.bincount(owner, np.where(p >= 0.1, p, 0.0), minlength=sizes.size)
 
 
-def _one_of_copies(texts: list[str]) -> list[int]:
-    """Indices of texts that share none of their two smallest shingle hashes with one before."""
+def _one_of_copies(rows: list[np.ndarray]) -> list[int]:
+    """Indices of texts (numbers of their words) that share none of their two smallest shingle hashes with one before."""
     seen, out = set(), []
-    for k, t in enumerate(texts):
-        w = t.split()
-        least = sorted({zlib.crc32(" ".join(w[j : j + 4]).encode()) for j in range(max(1, len(w) - 3))})[:2]
+    for k, words in enumerate(rows):
+        h = np.zeros(max(1, words.size - 3), np.uint64)
+        for j in range(min(4, words.size)):
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[j : j + h.size].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        least = np.unique((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93))[:2].tolist()
         if not seen.intersection(least):
             out.append(k)
         seen.update(least)
     return out
 
 
-def telling(texts: list[str], toxic: np.ndarray) -> set[str]:
-    """Features that mark a token as toxic."""
-    counts = (Counter(), Counter())
-    n = [0, 0]
-    for k in _one_of_copies(texts):
+@dataclass
+class Vocabulary:
+    """Words and features by number: those of word w stand at starts[w] to starts[w + 1] of `features`."""
+
+    names: list[str]
+    features: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, words: Iterable[str]) -> Vocabulary:
+        index: dict[str, int] = {}
+        lists = [[index.setdefault(p, len(index)) for p in parts(w)] for w in words]
+        return cls(list(index), np.fromiter((i for x in lists for i in x), np.int64), np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)]))
+
+    def of_words(self, words: np.ndarray) -> np.ndarray:
+        """The features of some words, one behind the other."""
+        size = self.starts[words + 1] - self.starts[words]
+        return self.features[np.repeat(self.starts[words] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
+def telling(rows: list[np.ndarray], vocabulary: Vocabulary, toxic: np.ndarray) -> np.ndarray:
+    """Whether each feature marks a token as toxic. rows: numbers of each text's words."""
+    counts, n = np.zeros((2, len(vocabulary.names)), np.int64), [0, 0]
+    for k in _one_of_copies(rows):
         n[int(toxic[k])] += 1
-        counts[int(toxic[k])].update({f for w in set(texts[k].split()) for f in parts(w) if f[0] != "e"})
+        counts[int(toxic[k])][np.unique(vocabulary.of_words(np.unique(rows[k])))] += 1
+    counts[:, np.fromiter((p[0] == "e" for p in vocabulary.names), bool, len(vocabulary.names))] = 0  # a word's end alone tells nothing
     scale, share = n[1] / max(1, n[0]), n[1] / max(1, sum(n))
-    tried = np.sort(np.fromiter((m + counts[0][f] for f, m in counts[1].items()), np.int64, len(counts[1])))
+    tried = np.sort(counts.sum(0)[counts[1] > 0])
     # All of m documents toxic by chance: share ** m, for each of the features as frequent.
     chance = lambda m: share**m * (tried.size - np.searchsorted(tried, m))
     least = next((m for m in range(3, 200) if chance(m) <= 0.01), 200)
-    return {f for f, m in counts[1].items() if m >= least and counts[0][f] * scale <= 0.02 * m}
+    return (counts[1] >= least) & (counts[0] * scale <= 0.02 * counts[1])
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 50, rate: float = 0.5, pull: float = 1e-4) -> Crf:
+def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 30, rate: float = 0.5, pull: float = 1e-4) -> Crf:
     """A model of labelled texts, of all their words."""
     texts = [(t or "").lower() for t in texts]
     zero = Crf({}, -20.0, np.zeros((2, 2)), (-30.0, 0.0, 0.0))
@@ -250,34 +270,36 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 50, rate: floa
     if share in (0.0, 1.0):
         zero.head = (30.0 if share else -30.0, 0.0, 0.0)
         return zero
-    marks = telling(texts, toxic)
     number: dict[str, int] = {}
-    rows = [np.fromiter((number.setdefault(w, len(number)) for w in t.split()), np.int32) for t in texts]
-    sizes, word = np.array([r.size for r in rows], np.int64), np.concatenate(rows)
-    marked = np.fromiter((any(p in marks for p in parts(w)) for w in number), bool, len(number))
-    index: dict[str, int] = {}
-    lists = [[index.setdefault(p, len(index)) for p in parts(w)] for w in number]
-    ids, of = np.fromiter((i for x in lists for i in x), np.int64), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    rows = [np.fromiter((number.setdefault(w, len(number)) for w in t.split()), np.int64) for t in texts]
+    sizes, word = np.array([r.size for r in rows], np.int64), np.concatenate(rows).astype(np.int32)
+    known = Vocabulary.of(number)
+    m, of = len(number), np.repeat(np.arange(len(number)), np.diff(known.starts))
+    ids = known.features
+    marked = np.bincount(of, telling(rows, known, toxic)[ids], m) > 0
     y = (marked[word] & np.repeat(toxic.astype(bool), sizes)).astype(float)
     chains = Chains(sizes)
     # Words with one behind them in their text.
-    pair = np.flatnonzero(np.repeat(np.arange(sizes.size), sizes)[1:] == np.repeat(np.arange(sizes.size), sizes)[:-1])
+    pair = np.delete(np.arange(word.size), np.cumsum(sizes)[sizes > 0] - 1)
     seen = np.bincount((2 * y[pair] + y[pair + 1]).astype(int), minlength=4).reshape(2, 2)
-    w, bias, step = np.zeros(len(index)), -3.0, np.zeros((2, 2))
-    gw, gb, gs = np.full(len(index), 1e-6), 1e-6, np.full((2, 2), 1e-6)
+    w, bias, step = np.zeros(len(known.names)), -3.0, np.zeros((2, 2))
+    gw, gb, gs = np.full(w.size, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     scale = 1000 / max(1, y.size)
     for _ in range(rounds):
-        e = bias + np.bincount(of, w[ids], minlength=len(lists))[word]
-        p, odds = marginals(e, step, chains)
+        p, odds = marginals((bias + np.bincount(of, w[ids], m))[word], step, chains)
         slope = (y - p) * scale
-        dw = np.bincount(ids, np.bincount(word, slope, minlength=len(lists))[of], minlength=len(index)) - pull * w
+        dw = np.bincount(ids, np.bincount(word, slope, m)[of], w.size) - pull * w
         db, ds = float(slope.sum()), (seen - _pairs(odds[pair], p[pair + 1], step)) * scale - pull * step
         gw, gb, gs = gw + dw**2, gb + db**2, gs + ds**2
         w += rate * dw / np.sqrt(gw)
         bias += rate * db / np.sqrt(gb)
         step += rate * ds / np.sqrt(gs)
-    crf = Crf({f: float(w[k]) for f, k in index.items() if abs(w[k]) >= LEAST_WEIGHT}, float(bias), step, (0.0, 0.0, 0.0))
-    crf.head = _head(*pooled(*Tagger(crf).probabilities(texts)), toxic)
+    held = np.flatnonzero(np.abs(w) >= LEAST_WEIGHT)
+    crf = Crf({known.names[k]: float(w[k]) for k in held.tolist()}, float(bias), step, (0.0, 0.0, 0.0))
+    # The head is fitted to what the tagger will say, which drops small weights.
+    kept = np.zeros(w.size)
+    kept[held] = w[held]
+    crf.head = _head(*pooled(marginals((bias + np.bincount(of, kept[ids], m))[word], step, chains)[0], sizes), toxic)
     return crf
 
 
