@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.functions.numbers import let, none_if_empty, parse_number, parse_quantity, stripped
-from foliospark.operators import pipe_table
+from foliospark.operators import pipe_table, text_items
 from foliospark.operators.reader import batches as by_bytes
 from foliospark.operators.reader import with_fields
 
@@ -48,23 +48,25 @@ def _low(text: Column) -> Column:
     return F.lower(stripped(text))
 
 
-def with_pipe_items(df: DataFrame, text_col: str, out: str = "items") -> DataFrame:
-    """df with the items of the text's pipe table; an empty array without one.
+def with_pipe_items(df: DataFrame, text_col: str, out: str = "items", structured: str | None = None) -> DataFrame:
+    """df with the items of the text's pipe table; an empty array without one. structured: the column for those of texts without any table.
 
     A table is read row by row with what its header has told, so whole texts go to Python in Arrow batches; other columns pass as they are.
     """
-    place, names = df.columns.index(text_col), [*df.columns, out]
+    place, names = df.columns.index(text_col), [*df.columns, out, *([structured] if structured else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, [place]):
-            found = [pipe_table.items_of(t) if t and "|" in t else [] for t in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW_ITEMS)], names)
+            texts = batch.column(place).to_pylist()
+            found = [pipe_table.items_of(t) if t and "|" in t else [] for t in texts]
+            loose = [text_items.items_of(t)[1] if structured and not x and t and "<table" not in t else [] for t, x in zip(texts, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW_ITEMS), *([pa.array(loose, _ARROW_ITEMS)] if structured else [])], names)
 
-    schema = T.StructType([*df.schema.fields, T.StructField(out, _parse_items())])
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, item_type()) for n in names[len(df.columns) :])])
     return df.mapInArrow(run, schema)
 
 
-def _parse_items() -> T.ArrayType:
+def item_type() -> T.ArrayType:
     kinds = {"double": T.DoubleType(), "string": T.StringType()}
     return T.ArrayType(T.StructType([T.StructField(n, kinds[k]) for n, k in (x.split(":") for x in ITEM[7:-1].split(","))]))
 
@@ -110,12 +112,12 @@ def plain_items(text: Column) -> Column:
 
 
 def with_items(df: DataFrame, text_col: str, out: str = "items") -> DataFrame:
-    """df with the items of an HTML table, else of a pipe table, else of plain lines."""
-    df = with_pipe_items(df, text_col, "__pipe")
+    """df with the items of an HTML table, else of a pipe table, else of structured text, else of plain lines."""
+    df = with_pipe_items(df, text_col, "__pipe", "__text")
     html = F.when(F.col(text_col).contains("<table"), html_items(F.col(text_col)))
     pipe = F.when(F.col(text_col).contains("|"), F.col("__pipe"))
     some = lambda x: F.when(F.size(x) > 0, x)
-    return df.withColumn(out, F.coalesce(some(html), some(pipe), plain_items(F.col(text_col)))).drop("__pipe")
+    return df.withColumn(out, F.coalesce(some(html), some(pipe), some(F.col("__text")), plain_items(F.col(text_col)))).drop("__pipe", "__text")
 
 
 def without_garbage(items: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import dates, numbers, text, words
-from foliospark.operators import currency, evaluation, identity, invoice, items, merging, sections, shipping, validation
+from foliospark.operators import currency, evaluation, identity, invoice, items, merging, shipping, text_items, validation
 from foliospark.sources import layouts, readers, render
 from foliospark.streaming import guard
 
@@ -526,3 +526,27 @@ def text_parts(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(
         k.alias("doc_id"), F.array_join(text.zoom_lines(zoom), "|").alias("lines"), text.joined_pages(pages, F.lit("z")).alias("joined"), text.without_diacritics(F.lit("dấu phẩy ở trên Đ")).alias("plain"), F.array_join(text.first_page(marked), ",").alias("kept")
     )
+
+
+#: How a text without a table sets two items of a part, and the reader of each.
+_LOOSE = [
+    ("Description: {n}\nQuantity: 3\nUnit price: 2.50\nAmount: 7.50\nDescription: {n} B\nQuantity: 1\nAmount: 9.00", "labelled pairs"),
+    ("**Description**\n**Quantity**\n**Unit Price**\n**Amount**\n{n}\n3\n2.50\n7.50\n{n} B\n1\n9.00\n9.00\nTotal\n\n\n16.50", "labels then values"),
+    ("Description:\n1. {n}\n2. {n} B\nQuantity:\n1. 3\n2. 1\nAmount:\n1. 7.50\n2. 9.00", "numbered sections"),
+    ("1. {n}\n3 pcs x USD 2.50\n2. {n} B, 1 set @ 9.00\nTotal 16.50", "numbered lines"),
+    ("{N} 3 PCS USD 2.50 USD 7.50\n{N} B 1 SET $9.00\nTOTAL 2 PCS 16.50", "capital lines"),
+    ("**{n}**\n3 of 2.50\n7.50\n**{n} B**\n1 of 9.00 is 9.00\n**Total**\n1 1 1", "bold blocks"),
+]
+
+
+@query(f"""WITH k AS (SELECT *, p_partkey % {len(_LOOSE)} AS kind FROM (SELECT p_partkey, 'Part no ' || chr((65 + p_partkey % 26)::INT) || 'x' AS n FROM part)),
+i AS (SELECT *, 1 AS no, n AS name, 3.0::DOUBLE AS qty, 7.5::DOUBLE AS amount FROM k UNION ALL SELECT *, 2, n || ' B', 1.0::DOUBLE, 9.0::DOUBLE FROM k)
+SELECT p_partkey AS part, [{", ".join(f"'{r}'" for _, r in _LOOSE)}][kind + 1] AS reader, no::BIGINT AS no, CASE WHEN kind = 4 THEN upper(n) || CASE WHEN no = 2 THEN ' B' ELSE '' END ELSE name END AS name, qty, amount FROM i""")
+def items_from_loose_text(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("Part no "), F.chr(F.lit(65) + k % 26), F.lit("x"))
+    shape = F.get(F.array(*[F.lit(x) for x, _ in _LOOSE]), (k % len(_LOOSE)).cast("int"))
+    docs = table(spark, sf_dir, "part").select(k.alias("part"), F.replace(F.replace(shape, F.lit("{n}"), name), F.lit("{N}"), F.upper(name)).alias("raw_text"))
+    found = text_items.with_text_items(docs, "raw_text", items.item_type())
+    rows = found.select("part", "reader", F.posexplode("items").alias("no", "x"))
+    return rows.select("part", "reader", (F.col("no") + 1).cast("long").alias("no"), F.col("x.productName").alias("name"), F.col("x.quantity").alias("qty"), F.col("x.amount").alias("amount"))
