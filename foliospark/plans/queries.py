@@ -550,3 +550,10 @@ def items_from_loose_text(spark, sf_dir):
     found = text_items.with_text_items(docs, "raw_text", items.item_type())
     rows = found.select("part", "reader", F.posexplode("items").alias("no", "x"))
     return rows.select("part", "reader", (F.col("no") + 1).cast("long").alias("no"), F.col("x.productName").alias("name"), F.col("x.quantity").alias("qty"), F.col("x.amount").alias("amount"))
+
+
+@query("""SELECT c_custkey AS doc_id, (CASE WHEN c_custkey % 5 <> 0 THEN c_custkey + 2000 WHEN c_custkey % 3 = 0 THEN c_custkey + 1000 ELSE c_custkey + 3000 END)::VARCHAR AS number, 'HÓA ĐƠN BÁN HÀNG' AS title, '01GTKT' AS form, '1' AS serial,
+  '05/06/2024' AS day, 'CÔNG TY FOLIO' AS seller, '0106046798' AS seller_code, '12 Hàng Bài, Hoàn Kiếm, Hà Nội' AS address, c_name AS buyer, 'VND' AS currency FROM customer""")
+def invoice_looks(spark, sf_dir):
+    h = invoice.heads_of_all(layouts.looks(spark, sf_dir))
+    return h.select("doc_id", F.col("invoiceID").alias("number"), F.col("invoiceName").alias("title"), F.col("invoiceFormNo").alias("form"), F.col("invoiceSerial").alias("serial"), F.col("invoiceDate").alias("day"), F.col("sellerName").alias("seller"), F.col("sellerTaxCode").alias("seller_code"), F.col("sellerAddress").alias("address"), F.col("buyerName").alias("buyer"), "currency")
