@@ -59,6 +59,14 @@ def merge(raw: DataFrame, zoom: DataFrame, key: str) -> DataFrame:
     return merged
 
 
+def refined(df: DataFrame, answer: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """df with the fields of a model's answer where df has none; rows that lack more than half of the fields stay as they are."""
+    lacks = sum(_missing(F.col(f).cast("string")).cast("int") for f in fields)
+    both = df.withColumn("__lacks", lacks).join(answer.select(F.col(key).alias("__key"), *[F.col(f).alias(f"__{f}") for f in fields]), F.col(key) == F.col("__key"), "left")
+    take = F.col("__lacks") <= len(fields) * 0.5
+    return both.select(*[F.when(take & _missing(F.col(c).cast("string")), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns])
+
+
 def total_from_words(total: Column, words: Column) -> Column:
     """The total, or what the words say where it is missing or zero."""
     said = vn_spoken_to_number(words)

@@ -557,3 +557,29 @@ def items_from_loose_text(spark, sf_dir):
 def invoice_looks(spark, sf_dir):
     h = invoice.heads_of_all(layouts.looks(spark, sf_dir))
     return h.select("doc_id", F.col("invoiceID").alias("number"), F.col("invoiceName").alias("title"), F.col("invoiceFormNo").alias("form"), F.col("invoiceSerial").alias("serial"), F.col("invoiceDate").alias("day"), F.col("sellerName").alias("seller"), F.col("sellerTaxCode").alias("seller_code"), F.col("sellerAddress").alias("address"), F.col("buyerName").alias("buyer"), "currency")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'model ' || c_custkey ELSE c_name END AS name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_phone END AS phone, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM (SELECT *, c_mktsegment AS c_phone FROM customer)""")
+def model_refinement(spark, sf_dir):
+    k = F.col("c_custkey")
+    gone = k % 4 == 0
+    own = table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 2 == 1, F.col("c_name")).alias("name"), F.when(~gone, F.col("c_mktsegment")).alias("phone"), F.when(~gone, F.col("c_mktsegment")).alias("segment"))
+    answer = table(spark, sf_dir, "customer").select(k.alias("id"), F.concat(F.lit("model "), k.cast("string")).alias("name"), F.lit("x").alias("phone"), F.lit("y").alias("segment"))
+    return merging.refined(own, answer, "id", ["name", "phone", "segment"])
+
+
+@query("""SELECT event_type, count(*) FILTER (value >= 20) AS ok, round(max(epoch(ts) + value) - min(epoch(ts)), 3) AS wall FROM events WHERE value IS NOT NULL GROUP BY event_type""")
+def load_throughput(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_type", (F.col("value") >= 20).alias("ok"), F.col("ts").cast("timestamp").cast("double").alias("start"), F.col("value").alias("took"))
+    return evaluation.throughput(e, ["event_type"], "ok", "start", "took").select("event_type", "ok", F.round("wall", 3).alias("wall"))
+
+
+@query("""SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'CÔNG TY FOLIO ' || c_custkey ELSE 'Folio Trading Company Limited' END AS seller, CASE WHEN c_custkey % 2 = 0 THEN '0106046798' END AS seller_code,
+  CASE WHEN c_custkey % 2 = 0 THEN 'CÔNG TY CỔ PHẦN B' ELSE c_name END AS buyer, CASE WHEN c_custkey % 2 = 0 THEN '0107500414' END AS buyer_code, CASE WHEN c_custkey % 2 = 0 THEN '77' END AS number FROM customer""")
+def party_fallbacks(spark, sf_dir):
+    """Texts with no label but a company above its tax code, and sellers cut off that stand whole in bold."""
+    k = F.col("c_custkey")
+    bare = F.concat(F.lit("CÔNG TY FOLIO "), k.cast("string"), F.lit("\n0106046798\nSố hiệu: 77\nCÔNG TY CỔ PHẦN B\n0107500414"))
+    cut = F.concat(F.lit("COMMERCIAL INVOICE\nSeller: Folio Trading Comp\n\nBuyer: "), "c_name", F.lit("\n\n**Folio Trading Company Limited**"))
+    h = invoice.heads(table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.when(k % 2 == 0, bare).otherwise(cut).alias("raw_text")))
+    return h.select("doc_id", F.col("sellerName").alias("seller"), F.col("sellerTaxCode").alias("seller_code"), F.col("buyerName").alias("buyer"), F.col("buyerTaxCode").alias("buyer_code"), F.col("invoiceID").alias("number"))
