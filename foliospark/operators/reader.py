@@ -30,10 +30,10 @@ KINDS = {
     "phone": r"[+\d\-\s]+",
     "container": r"[A-Z]{4}\d{7}",
     "seal": r"[A-Z]?\d{5,}",
-    "weight": r"\d[\d,.]+\s*(?i:kgs|kgm|kg)",
-    "volume": r"\d[\d,.]+\s*(?i:cbm|m[³3])",
+    "weight": r"(?<![\d,.])\d[\d,.]+\s*(?i:kgs|kgm|kg)",
+    "volume": r"(?<![\d,.])\d[\d,.]+\s*(?i:cbm|m[³3])",
     "tariff": r"\d[\d.]{3,}",
-    "pieces": r"\d+\s*(?i:package|pallet|case|carton|sets|pcs)",
+    "pieces": r"(?<!\d)\d+\s*(?i:package|pallet|case|carton|sets|pcs)",
     "movement": r"(?i:c[yf]s?-c[yf]s?)\b",
     "any movement": r"(?i:c[yf]s?\s*[-/]\s*c[yf]s?|[fl]cl\s*[-/]\s*[fl]cl)\b",
     "term": r"(?i:fob|cif|cfr|c\.?f\.?r|cip|fca|exw|dap|ddp)\b",

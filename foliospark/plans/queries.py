@@ -574,12 +574,12 @@ def load_throughput(spark, sf_dir):
     return evaluation.throughput(e, ["event_type"], "ok", "start", "took").select("event_type", "ok", F.round("wall", 3).alias("wall"))
 
 
-@query("""SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'CÔNG TY FOLIO ' || c_custkey ELSE 'Folio Trading Company Limited' END AS seller, CASE WHEN c_custkey % 2 = 0 THEN '0106046798' END AS seller_code,
-  CASE WHEN c_custkey % 2 = 0 THEN 'CÔNG TY CỔ PHẦN B' ELSE c_name END AS buyer, CASE WHEN c_custkey % 2 = 0 THEN '0107500414' END AS buyer_code, CASE WHEN c_custkey % 2 = 0 THEN '77' END AS number FROM customer""")
+@query("""SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'CÔNG TY: FOLIO ' || c_custkey ELSE 'Folio Trading Company Limited' END AS seller, CASE WHEN c_custkey % 2 = 0 THEN '0106046798' END AS seller_code,
+  CASE WHEN c_custkey % 2 = 0 THEN 'CÔNG TY CỔ PHẦN: B' ELSE c_name END AS buyer, CASE WHEN c_custkey % 2 = 0 THEN '0107500414' END AS buyer_code, CASE WHEN c_custkey % 2 = 0 THEN '77' END AS number FROM customer""")
 def party_fallbacks(spark, sf_dir):
     """Texts with no label but a company above its tax code, and sellers cut off that stand whole in bold."""
     k = F.col("c_custkey")
-    bare = F.concat(F.lit("CÔNG TY FOLIO "), k.cast("string"), F.lit("\n0106046798\nSố hiệu: 77\nCÔNG TY CỔ PHẦN B\n0107500414"))
+    bare = F.concat(F.lit("CÔNG TY: FOLIO "), k.cast("string"), F.lit("\n0106046798\nSố hiệu: 77\nCÔNG TY CỔ PHẦN: B\n0107500414"))
     cut = F.concat(F.lit("COMMERCIAL INVOICE\nSeller: Folio Trading Comp\n\nBuyer: "), "c_name", F.lit("\n\n**Folio Trading Company Limited**"))
     h = invoice.heads(table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.when(k % 2 == 0, bare).otherwise(cut).alias("raw_text")))
     return h.select("doc_id", F.col("sellerName").alias("seller"), F.col("sellerTaxCode").alias("seller_code"), F.col("buyerName").alias("buyer"), F.col("buyerTaxCode").alias("buyer_code"), F.col("invoiceID").alias("number"))
