@@ -552,8 +552,9 @@ def repeated(numbered: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     found = numbered.select("doc", "text").mapInArrow(_find(length, gram, common), "anchor long, content long, doc long, at long")
     told = cut(found.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_tell, "kind byte, anchor long, doc long, at long"))
     wanted = told.where(F.col("kind") != REPEAT).groupBy("doc").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("at").alias("ats"), F.collect_list(F.col("kind").cast("long")).alias("kinds"))
-    # A document's candidates are at most its windows. Rows of equal documents fetch the same, which count as one.
-    fetched = numbered.select("doc", "text").join(wanted, "doc").select("doc", "text", "anchors", "ats", "kinds").mapInArrow(_fetch(length), "anchor long, doc long, at long, words binary")
+    # A document's candidates are at most its windows. Rows of equal documents fetch the same, which count as one. All of their columns
+    # go along, so that texts are dealt by document once, for this join and for that with the repeats.
+    fetched = numbered.join(wanted, "doc").select("doc", "text", "anchors", "ats", "kinds", *[c for c in numbered.columns if c not in ("doc", "text")]).mapInArrow(_fetch(length), "anchor long, doc long, at long, words binary")
     searched = fetched.repartition(n, "anchor").sortWithinPartitions("anchor", "doc", "at").mapInArrow(_search(length), _MATCHED)
     return told.where(F.col("kind") == REPEAT).select("doc", "at", F.lit(None).cast("int").alias("matched")).unionByName(searched)
 
@@ -565,7 +566,7 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     verbatim: texts that lose nothing stay as they are.
     """
     carry = list(carry)
-    numbered = _numbered(docs, id_col, text_col, carry)
+    numbered = _numbered(docs, id_col, text_col, carry).where("doc IS NOT NULL")  # none is: said so that both joins deal out the same
     spans = repeated(numbered, length, gram).groupBy("doc").agg(F.collect_list("at").alias("spans"))
     joined = numbered.join(spans, "doc", "left").select("id", "text", "spans", "carried")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("intervals", INTERVALS), joined.schema["carried"]])
