@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pieces_bpe, quality_gam, simhash, spotsigs, substring_fm, toxicity_crf, warc, weak_rules
+from . import langid, mixing, pieces_bpe, quality_gam, simhash, spotsigs, substring_fm, token_counts, toxicity_crf, warc, weak_rules
 from .common import table
 
 
@@ -76,6 +76,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        counted = token_counts.count(table(spark, sf_dir, "documents"), f.read(), ["doc_id"])
+    return counted.select("carried.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_sentencepiece": op2_sentencepiece,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op12_token_counts": op12_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
