@@ -43,7 +43,7 @@ def check(tokenizer_json: bytes) -> None:
     told = json.loads(tokenizer_json)
     normal, split = json.dumps(told["normalizer"]), json.dumps(told["pre_tokenizer"])
     special = [t["content"] for t in told["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or _SAFE.search(t["content"].encode())]
-    kinds = {k["type"] for k in told["normalizer"].get("normalizers", [told["normalizer"]])}
+    kinds = {k["type"] for k in (told["normalizer"] or {}).get("normalizers", [told["normalizer"] or {"type": "none"}])}
     if special or told["truncation"] or told["padding"] or not kinds <= {"NFC", "Replace", "Lowercase"} or "\\\\s+" not in normal or "[\\\\p{N}]|[^\\\\s" not in split or '"add_prefix_space": true' in split:
         raise ValueError("texts of this tokenizer can't be cut at white spaces and digits")
 
