@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pieces_bpe, quality_gam, simhash, spotsigs, substring_fm, token_counts, toxicity_crf, warc, weak_rules
+from . import langid, merkle, mixing, pieces_bpe, quality_gam, simhash, spotsigs, substring_fm, token_counts, toxicity_crf, warc, weak_rules
 from .common import table
 
 
@@ -76,6 +76,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    before, text = [F.col(c) for c in ("doc_id", "source", "lang")], F.col("text")
+    tampered = F.col("n_chars").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+    other = F.when(tampered, merkle.leaf(*before, F.col("n_chars").cast("decimal(20,0)") + 1, text))
+    leaves = docs.select(F.col("lang").alias("grp"), F.col("doc_id").cast("long").alias("id"), merkle.leaf(*before, F.col("n_chars"), text).alias("leaf"), other.alias("other"))
+    return merkle.proofs(leaves, path=False).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
         counted = token_counts.count(table(spark, sf_dir, "documents"), f.read(), ["doc_id"])
@@ -93,10 +102,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_merkle": op11_merkle,
     "op12_token_counts": op12_token_counts,
 }
 
+
+
+def _merkle_sql(levels: int = 40) -> str:
+    """Level after level of both trees, each a subquery: enough for 2 ** levels documents a language, and languages."""
+    crc = "xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: [ord(d)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, s: xor(xor(c, s) // 2, 3988292384::UBIGINT * (xor(c, s) % 2))), 4294967295::UBIGINT)"
+    field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode({x}::VARCHAR))::VARCHAR || ':' || {x}::VARCHAR END"
+    leaf = lambda n: " || ".join(map(field, ("doc_id", "source", "lang", n, "text")))
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, sha256({leaf("n_chars")}) AS leaf, CASE WHEN n_chars IS NOT NULL AND ({crc}) % 7 = 0 THEN sha256({leaf("(n_chars + 1)")}) END AS other
+  FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+t AS (
+  SELECT 0 AS level, lang, pos, n, leaf AS node FROM r
+  UNION ALL
+  SELECT level + 1, lang, pos // 2, (n + 1) // 2, sha256(node || coalesce(after, ''))
+  FROM (SELECT *, lead(node) OVER (PARTITION BY level, lang ORDER BY pos) AS after FROM t WHERE n > 1 AND level < {levels}) WHERE pos % 2 = 0),
+s AS (SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS level, pos, n, subroot AS node FROM s
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(node || coalesce(after, ''))
+  FROM (SELECT *, lead(node) OVER (PARTITION BY level ORDER BY pos) AS after FROM u WHERE n > 1 AND level < {levels}) WHERE pos % 2 = 0),
+w AS (
+  SELECT r.doc_id, r.lang, r.pos AS leaf_pos, r.leaf, r.other, s.subroot, s.pos AS lang_pos, s.n AS n_langs, 0 AS step, 0 AS tree, r.pos AS pos, r.n AS n, coalesce(r.other, r.leaf) AS now, '' AS siblings
+  FROM r JOIN s ON r.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL
+  SELECT w.doc_id, w.lang, leaf_pos, leaf, other, subroot, lang_pos, n_langs,
+         CASE WHEN w.n = 1 THEN 0 ELSE step + 1 END, CASE WHEN w.n = 1 THEN 1 ELSE w.tree END,
+         CASE WHEN w.n = 1 THEN lang_pos ELSE w.pos // 2 END, CASE WHEN w.n = 1 THEN n_langs ELSE (w.n + 1) // 2 END,
+         CASE WHEN w.n = 1 THEN now WHEN w.pos % 2 = 1 THEN sha256(b.node || now) ELSE sha256(now || coalesce(b.node, '')) END,
+         CASE WHEN w.n = 1 THEN siblings ELSE siblings || coalesce(b.node, '') END
+  FROM w LEFT JOIN (SELECT 0 AS tree, level, lang, pos, node FROM t UNION ALL SELECT 1, level, NULL, pos, node FROM u) b
+    ON b.tree = w.tree AND b.level = w.step AND b.pos = xor(w.pos, 1) AND (w.tree = 1 OR b.lang IS NOT DISTINCT FROM w.lang)
+  WHERE w.n > 1 OR w.tree = 0)
+SELECT doc_id, leaf, subroot, (SELECT node FROM u WHERE n = 1) AS root, sha256(siblings) AS proof_sha256, now AS folded_root, now = (SELECT node FROM u WHERE n = 1) AS verified
+FROM w WHERE tree = 1 AND n = 1"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle": _merkle_sql(),
     "op1_warc": """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
