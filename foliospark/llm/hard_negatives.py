@@ -342,7 +342,7 @@ def meeting(grouped: DataFrame, packed: DataFrame, tree: Tree) -> DataFrame:
     def useful(pairs: DataFrame) -> DataFrame:
         return pairs.where((middle + most >= F.col("least")) & (middle - most <= F.col("most")))
 
-    now, before = grouped.select("grp", "centre", "norm", "radius", "least", "most", F.lit(0).alias("at")), 0
+    now, before = grouped.select("grp", "centre", "norm", "radius", "least", "most", F.shiftright("grp", 63).cast("int").alias("at")), 0  # the root is node 0
     kept = ["grp", "centre", "norm", "radius", "least", "most"]
     for depth in sorted({*range(0, tree.depth, STEP), tree.depth}):
         children = nodes.where(F.col("depth") == depth).select(F.col("node").alias("to"), F.expr(f"shiftright(node, {depth - before})").alias("at"), "c", "cn", "cr")
