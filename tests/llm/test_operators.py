@@ -248,9 +248,9 @@ def test_rules(spark):
         assert not (r.kept and r.base_failed)
     names = list(weak_rules.rules())
     votes = Counter(tuple(r[f"v_{k}"] for k in names) for r in got)
-    share, accuracy = weak_rules.estimate(sorted(votes.items()), len(names))
+    share, rates = weak_rules.estimate(sorted(votes.items()), len(names))
     for r in got:
-        p = weak_rules.posterior(tuple(r[f"v_{k}"] for k in names), share, accuracy)
+        p = weak_rules.posterior(tuple(r[f"v_{k}"] for k in names), share, rates)
         assert r.posterior == pytest.approx(p) and r.kept == (not r.base_failed and p >= 0.5)
     assert weak_rules.judge(odd(spark).limit(0), ["doc_id"]).count() == 0
 
@@ -284,16 +284,45 @@ def test_rules_estimate_by_brute_force():
     rng = np.random.default_rng(6)
     good = rng.random(400) < 0.7
     votes = np.where(rng.random((400, 3)) < 0.8, np.where(good, 1, -1)[:, None] * np.where(rng.random((400, 3)) < [0.95, 0.8, 0.6], 1, -1), 0)
-    share, acc = 0.5, np.full(3, weak_rules.ASSUMED)
+    share, rates = weak_rules.SHARE, np.array([weak_rules.PRIOR] * 3)  # rule, kind, vote
     for _ in range(weak_rules.ROUNDS):
-        a, b = (np.prod(np.where(votes == s, acc, np.where(votes == -s, 1 - acc, 1.0)), 1) for s in (1, -1))
+        a, b = (np.prod(rates[np.arange(3), kind, votes + 1], 1) for kind in (0, 1))
         p = share * a / (share * a + (1 - share) * b)
-        share = np.clip(p.mean(), 0.02, 0.98)
-        right = ((votes == 1) * p[:, None] + (votes == -1) * (1 - p)[:, None]).sum(0)
-        acc = np.clip((right + 10 * weak_rules.ASSUMED) / ((votes != 0).sum(0) + 10), weak_rules.LEAST, weak_rules.MOST)
+        share = (p.sum() + weak_rules.DOCUMENTS * weak_rules.SHARE) / (400 + weak_rules.DOCUMENTS)
+        for kind, w in ((0, p), (1, 1 - p)):
+            for v in (-1, 0, 1):
+                rates[:, kind, v + 1] = (((votes == v) * w[:, None]).sum(0) + weak_rules.VOTES * weak_rules.PRIOR[kind][v + 1]) / (w.sum() + weak_rules.VOTES)
     got = weak_rules.estimate(sorted(Counter(map(tuple, votes.tolist())).items()), 3)
-    assert got[0] == pytest.approx(share) and got[1] == pytest.approx(acc.tolist()) and got[1][0] > got[1][1] > got[1][2]
-    assert weak_rules.estimate([], 3) == (0.5, [weak_rules.ASSUMED] * 3)
+    assert got[0] == pytest.approx(share, abs=1e-4) and np.allclose(got[1], rates, atol=1e-4)
+    assert weak_rules.estimate([], 3) == (weak_rules.SHARE, [weak_rules.PRIOR] * 3)
+
+
+def test_rules_that_always_agree_say_nothing():
+    rng = np.random.default_rng(8)
+    good = rng.random(3000) < 0.9
+    told = [np.where(rng.random(3000) < 0.95, np.where(good, 1, -1), np.where(good, -1, 1)) for _ in range(3)]
+    votes = np.stack([*told, np.ones(3000, int), np.ones(3000, int), np.ones(3000, int)], 1)
+    share, rates = weak_rules.estimate(sorted(Counter(map(tuple, votes.tolist())).items()), 6)
+    assert abs(share - good.mean()) < 0.02
+    p = np.array([weak_rules.posterior(tuple(v), share, rates) for v in votes.tolist()])
+    assert ((p >= 0.5) == good).mean() > 0.98
+
+
+def test_rules_decide(spark):
+    """On labelled documents, none of which the method sees, the posterior tells more than the base rules, and no rate is at 0 or 1."""
+    sf = "/root/testdata/sf0.1"
+    judged = weak_rules.judge(spark.read.parquet(f"{sf}/documents.parquet"), ["doc_id"]).select("carried.doc_id", "base_failed", "posterior", "kept", *[f"v_{k}" for k in weak_rules.rules()]).collect()
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    told = [(r, quality[r.doc_id]) for r in judged if quality.get(r.doc_id) is not None]
+    passed = [(r, q) for r, q in told if not r.base_failed]
+    low = [r for r, q in passed if q == 0]
+    assert len(low) > 100 and sum(not r.kept for r in low) >= 0.9 * len(low)
+    assert sum(r.kept for r, q in passed if q == 1) >= 0.98 * sum(q for _, q in passed)
+    right = lambda f: sum(f(r) == q for r, q in told) / len(told)
+    assert right(lambda r: r.kept) > right(lambda r: not r.base_failed) + 0.05
+    votes = Counter(tuple(r[f"v_{k}"] for k in weak_rules.rules()) for r in judged)
+    share, rates = weak_rules.estimate(sorted(votes.items()), len(weak_rules.rules()))
+    assert 0.5 < share < 0.98 and all(0 < x < 1 for r in rates for kind in r for x in kind)
 
 
 def test_spotsigs_likeness():
