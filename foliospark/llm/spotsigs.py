@@ -36,8 +36,8 @@ COMMON = (
     "el los las del y una por con para su al lo como más no o esta sus"
 )
 CHAIN = 2
-#: Similarities under this are 0 in against_next(): such pairs aren't compared to the end.
-LEAST = 0.05
+#: From this similarity on two texts are told to be alike.
+ALIKE = 0.8
 #: Signatures that are compared at once.
 BLOCK = 256
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…¡¿—–"
@@ -215,11 +215,11 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, handle, schema: str)
     return dealt.sortWithinPartitions("p", "extra", F.col("k").desc(), F.col("text").asc_nulls_first()).mapInArrow(run, schema)
 
 
-EDITED = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDITED = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, alike_edited boolean, alike_next boolean"
 
 
 def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (EDITED): fingerprints of every text and of its edited text, and their likeness to it and to the next text, 0 if under LEAST."""
+    """Rows (EDITED): fingerprints of every text and of its edited text, their likeness to it and to the next text, and whether those reach ALIKE by the pruned comparison."""
 
     def handle(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         spotter, out, held = Spotter(), [], 0
@@ -228,7 +228,7 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         names = [x.split()[0] for x in EDITED.split(", ")]
 
         def batch() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
         for part, extra, key, text, *_ in rows:
@@ -243,7 +243,7 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 changed = edited(before, text)
                 other = spotter.signatures(changed)
                 marks = (written(signatures), written(other))
-                out.append((None if i == _LAST else i, len(before), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), *marks, likeness(signatures, other, LEAST), likeness(signatures, own, LEAST)))
+                out.append((None if i == _LAST else i, len(before), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), *marks, likeness(signatures, other), likeness(signatures, own), likeness(signatures, other, ALIKE) > 0, likeness(signatures, own, ALIKE) > 0))
                 held += len(marks[0]) + len(marks[1]) + 200
                 if held > 4_000_000:
                     yield batch()

@@ -349,12 +349,13 @@ def test_spotsigs(spark):
         changed = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
         sets = [plain_signatures(t) for t in (text, changed, following)]
         like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else float(not a and not b)
-        near = [x if x >= spotsigs.LEAST else 0.0 for x in (like(sets[0], sets[1]), like(sets[0], sets[2]))]
+        near = [like(sets[0], sets[1]), like(sets[0], sets[2])]
         want[i] = (len(text), hashlib.sha256(changed.encode()).hexdigest(), *("".join(f"{x:08x}" for x in s) for s in sets[:2]), *near)
-    got = {r.id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in spotsigs.against_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next, r.alike_edited, r.alike_next) for r in spotsigs.against_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got.keys() == want.keys()
     for i, w in want.items():
-        assert got[i][:4] == w[:4] and got[i][4:] == pytest.approx(w[4:])
+        assert got[i][:4] == w[:4] and got[i][4:6] == pytest.approx(w[4:]) and got[i][6:] == tuple(x >= 0.8 for x in w[4:])
+    assert any(0 < x < 0.05 for w in want.values() for x in w[4:])  # small likenesses, too, are exact
     assert spotsigs.against_next(odd(spark).limit(1)).count() == 1
 
 
