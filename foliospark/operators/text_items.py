@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from foliospark.functions.plain import number, price, quantity
+from foliospark.functions.plain import number, price, quantity, without_brackets
 from foliospark.operators.pipe_table import NAMES, cells_of, kind
 from foliospark.operators.reader import with_fields
 
@@ -28,7 +28,8 @@ UNITS = "pcs|pc|sets?|kgs?|mts?|ctns?|cartons?|boxes|bags|rolls|units?|pairs|doz
 SUMS = ["total", "subtotal", "sub total", "grand total", "cộng", "tổng"]
 _FIELD = {label: f for f, labels in LABELS.items() for label in labels}
 _READ: dict[str, Callable] = {"quantity": quantity, "unitPrice": price, "amount": number, "productName": str, "productCode": str, "unit": str}
-_MONEY = r"(?:USD|EUR|GBP|[$€£])?\s*(\d[\d,]*(?:\.\d+)?)"
+_MONEY = r"(?:USD|EUR|GBP|[$€£])?\s*+(\d[\d,]*(?:\.\d+)?)"
+_COUNTED = re.compile(rf"(\d[\d,.]*+)\s*+(?:({UNITS})\b)?", re.I)
 
 
 def _plain(line: str) -> str:
@@ -36,7 +37,7 @@ def _plain(line: str) -> str:
 
 
 def _field(text: str) -> str | None:
-    return _FIELD.get(re.sub(r"\s*\([^)]*\)", "", text).strip(" :*.").lower())
+    return _FIELD.get(without_brackets(text).strip(" :*.").lower())
 
 
 def _sum(name: str | None) -> bool:
@@ -104,8 +105,8 @@ def numbered_lines(lines: list[str]) -> list[dict]:
                 break
             block.append(below)
         figures = " ".join([m[1], *block])
-        counted = re.search(rf"(?i)(\d[\d,.]*)\s*({UNITS})\b", figures)
-        priced = re.search(rf"(?i)(?<!\w)(?:@|x|at|unit price:?)\s*{_MONEY}", figures)
+        counted = next((c for c in _COUNTED.finditer(figures) if c[2]), None)
+        priced = re.search(rf"(?i)(?<!\w)(?:@|x|at|unit price:?)\s*+{_MONEY}", figures)
         if counted and priced:
             name = m[1][: m[1].find(counted[0])].strip(" ,-:") if counted[0] in m[1] else m[1].strip()
             q, p = number(counted[1]), number(priced[1])
@@ -120,7 +121,7 @@ def capital_lines(lines: list[str]) -> list[dict]:
         m = re.match(rf"([A-Z][A-Z0-9 ,./()#-]*?[A-Z])\s+(\d[\d,.]*)\s*({UNITS})\b(.*)$", line, re.I)
         if not m or m[1].upper() != m[1] or _sum(m[1]):
             continue
-        found = [v for x in re.findall(_MONEY, m[4]) if (v := number(x)) is not None]
+        found = [v for x in re.findall(r"\d[\d,]*(?:\.\d+)?", m[4]) if (v := number(x)) is not None]
         if found:
             q = number(m[2])
             out.append({"productName": m[1], "quantity": q, "unit": m[3], "unitPrice": found[0] if len(found) > 1 else None, "amount": found[-1]})
