@@ -1,21 +1,21 @@
 """Line items out of document text: pipe tables, HTML tables and plain lines.
 
-Everything is a projection within a row, so nothing is shuffled. HTML tables and plain lines are expressions over arrays; pipe
-tables, whose rows are told by what came before, are read by Python in Arrow batches of bounded size.
+Everything is a projection within a row, so nothing is shuffled. Plain lines are expressions over arrays; tables, whose rows
+are told by what came before, are read by Python in Arrow batches of bounded size, all kinds in one pass.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.functions.numbers import let, none_if_empty, parse_number, parse_quantity, stripped
-from foliospark.operators import pipe_table, text_items
+from foliospark.functions.numbers import stripped
+from foliospark.operators import html_table, pipe_table, text_items
 from foliospark.operators.reader import batches as by_bytes
 from foliospark.operators.reader import with_fields
 
@@ -48,22 +48,38 @@ def _low(text: Column) -> Column:
     return F.lower(stripped(text))
 
 
-def with_pipe_items(df: DataFrame, text_col: str, out: str = "items", structured: str | None = None) -> DataFrame:
-    """df with the items of the text's pipe table; an empty array without one. structured: the column for those of texts without any table.
+def html_of(text: str | None) -> list[dict]:
+    return html_table.items_of(text) if text and "<" in text else []
 
-    A table is read row by row with what its header has told, so whole texts go to Python in Arrow batches; other columns pass as they are.
-    """
-    place, names = df.columns.index(text_col), [*df.columns, out, *([structured] if structured else [])]
+
+def pipe_of(text: str | None) -> list[dict]:
+    return pipe_table.items_of(text) if text and "|" in text else []
+
+
+def loose_of(text: str | None) -> list[dict]:
+    return text_items.items_of(text)[1] if text and "<table" not in text else []
+
+
+def with_read_items(df: DataFrame, text_col: str, out: str, *readers: Callable[[str | None], list[dict]]) -> DataFrame:
+    """df with the items of the first of the readers that finds any in the text; an empty array without. Whole texts go to Python in Arrow batches; other columns pass as they are."""
+    place, names = df.columns.index(text_col), [*df.columns, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, [place]):
-            texts = batch.column(place).to_pylist()
-            found = [pipe_table.items_of(t) if t and "|" in t else [] for t in texts]
-            loose = [text_items.items_of(t)[1] if structured and not x and t and "<table" not in t else [] for t, x in zip(texts, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW_ITEMS), *([pa.array(loose, _ARROW_ITEMS)] if structured else [])], names)
+            found = [next((x for read in readers if (x := read(t))), []) for t in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW_ITEMS)], names)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, item_type())]))
+
+
+def with_pipe_items(df: DataFrame, text_col: str, out: str = "items") -> DataFrame:
+    """df with the items of the text's pipe table."""
+    return with_read_items(df, text_col, out, pipe_of)
 
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, item_type()) for n in names[len(df.columns) :])])
-    return df.mapInArrow(run, schema)
+
+def with_html_items(df: DataFrame, text_col: str, out: str = "items") -> DataFrame:
+    """df with the items of the text's first HTML table."""
+    return with_read_items(df, text_col, out, html_of)
 
 
 def item_type() -> T.ArrayType:
@@ -77,31 +93,6 @@ def row_reasons(df: DataFrame, text_col: str, out: str = "reasons") -> DataFrame
     return with_fields(df, [text_col], kind, lambda text: {out: [pipe_table.reason(pipe_table.cells_of(x)) for x in pipe_table.logical_rows(text or "")]})
 
 
-def _unit(text: Column) -> Column:
-    return let(text, lambda x: F.when(F.coalesce(parse_number(x), F.lit(0.0)) <= 1000, x))
-
-
-def html_items(text: Column) -> Column:
-    """Items of the first HTML table by place, behind its first row; rows of six cells and more with a number."""
-    table = F.regexp_extract(text, r"(?is)<table.*?(?:</table>|$)", 0)
-    rows = let(F.regexp_extract_all(table, F.lit(r"(?is)<tr.*?(?=<tr|</table>|$)"), F.lit(0)), lambda x: F.slice(x, F.lit(2), F.size(x)))
-    plain = lambda x: stripped(F.replace(F.replace(F.replace(F.replace(F.regexp_replace(x, r"(?s)<[^>]*>", ""), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&")))
-    cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td[^>]*>(.*?)(?=</td>|<td|</tr>|$)"), F.lit(1)), plain))
-    bare = lambda x: F.regexp_replace(x, r"^[()]+|[()]+$", "")
-    numbering = lambda c: bare(c[0]).rlike(r"^\d+$") & F.forall(F.slice(c, 1, 5), lambda x: bare(x).rlike(r"^\d+$") | x.contains("=") | F.lower(x).contains("x"))
-    wanted = F.filter(F.filter(cells, lambda c: F.size(c) >= 6), lambda c: ~numbering(c) & ~F.lower(c[0]).rlike("tổng hợp|cộng tiền|thuế suất|không chịu thuế|không kê khai"))
-    at = lambda c, k: F.get(c, k)
-
-    def item(c: Column) -> Column:
-        paid = parse_number(at(c, 8))
-        return _item(
-            productName=none_if_empty(at(c, 1)), unit=_unit(none_if_empty(at(c, 2))), quantity=parse_quantity(at(c, 3)), unitPrice=parse_number(at(c, 4)), amount=parse_number(at(c, 5)),
-            discountPercent=F.when(F.size(c) >= 8, none_if_empty(at(c, 6))), payment=F.when((F.size(c) >= 9) & (paid != 0), paid),
-        )
-
-    return F.coalesce(F.filter(F.transform(wanted, item), lambda x: x["quantity"].isNotNull() | x["unitPrice"].isNotNull() | x["amount"].isNotNull()), _no_items())
-
-
 def plain_items(text: Column) -> Column:
     """Items of lines that start with a number and hold three or more: the last three are quantity, price and amount, all separators dropped."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"^\d+\s+"))
@@ -113,11 +104,8 @@ def plain_items(text: Column) -> Column:
 
 def with_items(df: DataFrame, text_col: str, out: str = "items") -> DataFrame:
     """df with the items of an HTML table, else of a pipe table, else of structured text, else of plain lines."""
-    df = with_pipe_items(df, text_col, "__pipe", "__text")
-    html = F.when(F.col(text_col).contains("<table"), html_items(F.col(text_col)))
-    pipe = F.when(F.col(text_col).contains("|"), F.col("__pipe"))
-    some = lambda x: F.when(F.size(x) > 0, x)
-    return df.withColumn(out, F.coalesce(some(html), some(pipe), some(F.col("__text")), plain_items(F.col(text_col)))).drop("__pipe", "__text")
+    df = with_read_items(df, text_col, "__read", html_of, pipe_of, loose_of)
+    return df.withColumn(out, F.coalesce(F.when(F.size("__read") > 0, F.col("__read")), plain_items(F.col(text_col)))).drop("__read")
 
 
 def without_garbage(items: Column) -> Column:

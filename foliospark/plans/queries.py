@@ -58,7 +58,13 @@ def items_from_pipe(spark, sf_dir):
 
 @query(f"WITH {_SHOWN} SELECT doc_id, name, qty, 'cái' AS unit, amount, true AS consistent FROM shown")
 def items_from_html(spark, sf_dir):
-    return _exploded(render.vn_invoices(spark, sf_dir).withColumn("items", items.html_items(F.col("raw_text"))))
+    return _exploded(items.with_html_items(render.vn_invoices(spark, sf_dir), "raw_text"))
+
+
+@query(f"WITH {_SHOWN} SELECT doc_id, name, qty, 'cái' AS unit, amount, true AS consistent FROM shown")
+def items_from_loose_html(spark, sf_dir):
+    """Tables as recognition gives them: nothing closed, a table within cells, entities for letters and signs, attributes with brackets; by the document's number."""
+    return _exploded(items.with_html_items(render.vn_invoices(spark, sf_dir).withColumn("raw_text", render.loosened(F.col("raw_text"), F.col("doc_id"))), "raw_text"))
 
 
 @query(f"""WITH {_SHOWN}, r AS (

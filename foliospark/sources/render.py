@@ -56,6 +56,18 @@ def html_table(items: Column) -> Column:
     return F.concat(F.lit("<table>"), head, number, F.array_join(F.transform(items, row), ""), cell(F.lit("Cộng tiền hàng"), *[F.lit("")] * 5), F.lit("</table>"))
 
 
+def loosened(text: Column, key: Column) -> Column:
+    """A text's HTML table in one of five looser ways, by the key: cells and rows not closed; a table within the unit's cell; letters as numbers;
+    tags in capitals with brackets in their attributes; comments, bold and line breaks in cells and rows of a section."""
+    body = F.regexp_replace(text, "</t[dr]>", "")
+    nested = F.replace(text, F.lit("<td>cái</td>"), F.lit("<td><table><tr><td>cá</td><td>i</td></tr></table></td>"))
+    coded = F.replace(F.replace(F.replace(text, F.lit("r"), F.lit("&#114;")), F.lit("<t&#114;>"), F.lit("<tr>")), F.lit("</t&#114;>"), F.lit("</tr>"))
+    coded = F.replace(coded, F.lit("cái"), F.lit("c&aacute;&#x69;"))
+    shouted = F.replace(F.replace(text, F.lit("<td>"), F.lit("<TD title='a>b' data-x=\"</td>\">")), F.lit("</td>"), F.lit("</TD >"))
+    marked = F.replace(F.replace(text, F.lit("<td>cái</td>"), F.lit("<td><!-- <td>x</td> --><b>cái</b><br/></td>")), F.lit("<table>"), F.lit("<table border=1><tbody>"))
+    return F.element_at(F.array(body, nested, coded, shouted, marked), (F.abs(key) % 5 + 1).cast("int"))
+
+
 def plain_lines(items: Column) -> Column:
     """Lines with whole amounts: number, name, quantity, price and amount."""
     row = lambda x, k: F.concat_ws(" ", (k + 1).cast("string"), F.regexp_replace(x["name"], r"\d", "x"), x["qty"].cast("string"), vietnamese(F.floor(x["amount"] / x["qty"])), vietnamese(F.floor(x["amount"])))

@@ -1,6 +1,9 @@
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import invoice, items, shipping
+from foliospark.operators import html_table, invoice, items, shipping
 from foliospark.sources import readers
 
 
@@ -61,7 +64,7 @@ def test_html_rows_to_the_end(spark):
     n = 100_003
     text = "<table><tr><td>No</td></tr>" + "".join(f"<tr><td>{k}</td><td>P{k}</td><td>pcs</td><td>2</td><td>3</td><td>6</td></tr>" for k in range(1, n + 1)) + "</table>"
     docs = spark.createDataFrame([(text,)], "raw string")
-    assert docs.select(F.size(items.html_items(F.col("raw"))).alias("n")).first().n == n
+    assert items.with_html_items(docs, "raw").select(F.size("items").alias("n")).first().n == n
 
 
 def test_samples_to_the_end(spark):
@@ -81,3 +84,31 @@ def test_lines_to_the_end(spark):
     got = invoice.heads(spark.createDataFrame([(text, 1), (None, 2), (" \n", 3)], "raw_text string, sellerName int")).collect()
     assert (got[0].sellerName, got[0].buyerTaxCode) == ("A", "0107500414")
     assert all(v is None for r in got[1:] for n, v in r.asDict().items() if n != "raw_text")
+
+
+CELL = "".join(f"<td>{x}</td>" for x in ("1", "rod", "kg", "2", "3", "6"))
+
+
+@pytest.mark.parametrize(
+    ("row", "want"),
+    [
+        (CELL, ["1", "rod", "kg", "2", "3", "6"]),
+        ("<td>1<td>rod<td>kg<td>2<td>3<td>6", ["1", "rod", "kg", "2", "3", "6"]),
+        ("<TD class='a>b' title=\"x>\">1</TD ><td>a<br>b <b> c </b></td>", ["1", "abc"]),
+        ("<td>1</td><td><table><tr><td>in</td><td>ner</td></tr></table> out</td><td>z</td>", ["1", "innerout", "z"]),
+        ("<td>&#80;&#x50;&amp;&lt;&nbsp;&Agrave;&euro;&unknown; a&ampb</td>", ["PP&<\xa0À€&unknown; a&b"]),
+        ("<td>a<!-- <td>no</td> --></td><td><script>if (a<b) '</td>'</script>x</td>", ["a", "x"]),
+        ("<td colspan=2>a < b</td><th>head</th><td>c", ["a < b", "c"]),
+        ("", []),
+    ],
+)
+def test_html_rows(row, want):
+    for text in (f"x <table><tr><td>head</td></tr><tr>{row}</tr></table> <table><tr><td>second</td></tr></table>", f"<TABLE><thead><tr><td>head<tbody><tr>{row}"):
+        assert html_table.first_table(text) == [["head"], want]
+
+
+def test_html_tables_that_never_end():
+    for text in ("<table>" * 20_000, "<table><tr>" + "<td>" * 50_000, "<a" * 50_000, "<a '" * 50_000 + ">", "<table><tr><td>" + "&" * 100_000, "<!--" * 50_000, '<td "' * 50_001 + ">"):
+        began = time.process_time()
+        html_table.items_of(text)
+        assert time.process_time() - began < 3
