@@ -7,6 +7,10 @@ exactly one, so no link is missed and a list holds only fingerprints that agree
 a list the shared positional bytes of a pair are tallied, pairs reaching five are kept and then
 verified bit by bit. A list yields a spanning forest of its links and not all its pairs.
 
+For near copies that differ in more bits (wide_links()), two fingerprints of a text are held: one of two-word shingles, found through lists
+of two positional bytes each, so that pairs share two bytes at least and up to six differing bits can't be missed; and one of
+five-word shingles, which verifies. A pair links within ten bits of the first and fourteen of the second.
+
 Defined results: null, empty or blank text has fingerprint zero, and all such texts link. Repeated
 rows each keep a row. A null id has a row; it is never a class's smallest id unless all ids there
 are null (then the class id is null). Extra columns are ignored.
@@ -28,6 +32,9 @@ from .common import byte_texts, cut, pieces
 SEED, SHINGLE, BITS = 42, 3, 3
 #: The fourteen position sets.
 BLOCKS = [b for b in combinations(range(8), 4) if b[0] ^ b[1] ^ b[2] ^ b[3] == 0]
+#: Of wide links: words of a shingle and most differing bits, of the fingerprint that finds and of the one that verifies; the pairs of byte positions.
+FIND, VERIFY = (2, 10), (5, 14)
+PAIRS = list(combinations(range(8), 2))
 #: Lists longer than this are divided by a fifth byte.
 LONG_LIST = 4096
 _BIT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -50,15 +57,16 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, hashed: bool = False) -> DataFrame:
-    """Rows (id, fp): fp is the fingerprint as a signed long. hashed: also text_hash, the text's xxhash64."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, hashed: bool = False, check: int | None = None) -> DataFrame:
+    """Rows (id, fp): fp is the fingerprint as a signed long. hashed: also text_hash, the text's xxhash64. check: also the fingerprint of shingles of so many words."""
     extra = [F.xxhash64(text_col).alias("text_hash")] if hashed else []
-    names = ["id", "fp", "text_hash"][: 2 + len(extra)]
+    names = ["id", "fp", *["text_hash"] * hashed, *["check"] * (check is not None)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            fps = np.array([fingerprint(t, width) for t in byte_texts(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names)
+            texts = byte_texts(batch.column(1))
+            fps = [pa.array(np.array([fingerprint(t, w) for t in texts], np.uint64).view(np.int64)) for w in (width, *([check] if check else []))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps[0], *batch.columns[2:], *fps[1:]], names)
 
     told = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *extra)
     return told.mapInArrow(run, ", ".join(f"{n} long" for n in names))
@@ -140,6 +148,59 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     return dealt.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
+def wide_forest(nodes: np.ndarray, fps: np.ndarray, checks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(a, array of b): links of one list that connect what any of its pairs, near in both fingerprints, connects."""
+    left = np.arange(nodes.size)
+    while left.size > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and left.size:
+            a = queue.pop()
+            near = (np.bitwise_count(fps[left] ^ fps[a]) <= FIND[1]) & (np.bitwise_count(checks[left] ^ checks[a]) <= VERIFY[1])
+            if near.any():
+                yield nodes[a], nodes[left[near]]
+                queue.extend(left[near])
+                left = left[~near]
+
+
+def wide_links(distinct: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes (node, fp, check) that connect all pairs that share two positional bytes of fp and are near in both fingerprints."""
+    octet = lambda p: F.shiftright("fp", 8 * p).bitwiseAND(F.lit(255))
+    keys = F.array(*[octet(p) + F.shiftleft(octet(q), 8) + F.lit(k << 16) for k, (p, q) in enumerate(PAIRS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []  # of the list that is still open: rows of key, node, fp, check
+
+        def linked(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ends = np.flatnonzero(np.diff(rows[0])) + 1
+            a, b = [], []
+            for start, end in zip(np.concatenate([[0], ends]).tolist(), [*ends.tolist(), rows.shape[1]], strict=True):
+                if end - start > 1:
+                    for one, more in wide_forest(rows[1, start:end], *rows[2:, start:end].view(np.uint64)):
+                        a.append(np.full(more.size, one))
+                        b.append(more)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy() for c in batch.columns])
+            last = int(np.searchsorted(rows[0], rows[0, -1]))  # keys are in order; the last list may go on
+            if last:
+                yield from linked(np.hstack([*kept, rows[:, :last]]))
+                kept = []
+            elif kept and kept[-1][0, -1] != rows[0, 0]:
+                yield from linked(np.hstack(kept))
+                kept = []
+            kept.append(rows[:, last:])
+        if kept:
+            yield from linked(np.hstack(kept))
+
+    dealt = distinct.select(F.explode(keys).alias("key"), "node", "fp", "check")
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "key").sortWithinPartitions("key", "fp", "check").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root: the component's smallest node.
 
@@ -163,29 +224,35 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("the components have not settled")
 
 
-def rooted(distinct: DataFrame, bits: int = BITS) -> DataFrame:
-    """distinct (a row for each fingerprint fp) with `root`, the smallest fingerprint of its class."""
-    roots = components(links(distinct.select("fp"), bits))
-    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def rooted(distinct: DataFrame, edges: DataFrame, node: str = "fp") -> DataFrame:
+    """distinct (a row for each node) with `root`, the smallest node of its class."""
+    return distinct.join(components(edges).withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """Rows (id, fp, component_id), one for each row of docs: the class's smallest id."""
     fps = cut(fingerprints(docs, id_col, text_col, width))
-    named = rooted(cut(fps.groupBy("fp").agg(F.min("id").alias("least"))), bits)
+    distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    named = rooted(distinct, links(distinct.select("fp"), bits))
     classes = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
     """docs with one row of each class: that of the smallest id, null ids last, and among rows of that id that of the smallest text hash.
 
-    Of rows alike in id and text one stays. Ids needn't tell rows apart: classes whose ids are all null, or that share their smallest id, each keep a row.
+    Classes are those of three bits, or with `wide` those of wide_links(). Of rows alike in id and text one stays. Ids needn't tell rows apart: classes
+    whose ids are all null, or that share their smallest id, each keep a row.
     """
-    fps = fingerprints(docs, id_col, text_col, hashed=True).groupBy("fp", "id", "text_hash").agg(F.count("*").alias("rows"))
+    if wide:
+        fps = fingerprints(docs, id_col, text_col, FIND[0], hashed=True, check=VERIFY[0]).withColumn("node", F.xxhash64("fp", "check"))
+    else:
+        fps = fingerprints(docs, id_col, text_col, hashed=True).select(F.col("fp").alias("node"), "*", F.lit(0).alias("check"))
+    fps = fps.groupBy("node", "fp", "check", "id", "text_hash").agg(F.count("*").alias("rows"))
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "rows")).alias("first")
-    distinct = cut(fps.groupBy("fp").agg(first))
-    least = rooted(distinct).groupBy("root").agg(F.min("first").alias("first"))
+    distinct = cut(fps.groupBy("node", "fp", "check").agg(first))
+    edges = wide_links(distinct.select("node", "fp", "check")) if wide else links(distinct.select("fp"))
+    least = rooted(distinct, edges, "node").groupBy("root").agg(F.min("first").alias("first"))
     firsts = cut(least.select(F.col("first.id").alias("_first"), F.col("first.text_hash").alias("_hash"), F.col("first.rows").alias("_rows")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("carried"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
     same = rows["id"].eqNullSafe(F.col("_first")) & (rows["hash"] == F.col("_hash"))

@@ -10,7 +10,7 @@ import sentencepiece
 import corpus_pipeline
 from foliospark.llm import langid, mixing, substring_fm
 
-from .test_simhash import classes, plain
+from .test_simhash import wide_classes
 
 WORDS = {"en": "the of and to in was that it with from this have house water light green stone river", "de": "der die und das von zu mit ist nicht ein auch haus wasser licht stein fluss wald", "fr": "le la les des un une et est que pour dans maison eau pierre lumiere fleuve foret"}
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, _first long, id string, kept string, n_words int, n_removed int, tie string, times int, carried string, place string, hash string, doc long"
@@ -67,7 +67,7 @@ def test_language(kept, docs):
 
 def test_near_duplicates(kept):
     before = list(kept["language"].collect())
-    root = classes([(k, plain(r.text)) for k, r in enumerate(before)])
+    root = wide_classes([(k, r.text) for k, r in enumerate(before)])
     groups = {}
     for k, r in enumerate(before):
         groups.setdefault(root[k], []).append(r)

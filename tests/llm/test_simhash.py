@@ -6,9 +6,9 @@ import xxhash
 from foliospark.llm import simhash
 
 
-def plain(text):
+def plain(text, width=3):
     words = (text or "").encode().lower().split()
-    grams = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    grams = [b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))] if words else []
     hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -33,6 +33,24 @@ def classes(items):
     return {i: least.get(find(k)) for k, (i, _) in enumerate(items)}
 
 
+def wide_classes(items):
+    """Brute force over (id, text): smallest id reachable through pairs near in both fingerprints that share two bytes."""
+    n, root = len(items), list(range(len(items)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    two, five = (np.array([plain(t, w) for _, t in items], np.uint64) for w in (2, 5))
+    for k in range(n):
+        x = two[k:] ^ two[k]
+        shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
+        for j in np.flatnonzero((np.bitwise_count(x) <= 10) & (shared >= 2) & (np.bitwise_count(five[k:] ^ five[k]) <= 14)) + k:
+            root[max(find(k), find(j))] = min(find(k), find(j))
+    return [find(k) for k in range(n)]
+
+
 def check(spark, rows):
     out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()
     items = [(r[0], plain(r[1])) for r in rows]
@@ -139,3 +157,52 @@ def test_one_row_of_each_class(spark):
         ids = [i for i, _ in group if i is not None]
         of = [r for r in left if r in group and r[0] == min(ids, default=None)]
         assert len(of) == 1
+
+
+def test_wide_classes(spark):
+    """Near copies with a word in twelve changed fall into one class; texts of the same words in another order do not."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(30):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randint(60, 300))]
+        rows.append((100 * k, " ".join(words)))
+        for j in range(1, 6):
+            at = set(rng.sample(range(len(words)), len(words) // 30))
+            rows.append((100 * k + j, " ".join(f"x{rng.randrange(400)}" if p in at else w for p, w in enumerate(words))))
+        rng.shuffle(words)
+        rows.append((100 * k + 9, " ".join(words)))
+    rows += [(None, rows[0][1]), (5000, None), (5001, ""), (5001, ""), (5002, "one two"), (5003, "one  TWO")]
+    root = wide_classes(rows)
+    left = sorted(((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), wide=True).collect()), key=str)
+    assert left == sorted((rows[min((k for k in range(len(rows)) if root[k] == c), key=lambda k: (rows[k][0] is None, rows[k][0]))] for c in set(root)), key=str)
+    ids = {i for i, _ in left}
+    assert sum(100 * k + j not in ids for k in range(30) for j in range(1, 6)) > 130 and all(100 * k + 9 in ids for k in range(30))
+
+
+def test_wide_lists():
+    """Many copies of few fingerprints link to one each."""
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 2**63, 300, np.uint64)
+    nodes = np.arange(300)
+    near = list(simhash.wide_forest(nodes, np.concatenate([fps[:10]] * 30), np.concatenate([fps[:10]] * 30)))
+    assert sum(b.size for _, b in near) == 290
+
+
+def test_wide_recall(spark):
+    """Of pairs of sf0.01 whose five-word shingles are alike by 0.8 or more, nine in ten are in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    by = {}
+    for k, s in enumerate(sets):
+        for g in s:
+            by.setdefault(g, []).append(k)
+    pairs = {(v[0], k) for v in by.values() if len(v) < 50 for k in v[1:]}
+    alike = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = wide_classes(rows)
+    assert len(alike) > 20 and sum(root[a] == root[b] for a, b in alike) >= 0.9 * len(alike)
+    kept = {r.doc_id for r in simhash.keep_one(docs, wide=True).collect()}
+    assert kept == {rows[c][0] for c in set(root)}
