@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 
 1. language: documents whose text has no letter, or whose language can't be told, go; `lang` of the others is
    what the text says.
-2. near_duplicates: one document of each SimHash class stays, that of the smallest id.
+2. near_duplicates: one document of each class of near SimHash fingerprints stays, that of the smallest id.
 3. substrings: windows of 20 words that start earlier in the corpus are taken out of the texts.
 4. mixture: sources are mixed to their target weights; a document comes as often as it is taken.
 5. tokens: texts become the ids of the subword model.
@@ -33,8 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of fingerprints within three bits, that of the smallest id, null ids last. Null, empty and blank texts are one class."""
-    return simhash.keep_one(docs)
+    """One row of each class of near copies, that of the smallest id, null ids last: fingerprints of two-word shingles within ten bits, of five-word shingles within fourteen. Null, empty and blank texts are one class."""
+    return simhash.keep_one(docs, wide=True)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
