@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import dates, numbers, text, words
-from foliospark.operators import currency, evaluation, identity, invoice, items, merging, shipping, text_items, validation
+from foliospark.operators import comparators, currency, evaluation, identity, invoice, items, merging, shipping, text_items, validation
 from foliospark.sources import layouts, readers, render
 from foliospark.streaming import guard
 
@@ -589,3 +589,53 @@ def party_fallbacks(spark, sf_dir):
     cut = F.concat(F.lit("COMMERCIAL INVOICE\nSeller: Folio Trading Comp\n\nBuyer: "), "c_name", F.lit("\n\n**Folio Trading Company Limited**"))
     h = invoice.heads(table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.when(k % 2 == 0, bare).otherwise(cut).alias("raw_text")))
     return h.select("doc_id", F.col("sellerName").alias("seller"), F.col("sellerTaxCode").alias("seller_code"), F.col("buyerName").alias("buyer"), F.col("buyerTaxCode").alias("buyer_code"), F.col("invoiceID").alias("number"))
+
+
+#: field -> what two readers make of it ({n}: a customer's name), by the customer's number modulo 4, and what that is.
+_READ_TWICE = {
+    "invoiceTotalInWord": [("Một trăm. {n}", "một  trăm {n}", "match"), ("một trăm hai mươi ba nghìn bốn trăm năm mươi {n}", "Một trăm hai mươi ba nghìn bốn trăm năm mươi lăm", "match"), ("Hai {n}", "Ba {n}", "mismatch"), (None, "{n}", "only_right")],
+    "sellerName": [("Ký bởi: {n}", "{n}", "match"), ("CÔNG TY TNHH MỘT THÀNH VIÊN {n}", "công ty TNHH một thành viên", "match"), ("{n}", "ABC", "mismatch"), ("{n}", None, "only_left")],
+    "buyerName": [("{n} Group", "{n}", "match"), ("Tên đơn vị: {n}", "{n} JSC", "match"), ("A {n}", "B {n}", "mismatch"), (None, None, None)],
+    "sellerAddress": [("12 Nguy Như, {n}", "12 Ngụy Như, {n}", "match"), ("Số 1234567890123456789012 {n}", "Số 1234567890123456789012 x", "match"), ("Số 2, {n}", "Số 3, {n}", "mismatch"), ("{n}", "{n}, Hà Nội", "match")],
+    "buyerAddress": [("{n}", "{n}", "match"), ("{N} 1", "{n} 1", "mismatch"), ("Nguyễn Như Kinh {n}", "Ngụy Như Kon {n}", "match"), (None, "{n}", "only_right")],
+    "sellerPhoneNumber": [("84 24.3747-6666", "02437476666", "match"), ("024 3747 6666", "024-3747-6666", "match"), ("0243", "0244", "mismatch"), ("84243", "84243", "match")],
+    "sellerBank": [("{n} Bank", "{n}", "match"), ("{n}", "VCB {n}", "match"), ("x {n}", "y {n}", "mismatch"), ("{n}", None, "only_left")],
+    "paymentMethod": [("| TM/CK Tỷ giá 1 {n}", "TM/CK", "match"), ("TM/CK .....", "CK", "match"), ("TM {n}", "CK", "mismatch"), ("CK Mã số thuế: 1", "CK", "match")],
+    "invoiceName": [("n# HỌC ĐƠN GTGT", "HÓA ĐƠN GTGT (VAT INVOICE)", "match"), ("HÓA ĐƠN {n}", "HÒA ĐƠN", "match"), ("PHIẾU {n}", "HÓA ĐƠN", "mismatch"), ("a (VAT  INVOICE)", "a", "match")],
+    "taxPercent": [("0%", "8%", "match"), ("8%", "8%", "match"), ("8%", "0%", "mismatch"), ("10%", None, "only_left")],
+    "totalAmount": [("100", "100.0", "match"), ("100", "-100", "match"), ("100", "108", "mismatch"), ("x", "y", "mismatch")],
+    "invoiceSerial": [("1C25T", "2C25T", "mismatch"), ("K {n}", "F {n}", "match"), ("a", "a", "match"), (None, "a", "only_right")],
+    "invoiceFormNo": [("01GTKT0/001", "01GTKT0", "match"), ("F {n}", "K {n}", "match"), ("01", "02", "mismatch"), ("01/1", "02/1", "mismatch")],
+    "currency": [("VND", "VND", "match"), ("VND", "USD", "mismatch"), (" USD", "USD", "match"), (None, "VND", "only_right")],
+}
+_TOLD_TWICE = ", ".join(f"({k}, '{f}', '{status}')" for f, rows in _READ_TWICE.items() for k, (_, _, status) in enumerate(rows) if status)
+
+
+@query(f"""WITH t(v, field, status) AS (VALUES {_TOLD_TWICE})
+SELECT field, status, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM customer JOIN t ON c_custkey % 4 = v GROUP BY ALL""")
+def field_comparators(spark, sf_dir):
+    """Two readers' results compared by a comparator for each field; names make each value the row's own."""
+    k = F.col("c_custkey")
+    said = lambda x: F.lit(None).cast("string") if x is None else F.replace(F.replace(F.lit(x), F.lit("{n}"), F.col("c_name")), F.lit("{N}"), F.upper("c_name"))
+    side = lambda at: table(spark, sf_dir, "customer").select(k.alias("id"), *[F.element_at(F.array(*[said(r[at]) for r in rows]), (k % 4 + 1).cast("int")).alias(f) for f, rows in _READ_TWICE.items()])
+    return comparators.compared(side(0), side(1), ["id"], list(_READ_TWICE)).groupBy("field", "status").agg(F.count("*").alias("n"), F.sum("id").alias("keys"))
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'close' WHEN 2 THEN 'wrong' ELSE 'skip' END AS total_math,
+  CASE o_orderkey % 6 WHEN 0 THEN 'exact' WHEN 1 THEN 'close' WHEN 2 THEN 'wrong' WHEN 3 THEN 'exact' WHEN 4 THEN 'wrong' ELSE 'skip' END AS tax_math,
+  CASE WHEN o_orderkey % 4 = 3 THEN 'skip' WHEN o_orderkey % 5 = 4 THEN 'skip' WHEN o_orderkey % 5 = 3 THEN 'mismatch' ELSE 'match' END AS in_words, 2 AS items_ok, (o_orderkey % 3 = 0)::INT AS items_wrong, (o_orderkey % 3 = 1)::INT AS items_skip
+FROM orders""")
+def validity_verdicts(spark, sf_dir):
+    """Amounts made to give each verdict: off by nothing, by little, by much, missing."""
+    k, pre = F.col("o_orderkey"), F.floor("o_totalprice") + 10_000
+    pick = lambda n, *xs: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]), (k % n + 1).cast("int"))
+    tax = pick(6, pre * 0.1, pre * 0.1 * 1.015, pre * 0.1 * 1.5, F.lit(0.4), F.lit(500.0), F.lit(7.0))
+    rate = pick(6, "10%", "10", "thuế 10%", "KCT", "0%", "x")
+    total = pick(4, pre + tax, (pre + tax) * 1.008, (pre + tax) * 1.2, F.lit(None).cast("double"))
+    spoken = pick(5, "Mười nghìn đồng", "ten THOUSAND only", "một trăm", "hai tỷ đồng", "zero")
+    item = lambda q, p, a: F.struct(F.lit(None), F.lit("a"), F.lit(None), p, q, a, F.lit(None), F.lit(None), F.lit(None))
+    third = pick(3, item(F.lit(2.0), pre * 1.0, pre * 3.0), item(F.lit(None), pre * 1.0, pre * 1.0), item(F.lit(1.0), pre * 1.0, pre * 1.0))
+    listed = F.array(item(F.lit(2.0), pre * 1.0, pre * 2.0 + 0.5), item(F.lit(1.0), pre * 1.0, pre * 1.005), third).cast(items.ITEMS)
+    listed = F.when(k % 3 == 2, F.slice(listed, 1, 2)).otherwise(listed)
+    made = table(spark, sf_dir, "orders").select(k.alias("doc_id"), pre.alias("preTaxPrice"), tax.alias("taxAmount"), rate.alias("taxPercent"), total.alias("totalAmount"), spoken.alias("invoiceTotalInWord"), listed.alias("items"))
+    return evaluation.validity(made).select("doc_id", "total_math", "tax_math", "in_words", "items_ok", "items_wrong", "items_skip")
