@@ -639,3 +639,33 @@ def validity_verdicts(spark, sf_dir):
     listed = F.when(k % 3 == 2, F.slice(listed, 1, 2)).otherwise(listed)
     made = table(spark, sf_dir, "orders").select(k.alias("doc_id"), pre.alias("preTaxPrice"), tax.alias("taxAmount"), rate.alias("taxPercent"), total.alias("totalAmount"), spoken.alias("invoiceTotalInWord"), listed.alias("items"))
     return evaluation.validity(made).select("doc_id", "total_math", "tax_math", "in_words", "items_ok", "items_wrong", "items_skip")
+
+
+#: By the customer's number modulo 10: a text, the field that only a rule of the whole text finds, its value and the rule's name. {n}: the name, {k}: the number, {a} and {b}: the number and 1000, 1100 more.
+_WHOLE = [
+    ("BIÊN BẢN HỦY HÓA ĐƠN\nHóa đơn bị hủy: Mẫu số 1, ký hiệu C25T{k}", "invoiceFormNo", "C25T{k}", "cancelled invoice"),
+    ("HÓA ĐƠN\nMã của cơ quan thuế: M1-25-7F{k}-00000000315", "invoiceFormNo", "7F{k}", "tax authority's code"),
+    ("HÓA ĐƠN\nNgười bán: ABC\nĐơn vị bán lẻ: CÔNG TY TNHH {n}", "sellerName", "CÔNG TY TNHH {n}", "seller label over a short name"),
+    ("HÓA ĐƠN\nABC có mã số thuế là: 0107{a}414\nNgười mua: {n}", "sellerTaxCode", "0107{a}414", "code before the buyer"),
+    ("HÓA ĐƠN\nNgười mua hàng: {n}\nghi chú mã số thuế của bên nhận: 0208{a}515", "buyerTaxCode", "0208{a}515", "code behind the buyer"),
+    ("COMMERCIAL INVOICE\nask sales{k}@folio.vn\nBill to: {n}", "sellerEmail", "sales{k}@folio.vn", "mail before the buyer"),
+    ("INVOICE\nSubtotal\nSales tax\nTotal\n{a}\n100\n{b}", "preTaxPrice", "{a}", "stacked labels"),
+    ("HÓA ĐƠN\n| Tên hàng | Thành tiền |\n| a | 1 |\n| Tổng cộng: | {a} | 100 | {b} |", "totalAmount", "{b}", "three numbers of a row"),
+    ("INVOICE\n| Description | Amount |\n| a | 5 |\n| DEDUCTION | advance | USD {b} |", "totalAmount", "{b}", "left after deduction"),
+    ("HÓA ĐƠN\nTiền hàng chưa thuế (VND): {b}", "preTaxPrice", "{b}", "price before tax"),
+]
+_SAID = "replace(replace(replace(replace({}, '{{n}}', c_name), '{{k}}', c_custkey::VARCHAR), '{{a}}', (c_custkey + 1000)::VARCHAR), '{{b}}', (c_custkey + 1100)::VARCHAR)".format("value")
+
+
+@query(f"""WITH t(v, field, value, rule) AS (VALUES {", ".join("({}, '{}', '{}', '{}')".format(v, f, x, r.replace("'", "''")) for v, (_, f, x, r) in enumerate(_WHOLE))})
+SELECT c_custkey AS doc_id, field, {_SAID} AS value, rule FROM customer JOIN t ON c_custkey % 10 = v""")
+def invoice_whole_text(spark, sf_dir):
+    """Fields that no section gives: each found by a rule of the whole text, whose name comes with it."""
+    k = F.col("c_custkey")
+    put = lambda x: F.replace(F.replace(F.replace(F.replace(x, F.lit("{n}"), F.col("c_name")), F.lit("{k}"), k.cast("string")), F.lit("{a}"), (k + 1000).cast("string")), F.lit("{b}"), (k + 1100).cast("string"))
+    of = lambda at: F.element_at(F.array(*[F.lit(row[at]) for row in _WHOLE]), (k % 10 + 1).cast("int"))
+    docs = table(spark, sf_dir, "customer").select(k.alias("doc_id"), of(1).alias("field"), put(of(0)).alias("raw_text"))
+    found = invoice.heads(docs)
+    shown = lambda f: F.col(f).cast("bigint").cast("string") if f in invoice.MONEY else F.col(f)
+    value = F.coalesce(*[F.when(F.col("field") == f, shown(f)) for f in dict.fromkeys(row[1] for row in _WHOLE)])
+    return found.select("doc_id", "field", value.alias("value"), F.try_element_at("rules", F.col("field")).alias("rule"))
