@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions import dates, numbers, text, words
+from foliospark.functions import dates, numbers, sql, text, words
 from foliospark.operators import comparators, currency, evaluation, identity, invoice, items, merging, shipping, text_items, validation
 from foliospark.sources import layouts, readers, render
 from foliospark.streaming import guard
@@ -669,3 +669,17 @@ def invoice_whole_text(spark, sf_dir):
     shown = lambda f: F.col(f).cast("bigint").cast("string") if f in invoice.MONEY else F.col(f)
     value = F.coalesce(*[F.when(F.col("field") == f, shown(f)) for f in dict.fromkeys(row[1] for row in _WHOLE)])
     return found.select("doc_id", "field", value.alias("value"), F.try_element_at("rules", F.col("field")).alias("rule"))
+
+
+@query(f"""WITH {_SHOWN} SELECT doc_id, name, qty, amount, amount AS spoken, strftime(o_orderdate, '%d/%m/%Y') AS day FROM shown JOIN orders ON doc_id = o_orderkey""")
+def sql_surface(spark, sf_dir):
+    """Spark SQL alone: a table function for each text's items, and functions of texts and numbers."""
+    sql.register(spark)
+    return spark.sql(
+        """
+        SELECT d.doc_id, i.productName AS name, CAST(i.quantity AS BIGINT) AS qty, i.amount,
+               round(en_words_to_number(translate(number_to_en_words(i.amount), '-', ' ')), 2) AS spoken,
+               document_date(regexp_extract(d.raw_text, '(?m)^Date: (.*)$', 1), false) AS day
+        FROM {docs} d, LATERAL invoice_items(d.raw_text) i""",
+        docs=render.invoices(spark, sf_dir),
+    )
