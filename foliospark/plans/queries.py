@@ -683,3 +683,44 @@ def sql_surface(spark, sf_dir):
         FROM {docs} d, LATERAL invoice_items(d.raw_text) i""",
         docs=render.invoices(spark, sf_dir),
     )
+
+
+@query("""SELECT count(*) AS samples, sum(c_custkey)::BIGINT AS numbers, count(*) FILTER (c_name = 'x') AS errors, sum(len(c_name) + 1 + len(c_address_shown))::BIGINT AS chars, true AS tasks
+FROM (SELECT c_custkey, c_name, c_mktsegment || ' "=" ' || c_custkey AS c_address_shown FROM customer)""")
+def sample_corpus(spark, sf_dir):
+    """One file of many samples, written and read back: it is cut at the banners by several tasks."""
+    rule = "=" * 80
+    text = F.concat(F.col("c_name"), F.lit("\n"), F.col("c_mktsegment"), F.lit(' "=" '), F.col("c_custkey").cast("string"))
+    one = F.concat(F.lit(f"{rule}\n=== SAMPLE "), F.col("c_custkey").cast("string"), F.lit(f" - case ===\n{rule}\n\""), text, F.lit('"\n'))
+    path = readers.scratch(spark)
+    # The one file is the point here: as a corpus is handed over.
+    table(spark, sf_dir, "customer").select(one.alias("value")).coalesce(1).write.text(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        found = readers.samples(spark, path).withColumn("part", F.spark_partition_id())
+        told = found.agg(F.count("sample_no").alias("samples"), F.sum("sample_no").alias("numbers"), F.count("error").alias("errors"), F.sum(F.length("text")).alias("chars"), (F.countDistinct("part") > 1).alias("tasks"))
+        return spark.createDataFrame(told.collect(), told.schema)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@query("""SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%d/%m/%Y') AS day, o_totalprice AS total, count(*) AS n_items, sum(l_quantity)::BIGINT AS qty FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
+def json_sink(spark, sf_dir):
+    """Rows written as JSON, items nested, and read back."""
+    item = F.struct(F.col("l_quantity").cast("long").alias("quantity"), F.col("l_extendedprice").alias("amount"))
+    listed = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(item).alias("items"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").alias("total")).join(listed, "doc_id")
+    path = readers.scratch(spark)
+    readers.json_rows(rows, path)
+    read = spark.read.schema("doc_id long, day string, total double, items array<struct<quantity:long,amount:double>>").json(path)
+    return read.select("doc_id", "day", "total", F.size("items").cast("long").alias("n_items"), F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["quantity"]).alias("qty"))
+
+
+@query("""SELECT c_custkey AS doc_id, c_name AS file_name, 'markdown' AS form, '# ' || c_name AS raw_text FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, c_name, 'plain', c_name FROM customer WHERE c_custkey % 4 <> 0""")
+def corpus_columns(spark, sf_dir):
+    """A corpus with a column of texts for each form; a text that is missing has no row."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_name").alias("tên file"), F.when(k % 3 != 0, F.concat(F.lit("# "), "c_name")).alias("DRAW_MARKDOWN"), F.when(k % 4 != 0, F.col("c_name")).alias("draw_plain"))
+    found = readers.drawn(rows)
+    return found.select(F.regexp_extract("file_name", r"#0*(\d+)", 1).cast("long").alias("doc_id"), "file_name", "form", "raw_text")

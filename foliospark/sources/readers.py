@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +27,43 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("kind", file_kind(F.col("path"))).withColumn("error", F.when(F.col("kind") == "unsupported", "Unsupported file format"))
 
 
-def samples(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_no, name, text) of files whose samples stand below a banner `=== SAMPLE n - name ===` between rules; wrapping quotes go."""
-    return split_samples(spark.read.text(path, wholetext=True))
+def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; a local one only where that is unset and the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(found or tempfile.mkdtemp(prefix='folio-')).rstrip('/')}/read-{uuid.uuid4().hex}"
+
+
+#: What ends the rule above a banner, and begins the banner.
+_BREAK = "=" * 20 + "{end}=== SAMPLE "
+
+
+def samples(spark: SparkSession, path: str, end: str = "\n") -> DataFrame:
+    """(path, sample_no, name, text, error) of files whose samples stand below a banner `=== SAMPLE n - name ===` between rules; wrapping quotes go.
+
+    Records are cut at the banners while they are read, so that one file of many samples is read by several tasks. Text above a file's first banner, or below one
+    that is no banner after all, is a row with an error. end: what ends the files' lines.
+    """
+    read = spark.read.option("lineSep", _BREAK.format(end=end)).text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"=+\s*$", "").alias("value"))
+    banner = r"^(\d+) - ([^\n=]*?) =+\s*\n={20,}"
+    one = read.where(stripped(F.col("value")) != "").withColumn("good", F.col("value").rlike(banner))
+    part = lambda k: F.when(F.col("good"), F.regexp_extract("value", banner, k))
+    body = F.when(F.col("good"), F.regexp_replace("value", banner, "")).otherwise(F.col("value"))
+    return one.select("path", part(1).cast("int").alias("sample_no"), part(2).alias("name"), unquoted(body).alias("text"), F.when(~F.col("good"), "No banner above the text").alias("error"))
+
+
+def unquoted(text: Column) -> Column:
+    return F.regexp_replace(stripped(text), '(?s)^"(.*)",?$', "$1")
+
+
+def drawn(rows: DataFrame, name: str = "TÊN FILE", forms: tuple[str, ...] = ("DRAW_MARKDOWN", "DRAW_PLAIN")) -> DataFrame:
+    """(file_name, form, raw_text) of a corpus that holds recognised texts in a column for each form: a row for each text that is there. Columns that are missing give none."""
+    there = {c.lower(): c for c in rows.columns}
+    held = [F.struct(F.lit(f.lower().removeprefix("draw_")).alias("form"), F.col(f"`{there[f.lower()]}`").cast("string").alias("raw_text")) for f in forms if f.lower() in there]
+    file = F.col(f"`{there[name.lower()]}`") if name.lower() in there else F.lit(None)
+    texts = F.array(*held) if held else F.array().cast("array<struct<form:string,raw_text:string>>")
+    return rows.select(file.cast("string").alias("file_name"), F.inline(texts)).where("raw_text IS NOT NULL")
 
 
 def split_samples(df: DataFrame, text_col: str = "value", keep: list[str] = ()) -> DataFrame:
@@ -34,7 +71,7 @@ def split_samples(df: DataFrame, text_col: str = "value", keep: list[str] = ())
     pieces = let(F.split(text_col, banner.replace("(", "(?:")), lambda x: F.slice(x, F.lit(2), F.size(x)))
     numbers, names = (F.regexp_extract_all(text_col, F.lit(banner), F.lit(k)) for k in (1, 2))
     both = df.select(*keep, F.explode(F.arrays_zip(numbers.alias("n"), names.alias("name"), pieces.alias("text"))).alias("s"))
-    return both.select(*keep, F.col("s.n").cast("int").alias("sample_no"), F.col("s.name").alias("name"), F.regexp_replace(stripped(F.col("s.text")), '(?s)^"(.*)"$', "$1").alias("text"))
+    return both.select(*keep, F.col("s.n").cast("int").alias("sample_no"), F.col("s.name").alias("name"), unquoted(F.col("s.text")).alias("text"))
 
 
 def raster_zoom(width: Column, height: Column, dpi: int = 300, longest: int = 4096) -> Column:
