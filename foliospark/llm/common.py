@@ -32,6 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch between Spark and Python, at most.
+ARROW_BATCH = 8 << 20
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Has this session hand rows to Python in batches of ARROW_BATCH bytes: each task holds a few of them on either side, whole texts among them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).removesuffix("b") or 0) not in range(1, ARROW_BATCH + 1):
+        spark.conf.set(key, str(ARROW_BATCH))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
@@ -85,6 +96,8 @@ def pieces(batches: Iterator[pa.RecordBatch], size: int = 4_000_000, column: str
             stop = max(start + 1, int(np.searchsorted(ends, done + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+        pa.default_memory_pool().release_unused()  # what batches of long texts took isn't kept for others
 
 
 def _lengths(column: pa.Array) -> list[int | None]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, pieces
+from .common import carried, in_small_batches, pieces
 
 PIECE = 256
 SPACE, OTHER = 0, 1
@@ -266,6 +266,7 @@ def training_rows(docs: DataFrame, usable: Column, per_language: int = 50, longe
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """Rows (carried, lang_pred, score), one for each row of docs; carried: the columns of `keep` in a struct."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the reference texts, not by the corpus
+    in_small_batches(docs.sparkSession)
     kept = docs.select(carried(keep), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

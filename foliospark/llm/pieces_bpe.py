@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, pieces
+from .common import Memo, in_small_batches, pieces
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -255,6 +255,7 @@ def coder(model: bytes) -> PieceCoder:
 def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, ids_le binary, decoded string): the packed ids of each whole text and the text they decode to."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # a model file: under 1 MB whatever the corpus
+    in_small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces_of = coder(held.value)

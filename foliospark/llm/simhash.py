@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, cut, pieces
+from .common import byte_texts, cut, in_small_batches, pieces
 
 SEED, SHINGLE, BITS = 42, 3, 3
 #: The fourteen position sets.
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [pa.array(np.array([fingerprint(t, w) for t in texts], np.uint64).view(np.int64)) for w in (width, *([check] if check else []))]
             yield pa.RecordBatch.from_arrays([batch.column(0), fps[0], *batch.columns[2:], *fps[1:]], names)
 
+    in_small_batches(docs.sparkSession)
     told = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *extra)
     return told.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, byte_texts, cut, pieces, ranked
+from .common import Memo, byte_texts, cut, in_small_batches, pieces, ranked
 
 LENGTH, GRAM = 20, 7
 #: Rows a task holds before it tells equal segments, different segments of an anchor that is dealt by windows instead, words of a shard.
@@ -566,6 +566,7 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     verbatim: texts that lose nothing stay as they are.
     """
     carry = list(carry)
+    in_small_batches(docs.sparkSession)
     numbered = _numbered(docs, id_col, text_col, carry).where("doc IS NOT NULL")  # none is: said so that both joins deal out the same
     spans = repeated(numbered, length, gram).groupBy("doc").agg(F.collect_list("at").alias("spans"))
     joined = numbered.join(spans, "doc", "left").select("id", "text", "spans", "carried")
