@@ -6,8 +6,7 @@ the JVM and are the ones to use from DataFrames.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -45,26 +44,13 @@ def _document_date(text: pd.Series, day_first: pd.Series) -> pd.Series:
 ITEMS = "place int, productCode string, productName string, unit string, unitPrice double, quantity double, amount double"
 
 
-def plain_items_of(text: str) -> Iterator[dict]:
-    """Items of lines that begin with a number and hold three or more, as operators.items.plain_items()."""
-    for line in text.split("\n"):
-        numbers = re.findall(r"\d[\d.,]*", line) if re.match(r"\d+\s+", line) else []
-        if len(numbers) >= 3:
-            name = line
-            for n in numbers[-3:]:
-                name = name.replace(n, "")
-            q, p, a = (float(x.replace(".", "").replace(",", "")) for x in numbers[-3:])
-            yield {"productName": name.strip(), "quantity": q, "unitPrice": p, "amount": a}
-
-
 class InvoiceItems:
     """The items of one text, in order: of its HTML table, else its pipe table, else text without tables, else plain lines."""
 
     def eval(self, text: str):
         from foliospark.operators import items
 
-        found = next((x for read in (items.html_of, items.pipe_of, items.loose_of) if (x := read(text))), None) or list(plain_items_of(text or ""))
-        for k, x in enumerate(found):
+        for k, x in enumerate(items.read_items(text)):
             yield (k, *(x.get(c.split()[0]) for c in ITEMS.split(", ")[1:]))
 
 

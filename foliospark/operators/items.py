@@ -60,6 +60,28 @@ def loose_of(text: str | None) -> list[dict]:
     return text_items.items_of(text)[1] if text and "<table" not in text else []
 
 
+def plain_of(text: str | None) -> list[dict]:
+    """plain_items() of one text."""
+    out = []
+    for line in (text or "").split("\n"):
+        numbers = re.findall(r"\d[\d.,]*", line) if re.match(r"[0-9]+[ \t\n\x0b\f\r]+", line) else []
+        if len(numbers) >= 3:
+            name = line
+            for n in numbers[-3:]:
+                name = name.replace(n, "")
+            q, p, a = (float(x.replace(".", "").replace(",", "")) for x in numbers[-3:])
+            out.append({n: None for n in pipe_table.NAMES} | {"productName": name.strip(), "quantity": q, "unitPrice": p, "amount": a})
+    return out
+
+
+READERS = (html_of, pipe_of, loose_of, plain_of)
+
+
+def read_items(text: str | None) -> list[dict]:
+    """The items of an HTML table, else of a pipe table, else of structured text, else of plain lines."""
+    return next((x for read in READERS if (x := read(text))), [])
+
+
 def with_read_items(df: DataFrame, text_col: str, out: str, *readers: Callable[[str | None], list[dict]]) -> DataFrame:
     """df with the items of the first of the readers that finds any in the text; an empty array without. Whole texts go to Python in Arrow batches; other columns pass as they are."""
     place, names = df.columns.index(text_col), [*df.columns, out]
@@ -104,8 +126,7 @@ def plain_items(text: Column) -> Column:
 
 def with_items(df: DataFrame, text_col: str, out: str = "items") -> DataFrame:
     """df with the items of an HTML table, else of a pipe table, else of structured text, else of plain lines."""
-    df = with_read_items(df, text_col, "__read", html_of, pipe_of, loose_of)
-    return df.withColumn(out, F.coalesce(F.when(F.size("__read") > 0, F.col("__read")), plain_items(F.col(text_col)))).drop("__read")
+    return with_read_items(df, text_col, out, *READERS)
 
 
 def without_garbage(items: Column) -> Column:

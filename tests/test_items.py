@@ -112,3 +112,10 @@ def test_html_tables_that_never_end():
         began = time.process_time()
         html_table.items_of(text)
         assert time.process_time() - began < 3
+
+
+def test_plain_lines_of_one_text(spark):
+    texts = ["1 rod 2 3.000 6.000\n2 x 1 1 1", "", None, "no\n12 a 1,5 2\n3  b 1 2 3 4", " 1 a 1 2 3", "1\t2 3 4"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", items.plain_items(F.col("t")).alias("i")).collect()
+    for r in rows:
+        assert [x.asDict() for x in r.i] == items.plain_of(r.t)
