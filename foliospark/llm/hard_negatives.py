@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Rows of a block, most leaves of the fitted tree, rows that it is fitted to, levels that the frontier goes down at once.
-SIZE, LEAVES, SAMPLE, STEP = 2048, 4096, 32768, 4
+SIZE, LEAVES, SAMPLE, STEP = 2048, 4096, 16384, 4
 #: Anchors of a group, and of a leaf of its tree; rows of a leaf of a block's tree; blocks of a slice.
 GROUP, FEW, PART, SLICE = 16384, 128, 512, 32
 _LOW, _HIGH = -(2**63) + 1, 2**63 - 1
