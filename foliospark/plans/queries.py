@@ -724,3 +724,19 @@ def corpus_columns(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_name").alias("tên file"), F.when(k % 3 != 0, F.concat(F.lit("# "), "c_name")).alias("DRAW_MARKDOWN"), F.when(k % 4 != 0, F.col("c_name")).alias("draw_plain"))
     found = readers.drawn(rows)
     return found.select(F.regexp_extract("file_name", r"#0*(\d+)", 1).cast("long").alias("doc_id"), "file_name", "form", "raw_text")
+
+
+@query("""SELECT c_custkey AS doc_id, (c_custkey + 2000)::VARCHAR AS number, '1' AS serial, '01GTKT' AS form, '05/06/2024' AS day, 'CÔNG TY FOLIO ' || c_name AS seller, '0106046798' AS seller_code, '12 Hàng Bài, Phường ' || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN ', Hà Nội' ELSE '' END AS address,
+  '02437476666' AS phone, c_name AS buyer, 'Số 5, ' || c_name AS buyer_address, '0208' || lpad(c_custkey::VARCHAR, 6, '0') AS buyer_code, 'TM/CK' AS payment FROM customer""")
+def invoice_looks_unmarked(spark, sf_dir):
+    """Second looks whose labels have lost the marks of their letters: values keep theirs, a name that is said again counts once, an address goes on below its line."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    zoom = F.concat_ws(
+        "\n", F.lit("--- ZOOM TEXT ---\nMau so: 01GTKT\nKy hieu: 1C24TAA"), F.concat(F.lit("So: "), (k + 2000).cast("string")), F.lit("Ngay 05 thang 06 nam 2024\nDon vi ban hang:"), F.concat(F.lit("CÔNG TY FOLIO "), name), F.concat(F.lit("Cong ty Folio "), name),
+        F.lit("Ma so thue: 0106046798\nDia chi: 12 Hàng Bài"), F.concat(F.lit("Phường "), F.col("c_mktsegment")), F.when(k % 2 == 0, "Hà Nội"), F.lit("Dien thoai: 024 3747 6666"), F.concat(F.lit("Ten don vi mua: "), name), F.concat(F.lit("Dia chi: Số 5, "), name),
+        F.concat(F.lit("Mst: 0208"), F.lpad(k.cast("string"), 6, "0")), F.lit("Hinh thuc thanh toan: TM/CK"),
+    )
+    docs = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.lit("HÓA ĐƠN GIÁ TRỊ GIA TĂNG\nx").alias("raw_text"), zoom.alias("zoom_text"), F.lit(None).cast("string").alias("right_text"))
+    h = invoice.heads_of_all(docs)
+    names = {"invoiceID": "number", "invoiceSerial": "serial", "invoiceFormNo": "form", "invoiceDate": "day", "sellerName": "seller", "sellerTaxCode": "seller_code", "sellerAddress": "address", "sellerPhoneNumber": "phone", "buyerName": "buyer", "buyerAddress": "buyer_address", "buyerTaxCode": "buyer_code", "paymentMethod": "payment"}
+    return h.select("doc_id", *[F.col(a).alias(b) for a, b in names.items()])
