@@ -182,7 +182,7 @@ def provenance_flags(spark, sf_dir):
 SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END::BIGINT AS total_flags, CASE WHEN doc_id % 7 = 0 THEN 'sellerTaxCode_short' ELSE '' END AS flag_names FROM d""")
 def validation_summary(spark, sf_dir):
     short = F.when(F.col("doc_id") % 7 == 0, F.replace(F.col("raw_text"), F.lit("0106046798"), F.lit("0 1 2 4"))).otherwise(F.col("raw_text"))
-    docs = invoice.heads(items.with_items(render.invoices(spark, sf_dir).withColumn("raw_text", short), "raw_text"))
+    docs = invoice.read(render.invoices(spark, sf_dir).withColumn("raw_text", short))
     return validation.summary(validation.validate(docs, F.col("raw_text")), "doc_id").select("doc_id", "total_flags", "flag_names")
 
 
@@ -740,3 +740,43 @@ def invoice_looks_unmarked(spark, sf_dir):
     h = invoice.heads_of_all(docs)
     names = {"invoiceID": "number", "invoiceSerial": "serial", "invoiceFormNo": "form", "invoiceDate": "day", "sellerName": "seller", "sellerTaxCode": "seller_code", "sellerAddress": "address", "sellerPhoneNumber": "phone", "buyerName": "buyer", "buyerAddress": "buyer_address", "buyerTaxCode": "buyer_code", "paymentMethod": "payment"}
     return h.select("doc_id", *[F.col(a).alias(b) for a, b in names.items()])
+
+
+@query("""SELECT p_partkey AS part, CASE WHEN p_partkey % 11 IN (0, 10) THEN 1 ELSE 0 END AS kept FROM part""")
+def item_garbage_rules(spark, sf_dir):
+    """An item for each rule by which items go, one that stays, and a bare number that stays with all its figures."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    one, none = F.lit(1.0), F.lit(None).cast("double")
+    made = lambda n, p, q, a: F.struct(F.lit(None), n, F.lit(None), p, q, a, F.lit(None), F.lit(None), F.lit(None)).cast(items.ITEM)
+    rows = [
+        made(name, one, one, one), made(name, none, none, none), made(F.concat(F.lit("Thuế suất "), name), one, one, one), made(F.lit("eur"), one, one, one), made(F.lit("- Grand Total -"), one, one, one), made(F.lit(""), none, one, one),
+        made(F.lit("FOB:"), one, one, one), made(F.lit("1.2"), none, one, one), made(name, one, one, F.lit(2e12)), made(F.lit("DHL express"), one, one, one), made(F.lit("12"), one, one, one),
+    ]
+    listed = F.array(F.element_at(F.array(*rows), (k % 11 + 1).cast("int")))
+    return table(spark, sf_dir, "part").select(k.alias("part"), F.size(items.without_garbage(listed)).alias("kept"))
+
+
+@query("""SELECT p_partkey AS doc_id, m.mode, CASE m.mode WHEN 'markdown' THEN 'see ' || p_name || ' end' WHEN 'ocr' THEN 'see ' || p_brand || chr(10) || p_name || ' end' ELSE 'see <|ref|>' || p_brand || '<|/ref|><|det|>[1, 2, 3, ' || p_partkey || ']<|/det|>' || chr(10) || p_name || ' end' END AS shown,
+  CASE WHEN m.mode = 'none' THEN 0 ELSE 1 END::BIGINT AS boxes FROM part, (VALUES ('markdown'), ('ocr'), ('none')) AS m(mode)""")
+def tag_modes(spark, sf_dir):
+    """Grounding tags in each mode: dropped with the white space behind them, shown as text, passed through."""
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("see <|ref|>"), "p_brand", F.lit("<|/ref|><|det|>[1, 2, 3, "), k.cast("string"), F.lit("]<|/det|>\n"), "p_name", F.lit(" end"))
+    whole = table(spark, sf_dir, "part").select(k.alias("doc_id"), text.alias("t"))
+    chunks = whole.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 7).cast("int")), lambda j: F.substr("t", j * 7 + 1, F.lit(7)))).alias("chunk_no", "text"))
+    told = [guard.read_tags(chunks, None if m == "none" else m).withColumn("mode", F.lit(m)) for m in ("markdown", "ocr", "none")]
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
+@query("""WITH o AS (SELECT user_id, epoch_us(ts) AS us, event_id % 1000 AS no, event_id % 7 = 0 AS last FROM events WHERE user_id IS NOT NULL),
+e AS (SELECT *, row_number() OVER w AS k, (us - min(us) OVER (PARTITION BY user_id)) / 1e6 AS since FROM o WINDOW w AS (PARTITION BY user_id ORDER BY us, no)),
+u AS (SELECT user_id, min(us) AS first, min(k) FILTER (last AND since <= 86400) AS ended, min(k) FILTER (since > 86400) AS late FROM e GROUP BY user_id)
+SELECT user_id AS doc_id, (SELECT count(*) FROM e WHERE e.user_id = u.user_id AND since <= 86400 AND (ended IS NULL OR k <= ended)) AS kept,
+  CASE WHEN ended IS NOT NULL AND (late IS NULL OR ended < late) THEN false WHEN late IS NOT NULL THEN true ELSE ((SELECT max(us) FROM o) - first) / 1e6 > 86400 END AS timed_out FROM u""")
+def stalled_streams(spark, sf_dir):
+    """Streams of a user's events: some end, some are late, some stall and time out though no chunk of theirs comes any more."""
+    events = table(spark, sf_dir, "events").where("user_id IS NOT NULL")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    until = events.agg(F.max(at)).first()[0] / 1e6
+    chunks = events.select(F.col("user_id").cast("long").alias("doc_id"), (at * 1000 + F.col("event_id") % 1000).alias("chunk_no"), "ts", F.lit("x").alias("text"), (F.col("event_id") % 7 == 0).alias("last"))
+    return guard.guard_batch(chunks, limit_s=86400, enabled=False, until=until).select("doc_id", F.col("kept_chunks").alias("kept"), "timed_out")
