@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import dates, numbers, sql, text, words
-from foliospark.operators import comparators, currency, evaluation, identity, invoice, items, merging, shipping, text_items, validation
+from foliospark.operators import comparators, currency, evaluation, identity, invoice, items, merging, shipping, text_items, tidying, validation
 from foliospark.sources import layouts, readers, render
 from foliospark.streaming import guard
 
@@ -780,3 +780,21 @@ def stalled_streams(spark, sf_dir):
     until = events.agg(F.max(at)).first()[0] / 1e6
     chunks = events.select(F.col("user_id").cast("long").alias("doc_id"), (at * 1000 + F.col("event_id") % 1000).alias("chunk_no"), "ts", F.lit("x").alias("text"), (F.col("event_id") % 7 == 0).alias("last"))
     return guard.guard_batch(chunks, limit_s=86400, enabled=False, until=until).select("doc_id", F.col("kept_chunks").alias("kept"), "timed_out")
+
+
+#: By the customer's number modulo 9: name and address as read, and as they end up. {n}: the customer's name, {k}: the number.
+_TIDY = [
+    ("{n} Ltd. 456 Industrial Ave. City", None, "{n} Ltd", "456 Industrial Ave. City"), ("{n}", "City, State, Zip Code: {k}, Country: France", "{n}", "{k}, France"), ("Thank you for buying, {n}", "PO-{k}", None, None),
+    ("Date: {k}", "12 Road {k}", None, "12 Road {k}"), ("Country of Origin {n}", "Gross weight {k}", None, None), ("......", "---", None, None), ("Invoice No {k}", "Order # {k}", None, None),
+    ("{n} 7 Road", "Address: {k} Way", "{n} 7 Road", "{k} Way"), ("My details", "--- ZOOM TEXT ---", None, None),
+]
+_TIDY_SQL = ", ".join("({}, {}, {})".format(v, *("NULL" if x is None else "'" + x + "'" for x in row[2:])) for v, row in enumerate(_TIDY))
+
+
+@query(f"""WITH t(v, n, p) AS (VALUES {_TIDY_SQL})
+SELECT c_custkey AS doc_id, replace(replace(n, '{{n}}', c_name), '{{k}}', c_custkey::VARCHAR) AS name, replace(replace(p, '{{n}}', c_name), '{{k}}', c_custkey::VARCHAR) AS place FROM customer JOIN t ON c_custkey % 9 = v""")
+def party_tidying(spark, sf_dir):
+    """Names and addresses of forms: labels, placeholders, metadata, and a street within a name."""
+    k = F.col("c_custkey")
+    put = lambda at: F.replace(F.replace(F.element_at(F.array(*[F.lit(row[at]).cast("string") for row in _TIDY]), (k % 9 + 1).cast("int")), F.lit("{n}"), F.col("c_name")), F.lit("{k}"), k.cast("string"))
+    return tidying.tidied(table(spark, sf_dir, "customer").select(k.alias("doc_id"), put(0).alias("name"), put(1).alias("place")), "name", "place")

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 CHEAP = [
     "items_from_plain_lines", "number_locale_parse", "dates_parsed", "tax_checks", "zoom_merge", "agreement_matrix", "p95_nearest_rank", "page_selection", "identity_cards", "stream_timeout",
     "currency_detect", "provenance_flags", "placeholder_cleanup", "bol_fields", "bol_blocks_ffill", "bol_second_look", "party_layouts", "party_fallbacks", "invoice_looks", "invoice_sections", "items_from_loose_text",
-    "row_reasons", "item_garbage", "card_corrections", "tag_stream", "sample_files", "small_rules", "text_parts", "model_refinement", "max_concurrency", "load_throughput", "items_from_html", "items_from_loose_html", "field_comparators", "validity_verdicts", "invoice_whole_text", "sql_surface", "sample_corpus", "json_sink", "corpus_columns", "invoice_looks_unmarked", "item_garbage_rules", "tag_modes", "stalled_streams"]
+    "row_reasons", "item_garbage", "card_corrections", "tag_stream", "sample_files", "small_rules", "text_parts", "model_refinement", "max_concurrency", "load_throughput", "items_from_html", "items_from_loose_html", "field_comparators", "validity_verdicts", "invoice_whole_text", "sql_surface", "sample_corpus", "json_sink", "corpus_columns", "invoice_looks_unmarked", "item_garbage_rules", "tag_modes", "stalled_streams", "party_tidying"]
 
 
 @pytest.mark.parametrize("name", CHEAP)
