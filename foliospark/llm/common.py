@@ -39,7 +39,8 @@ ARROW_BATCH = 8 << 20
 def in_small_batches(spark: SparkSession) -> None:
     """Has this session hand rows to Python in batches of ARROW_BATCH bytes: each task holds a few of them on either side, whole texts among them."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).removesuffix("b") or 0) not in range(1, ARROW_BATCH + 1):
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= ARROW_BATCH:
         spark.conf.set(key, str(ARROW_BATCH))
 
 
