@@ -54,6 +54,10 @@ class Recent(Memo):
         return value
 
 
+#: Chunks that a worker remembers.
+CHUNKS = 800_000
+
+
 class PieceCoder:
     """Encoder and decoder of one model, given as its bytes."""
 
@@ -91,14 +95,17 @@ class PieceCoder:
         self.chunk = WORD_CHUNK if all(a == MARK or letter(a) == letter(b) for a, b in self.beside) else CHUNK
         self.pairs = Memo(self._fits, 1_000_000)
         self.parts = Recent(self._part, 100_000)
-        self.chunks = Recent(self._code, 800_000)
+        self.chunks = Recent(self._code, CHUNKS)
         text = lambda i: bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in (self.bos, self.eos) else b" \xe2\x81\x87 " if i == self.unk else self.pieces[i].replace(MARK, " ").encode()
         self.text_of = [text(i) for i in range(n)]
 
-    def forget(self) -> None:
-        """Gives back what is remembered of chunks."""
-        self.chunks.clear()
-        self.chunks.older = {}
+    def forget(self, all_of_it: bool = False) -> None:
+        """Gives back what is remembered of chunks; and of parts and pairs, if all_of_it."""
+        for memo in (self.chunks, *([self.parts] if all_of_it else [])):
+            memo.clear()
+            memo.older = {}
+        if all_of_it:
+            self.pairs.clear()
 
     def merge(self, text: str) -> list[str]:
         """The model's own merges: again and again the adjacent pair whose union scores best, the leftmost first."""
@@ -252,16 +259,20 @@ def coder(model: bytes) -> PieceCoder:
     return _CODERS[key]
 
 
-def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, ids_le binary, decoded string): the packed ids of each whole text and the text they decode to."""
+def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", chunks: int = 0) -> DataFrame:
+    """Rows (id, ids_le binary, decoded string): the packed ids of each whole text and the text they decode to.
+
+    chunks: how many a worker remembers, if not CHUNKS; then nothing is kept for its next task, for jobs that do much else with their memory.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)  # a model file: under 1 MB whatever the corpus
     in_small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces_of = coder(held.value)
+        pieces_of.chunks.limit = chunks or CHUNKS
         for batch in pieces(batches):
             both = [pieces_of.round_trip(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in both], pa.binary()), pa.array([x[1] for x in both], pa.string())], ["id", "ids_le", "decoded"])
-        pieces_of.forget()  # the worker process goes on to other stages
+        pieces_of.forget(bool(chunks))  # the worker process goes on to other stages
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids_le binary, decoded string")
