@@ -269,7 +269,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces_of = coder(held.value)
-        pieces_of.chunks.limit = chunks or CHUNKS
+        pieces_of.chunks.limit = (chunks or CHUNKS) // 2  # of each of its two generations
         for batch in pieces(batches):
             both = [pieces_of.round_trip(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in both], pa.binary()), pa.array([x[1] for x in both], pa.string())], ["id", "ids_le", "decoded"])
