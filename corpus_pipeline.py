@@ -53,7 +53,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; null text is empty."""
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
-        coded = pieces_bpe.encode(docs, f.read(), chunks=200_000)
+        coded = pieces_bpe.encode(docs, f.read(), chunks=400_000)
     return coded.select(
         F.col("id").alias("doc_id"),
         (F.octet_length("ids_le") / 4).cast("long").alias("n_tokens"),
