@@ -35,8 +35,8 @@ def scratch(spark: SparkSession) -> str:
     return f"{(found or tempfile.mkdtemp(prefix='folio-')).rstrip('/')}/read-{uuid.uuid4().hex}"
 
 
-#: What ends the rule above a banner, and begins the banner.
-_BREAK = "=" * 20 + "{end}=== SAMPLE "
+#: What ends the rule above a banner, and begins the banner; no more of the rule, as a break that overlaps itself is lost where it lies across two splits.
+_BREAK = "={end}=== SAMPLE "
 
 
 def samples(spark: SparkSession, path: str, end: str = "\n") -> DataFrame:

@@ -12,6 +12,9 @@ def test_samples_are_cut_while_they_are_read(spark, tmp_path):
     (tmp_path / "a.txt").write_text(text, encoding="utf-8")
     (tmp_path / "b.txt").write_text(f"{RULE}\n=== SAMPLE x - broken\n", encoding="utf-8")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (4096, 4099, 5003, 7919, 16384):  # splits end anywhere in rules and banners
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        assert readers.samples(spark, str(tmp_path)).where("sample_no IS NOT NULL").select("sample_no").distinct().count() == 5000
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
     try:
         read = readers.samples(spark, str(tmp_path))
