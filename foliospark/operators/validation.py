@@ -9,6 +9,8 @@ from foliospark.functions.numbers import found
 from foliospark.operators.items import amount_sum
 
 CRITICAL = ["invoiceID", "sellerName", "buyerName", "sellerTaxCode", "buyerTaxCode"]
+#: The fields that flags ask for.
+CHECKED = [*CRITICAL, "invoiceDate", "totalAmount", "preTaxPrice", "taxAmount"]
 
 
 def item_math_flags(items: Column) -> Column:
