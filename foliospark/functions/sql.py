@@ -1,6 +1,6 @@
 """The engine in Spark SQL: functions of texts and numbers, and the items of a text as a table for LATERAL.
 
-register(spark) makes them known to a session; they run in Arrow batches. Column functions of the same names in functions/ stay inside
+register(spark) makes them known to a session; functions run in Arrow batches. Column functions of the same names in functions/ stay inside
 the JVM and are the ones to use from DataFrames.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,14 +31,16 @@ FUNCTIONS: dict[str, tuple[Callable, T.DataType]] = {
 
 
 def _mapped(f: Callable, kind: T.DataType):
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series([f(None if pd.isna(v) else v) for v in x], dtype=object)
+    made = pa.float64() if kind == _NUMBER else pa.string()
 
-    return F.pandas_udf(run, kind)
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([f(v) for v in x.to_pylist()], made)
 
+    return F.arrow_udf(run, kind)
 
-def _document_date(text: pd.Series, day_first: pd.Series) -> pd.Series:
-    return pd.Series([plain.document_date(t, bool(d)) for t, d in zip(text, day_first, strict=True)], dtype=object)
+
+def _document_date(text: pa.Array, day_first: pa.Array) -> pa.Array:
+    return pa.array([plain.document_date(t, bool(d)) for t, d in zip(text.to_pylist(), day_first.to_pylist(), strict=True)], pa.string())
 
 
 ITEMS = "place int, productCode string, productName string, unit string, unitPrice double, quantity double, amount double"
@@ -55,8 +57,8 @@ class InvoiceItems:
 
 
 def register(spark: SparkSession) -> None:
-    """FUNCTIONS, document_date(text, day first) and the table function invoice_items, by their names, in this session."""
+    """FUNCTIONS, document_date(text, day first) and the table function invoice_items, by their names, in this session. A text's few items are a table of their own in Arrow, which costs more than reading them; the table function goes without."""
     for name, (f, kind) in FUNCTIONS.items():
         spark.udf.register(name, _mapped(f, kind))
-    spark.udf.register("document_date", F.pandas_udf(_document_date, _TEXT))
-    spark.udtf.register("invoice_items", F.udtf(InvoiceItems, returnType=ITEMS, useArrow=True))
+    spark.udf.register("document_date", F.arrow_udf(_document_date, _TEXT))
+    spark.udtf.register("invoice_items", F.udtf(InvoiceItems, returnType=ITEMS, useArrow=False))
